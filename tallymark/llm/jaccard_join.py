@@ -3,12 +3,14 @@
 Sets that are equal form one class, and only the least document of a class goes on.
 Sizes are dealt into bands. In the family of a band (its sets and those of the band
 below that are near enough) two similar sets differ in at most k elements. The domain
-of elements is cut by hash into k + 1 + SPARE parts, so that two similar sets agree on
-SPARE + 1 of them at least, and a set has one signature for each part: a hash of the
-elements in it. Empty parts give no signature; a set with more than SPARE empty parts
-takes part once more under another cut, and parts of the last cut count even if
-empty. If all parts on which two similar sets agree are empty, both have more than SPARE
-empty parts and meet again, so no link is lost.
+of elements is cut by hash into parts and each part into second-level parts. SPARE + 1
+parts at least hold no more than k2 of the differences each; there, all but k2 of the
+second-level parts agree. A set has one signature for each part and each subset of its
+second-level parts with k2 left out: a hash of the elements there. Subsets without an
+element give no signature; a set with more than SPARE parts where that happens takes part
+once more under another cut, and with the last cut they count even if empty. If two
+similar sets agree on empty subsets alone, both have more than SPARE such parts and meet
+again, so no link is lost.
 
 Sets that share a signature are candidates. A group of up to SMALL of them gives its
 pairs, which must pass a bound on the intersection from a small histogram; the members of
@@ -21,6 +23,7 @@ but for 64-bit hashes of n-grams and 128-bit hashes of sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,9 @@ from .common import Scratch, components, lower_ascii, mix, powers, slices, span_
 
 NGRAM, PERCENT = 4, 85
 #: Members of a signature group that give all their pairs; cuts of the domain; cells of the histogram.
-SMALL, CUTS, CELLS = 24, 3, 64
+SMALL, CUTS, CELLS = 32, 3, 64
+#: Up to so many differences the cut is finer.
+FINE = 40
 #: Documents in a block of the last comparison.
 BLOCK = 96
 BATCH_BYTES = 4 << 20
@@ -47,11 +52,16 @@ def bands(percent: int, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def family_shape(high: int, percent: int) -> tuple[int, int]:
-    """(parts, spare) of the family whose greatest size is high."""
+def family_shape(high: int, percent: int) -> tuple[int, int, int, int]:
+    """(parts, spare, second-level parts, left out) of the family whose greatest size is high.
+
+    No parts if only equal sets are similar. Small sets, of which a common line is a
+    large share, get subsets of more elements each.
+    """
     k = 2 * (100 - percent) * high // (100 + percent)
-    spare = 1 + (k + 19) // 20
-    return k + 1 + spare, spare
+    second, out = (5, 2) if k <= FINE else (3, 1)
+    spare = 1 + k // 40
+    return (k // (out + 1) + 1 + spare if k else 0), spare, second, out
 
 
 def shingle_sets(column: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +109,9 @@ def signatures(g: np.ndarray, off: np.ndarray, percent: int = PERCENT) -> tuple[
             take &= np.array([sizes[i] * 100 >= percent * table[b][0] if b < len(table) else False for i, b in enumerate(band)], bool) if len(sizes) else take
         for b in np.unique(band[take]):
             sets = np.flatnonzero(take & (band == b))
-            parts, spare = family_shape(table[b][1], percent)
-            if parts - 1 - spare == 0:
-                continue  # no difference is allowed: equal sets are one class already
+            parts, spare, second, out = family_shape(table[b][1], percent)
+            if not parts:
+                continue  # equal sets are one class already
             for cut in range(CUTS):
                 if not len(sets):
                     break
@@ -109,19 +119,26 @@ def signatures(g: np.ndarray, off: np.ndarray, percent: int = PERCENT) -> tuple[
                 at = np.repeat(off[sets] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 x = g[at]
                 key = mix(x + np.uint64(cut * 1000003 + 17))
-                cell = np.repeat(np.arange(len(sets)), n) * parts + (key % np.uint64(parts)).astype(np.int64)
-                sums = np.zeros(len(sets) * parts, np.uint64)
+                cell = np.repeat(np.arange(len(sets)), n) * (second * parts) + (key % np.uint64(second * parts)).astype(np.int64)
+                sums = np.zeros(len(sets) * parts * second, np.uint64)
                 order = np.argsort(cell, kind="stable")
                 c = cell[order]
                 heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
                 sums[c[heads]] = np.add.reduceat(mix(x[order] ^ np.uint64(0x5851F42D4C957F2D)), heads)
-                full = np.zeros(len(sets) * parts, bool)
+                full = np.zeros(len(sums), bool)
                 full[c[heads]] = True
-                emit = np.flatnonzero(full) if cut < CUTS - 1 else np.arange(len(full))
-                tag = mix((emit % parts).astype(np.uint64) + np.uint64((int(b) * CUTS + cut) << 32))
-                out_set.append(sets[emit // parts])
-                out_sig.append(mix(sums[emit] + tag))
-                sets = sets[parts - full.reshape(-1, parts).sum(1) > spare]
+                full = full.reshape(-1, second)
+                sums = mix(sums.reshape(-1, second) + np.arange(second, dtype=np.uint64))
+                part = np.tile(np.arange(parts), len(sets))
+                weak = np.zeros(len(part), bool)
+                for one, kept in enumerate(combinations(range(second), second - out)):
+                    some = full[:, kept].any(1)
+                    weak |= ~some
+                    emit = np.flatnonzero(some) if cut < CUTS - 1 else np.arange(len(some))
+                    tag = mix((part[emit] * 64 + one).astype(np.uint64) + np.uint64((int(b) * CUTS + cut) << 32))
+                    out_set.append(sets[emit // parts])
+                    out_sig.append(mix(sums[emit][:, kept].sum(1, dtype=np.uint64) + tag))
+                sets = sets[weak.reshape(-1, parts).sum(1) > spare]
     if not out_set:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_set), np.concatenate(out_sig)
@@ -133,47 +150,49 @@ def _histogram(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=n * CELLS).reshape(n, CELLS), 65535).astype(np.uint16)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _prints(g: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit fingerprints of each set."""
+    docs = len(off) - 1
+    owner = np.repeat(np.arange(docs), np.diff(off))
+    out = []
+    for salt in (3, 5):
+        sums = np.zeros(docs, np.uint64)
+        np.add.at(sums, owner, mix(g + np.uint64(salt)))
+        out.append(sums.view(np.int64))
+    return out
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, BATCH_BYTES):
             g, off = shingle_sets(b.column("text"), n)
-            docs = b.num_rows
-            owner = np.repeat(np.arange(docs), np.diff(off))
-            prints = []
-            for salt in (3, 5):
-                sums = np.zeros(docs, np.uint64)
-                np.add.at(sums, owner, mix(g + np.uint64(salt)))
-                prints.append(sums)
-            sets, sigs = signatures(g, off, percent)
-            order = np.argsort(sets, kind="stable")
-            sigs, cuts = sigs[order], np.searchsorted(sets[order], np.arange(docs + 1))
-            hist = _histogram(g, off)
+            fa, fb = _prints(g, off)
             yield pa.record_batch(
-                {
-                    "doc_id": b.column("doc_id"),
-                    "n_shingles": pa.array(np.diff(off)),
-                    "fa": pa.array(prints[0].view(np.int64)),
-                    "fb": pa.array(prints[1].view(np.int64)),
-                    "hist": pa.array([h.tobytes() for h in hist], pa.binary()),
-                    "sigs": pa.array([sigs[cuts[i] : cuts[i + 1]].tobytes() for i in range(docs)], pa.binary()),
-                }
+                {"doc_id": b.column("doc_id"), "n_shingles": pa.array(np.diff(off)), "fa": pa.array(fa), "fb": pa.array(fb), "hist": pa.array([h.tobytes() for h in _histogram(g, off)], pa.binary())}
             )
 
 
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Signatures packed by bucket: 16 bytes for each, the signature and its set."""
-    for b in batches:
-        raw = b.column("sigs").to_pylist()
-        n = np.array([len(x) // 8 for x in raw], np.int64)
-        sig = np.frombuffer(b"".join(raw), np.uint64)
-        owner = np.repeat(b.column("doc_id").to_numpy(), n)
-        bucket = (sig % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        both = np.empty((len(sig), 2), np.int64)
-        both[:, 0], both[:, 1] = sig[order].view(np.int64), owner[order]
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = [i for i in range(buckets) if cuts[i + 1] > cuts[i]]
-        yield pa.record_batch({"bucket": pa.array(some, pa.int32()), "packed": pa.array([both[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
+def _deal(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Signatures packed by bucket: 16 bytes for each, the signature and the first fingerprint of its set.
+
+    Equal sets of a batch are packed once.
+    """
+    for whole in batches:
+        for b in slices(whole, BATCH_BYTES):
+            g, off = shingle_sets(b.column("text"), n)
+            fa = _prints(g, off)[0]
+            sets, sig = signatures(g, off, percent)
+            first = np.zeros(len(fa), bool)
+            first[np.unique(fa, return_index=True)[1]] = True
+            keep = first[sets]
+            sets, sig = sets[keep], sig[keep]
+            bucket = (sig % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            both = np.empty((len(sig), 2), np.int64)
+            both[:, 0], both[:, 1] = sig[order].view(np.int64), fa[sets[order]]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = [i for i in range(buckets) if cuts[i + 1] > cuts[i]]
+            yield pa.record_batch({"bucket": pa.array(some, pa.int32()), "packed": pa.array([both[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +201,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
     del raw
     both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])] if len(both) else both
     sig, owner = both[:, 0], both[:, 1]
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([head, [len(sig)]]))
@@ -215,7 +235,7 @@ def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         # Counts that were cut off at the greatest of a cell say nothing.
         most = np.where((h1 == 65535).any(1) | (h2 == 65535).any(1), np.minimum(n1, n2), np.minimum(h1, h2).sum(1, dtype=np.int64))
         ok = (100 + percent) * most >= percent * (n1 + n2)
-        yield pa.record_batch({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok))
+        yield pa.record_batch({"a": b.column("r1"), "b": b.column("r2")}).filter(pa.array(ok))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -290,24 +310,25 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "doc_id long, n_shingles long, fa long, fb long, hist binary, sigs binary"
-    made = scratch.save(texts.mapInArrow(lambda it: _sketch(it, n, percent), shape))
+    made = scratch.save(texts.mapInArrow(lambda it: _sketch(it, n), "doc_id long, n_shingles long, fa long, fb long, hist binary"))
     same = ["n_shingles", "fa", "fb"]
-    of_class = scratch.save(made.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    # Of the rows of the representative's doc_id, those of its class.
-    reps = made.join(of_class.select(*[F.col(c).alias(f"c_{c}") for c in same], F.col("rep")), [F.col(c) == F.col(f"c_{c}") for c in same] + [F.col("doc_id") == F.col("rep")])
-    reps = scratch.save(reps.select("doc_id", "n_shingles", "hist", "sigs").dropDuplicates(["doc_id"]))
+    of_class = scratch.save(made.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("hist").alias("hist")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    packed = reps.select("doc_id", "sigs").mapInArrow(lambda it: _deal(it, parts), "bucket int, packed binary")
+    packed = texts.where("doc_id is not null").select("text").mapInArrow(lambda it: _deal(it, n, percent, parts), "bucket int, packed binary")
     found = scratch.save(packed.repartition(parts, "bucket").mapInArrow(_groups, "a long, b long, tied boolean"))
-    slim = reps.select("doc_id", F.col("n_shingles").alias("n"), "hist")
-    pairs = found.where("not tied").select("a", "b").distinct()
-    pairs = pairs.join(slim.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("hist").alias("h1")), "a")
-    pairs = pairs.join(slim.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("hist").alias("h2")), "b")
-    edges = pairs.mapInArrow(lambda it: _may_link(it, percent), "a long, b long").union(found.where("tied").select("a", "b"))
+
+    def side(x: str, k: int) -> DataFrame:
+        """Fingerprint to class; should sets share one, all their classes."""
+        return of_class.select(F.col("fa").alias(x), F.col("rep").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
+
+    known = found.where("not tied").select("a", "b").distinct().join(side("a", 1), "a").join(side("b", 2), "b")
+    edges = known.mapInArrow(lambda it: _may_link(it, percent), "a long, b long")
+    edges = edges.union(found.where("tied").select("a", "b").distinct().join(side("a", 1).select("a", "r1"), "a").join(side("b", 2).select("b", "r2"), "b").select("r1", "r2"))
     hung = scratch.save(components(scratch, edges))
+    scratch.drop(found)
     place = components_blocks(scratch, hung)
-    sets = place.join(texts.withColumnRenamed("doc_id", "d"), F.col("node") == F.col("d")).select(F.col("d").alias("doc_id"), "component", F.struct("block", "blocks").alias("n"), "text")
+    # Merged at every size: what hangs together grows with the corpus.
+    sets = place.hint("merge").join(texts.withColumnRenamed("doc_id", "d"), F.col("node") == F.col("d")).select(F.col("d").alias("doc_id"), "component", F.struct("block", "blocks").alias("n"), "text")
     sets = scratch.save(sets.mapInArrow(lambda it: _sets(it, n), "doc_id long, component long, n struct<block:int,blocks:int>, elements binary").dropDuplicates(["doc_id"]))
     against = F.explode(F.sequence(F.lit(0), F.col("n.blocks") - 1)).alias("other")
     dealt = sets.select("doc_id", "component", "elements", F.col("n.block").alias("own"), against)

@@ -136,7 +136,7 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
     soft = model.posterior(votes)
     # Balanced logistic regression with a ridge, by Newton's method.
     w, xb = np.zeros(len(names) + 1), np.hstack([x, np.ones((len(rows), 1), np.float32)]).astype(float)
-    ridge = np.full(len(names) + 1, 0.3)
+    ridge = np.full(len(names) + 1, 0.1)
     ridge[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))

@@ -196,7 +196,7 @@ def test_toxicity(spark, empty):
     rows, labels = [], []
     for i in range(900):
         bad = i % 9 == 0
-        w = [r.choice(base) for _ in range(40)] + ([r.choice(["zork", "blag", "idiot"]) for _ in range(3)] if bad else [])
+        w = [r.choice(base) for _ in range(40)] + ([r.choice(["zork", "blag", "idiot"]) for _ in range(6)] if bad else [])
         r.shuffle(w)
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(bad) if i % 50 else None))
