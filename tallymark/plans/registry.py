@@ -1 +1,396 @@
-QUERIES = {}
+"""Every registered query of the core library over the driver's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import streaming
+from ..functions import expr as x
+from ..operators import capability, entity, evaluate, evidence, graph, records, snapshot, text
+from ..sources import artifacts
+
+#: The fixed clock of the event queries.
+NOW = "2024-03-10 00:00:00"
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def now() -> F.Column:
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def signals(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "code").when(F.col("event_type") == "view", "forum_issue").when(F.col("event_type") == "signup", "citation").when(F.col("event_type") == "purchase", "product").otherwise("other")
+    return e.select(
+        "event_id",
+        F.concat_ws("/", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd")).alias("entity_id"),
+        kind.alias("signal_type"),
+        F.col("value").alias("primary_count"),
+        x.months_before(now(), F.col("ts")).alias("dt_months"),
+        (F.get_json_object("props", "$.k").cast("double") / 100).alias("network"),
+    )
+
+
+def bands(spark: SparkSession, d: str) -> DataFrame:
+    e = evidence.entity_evidence(evidence.normalize_evidence(signals(spark, d)))
+    b = evidence.assign_band(F.col("score_pct"), F.lit(None).cast("string"), F.col("dead"))
+    return e.select("entity_id", "dead", F.round("best", 6).alias("best"), "score_pct", b["band"].alias("band"))
+
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    Q[f.__name__] = f
+    return f
+
+
+@query
+def entity_band(spark, d):
+    return bands(spark, d)
+
+
+@query
+def evidence_score(spark, d):
+    e = evidence.normalize_evidence(signals(spark, d))
+    return e.select("event_id", F.round("usage_pct", 6).alias("usage_pct"), F.round("recency_w", 6).alias("recency_w"), F.round("score", 6).alias("score"), "dead")
+
+
+@query
+def ecdf_usage(spark, d):
+    return evidence.ecdf(table(spark, d, "events").select("event_id", "value"), "value", "share").select("event_id", F.round("share", 8).alias("share"))
+
+
+@query
+def winsorize_price(spark, d):
+    return evidence.winsorize(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice").withColumn("l_extendedprice", F.round("l_extendedprice", 4))
+
+
+@query
+def dead_signals(spark, d):
+    s = signals(spark, d)
+    return s.groupBy("signal_type").agg(F.count(F.lit(1)).alias("n"), F.sum(x.mark_dead(F.col("signal_type"), F.col("dt_months")).cast("int")).cast("long").alias("dead"))
+
+
+@query
+def decay_weights(spark, d):
+    o = table(spark, d, "orders")
+    dt = x.months_before(F.lit("2002-01-01 00:00:00").cast("timestamp_ntz"), F.col("o_orderdate"))
+    return o.select("o_orderkey", dt.alias("dt"), F.round(x.decay_weight(dt, F.lit(24.0)), 8).alias("weight"))
+
+
+@query
+def band_transitions(spark, d):
+    """Every band before, each eighth point of score, dead or not."""
+    grid = spark.range(0, 801).select((F.col("id") / 8).alias("score"))
+    prev = spark.createDataFrame([(None,), ("leader",), ("contender",), ("candidate",), ("unverified",), ("odd",)], "prev string")
+    g = grid.crossJoin(F.broadcast(prev)).crossJoin(F.broadcast(spark.createDataFrame([(True,), (False,)], "dead boolean")))
+    b = evidence.assign_band(F.col("score"), F.col("prev"), F.col("dead"))
+    return g.select("score", "prev", "dead", b["band"].alias("band"), b["flip_from"].alias("flip_from"))
+
+
+@query
+def url_canonical(spark, d):
+    return table(spark, d, "pages").select("page_id", x.canonical_url(F.col("url")).alias("canon"))
+
+
+@query
+def url_dedup(spark, d):
+    p = table(spark, d, "pages").withColumn("canon", x.canonical_url(F.col("url")))
+    return records.first_wins(p, ["canon"], "page_id").select("page_id", "canon")
+
+
+@query
+def dedup_first_text(spark, d):
+    return records.first_wins(table(spark, d, "documents").withColumn("h", F.sha2("text", 256)), ["h"], "doc_id").select("doc_id", "h")
+
+
+@query
+def branch_a(spark, d):
+    s = text.branch_a(table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text"))
+    return s.select("seq", F.sha2("stripped", 256).alias("h"))
+
+
+@query
+def sid_lookup(spark, d):
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("s"), F.col("doc_id")).alias("sid"), F.col("text").alias("raw"), x.strip_boilerplate(F.col("text")).alias("stripped"))
+    q = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("quote"))
+    return text.lookup_sid(q, text.sid_index(s)).select("doc_id", "sid")
+
+
+@query
+def comment_cap(spark, d):
+    c = records.cap_per_parent(table(spark, d, "conversations"), "conv_id", "turn", "text", 5)
+    return c.select("conv_id", "turn", F.sha2("text", 256).alias("h"), "cut")
+
+
+@query
+def comment_enrichment(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("issue_id"), F.col("turn").alias("seq"), F.substring("text", 1, 40).alias("body"))
+    e = records.enrich_comments(table(spark, d, "customer").select(F.col("c_custkey").alias("issue_id")), c, 3)
+    return e.select("issue_id", F.array_join("comments", "|").alias("comments"))
+
+
+@query
+def token_cosine_pairs(spark, d):
+    p = table(spark, d, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("k"))
+    return entity.cosine_pairs(p, "k", ["p_name", "p_type"], 0.7).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def _suppliers(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("group "), F.col("s_nationkey").cast("string")).alias("name"), F.concat(F.lit("d"), F.col("s_suppkey") % 40).alias("domain"), F.array(F.concat(F.lit("d"), (F.col("s_suppkey") % 40).cast("string"))).alias("ids"), F.lit("").alias("description"))
+
+
+@query
+def resolve_clusters(spark, d):
+    s = _suppliers(spark, d)
+    r = entity.resolve(s)
+    return r.clusters
+
+
+@query
+def resolve_journal(spark, d):
+    return entity.resolve(_suppliers(spark, d)).journal
+
+
+@query
+def cluster_entities(spark, d):
+    s = _suppliers(spark, d)
+    return entity.entities_from_clusters(s, entity.resolve(s).clusters)
+
+
+@query
+def components(spark, d):
+    o = table(spark, d, "orders")
+    e = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("b"))
+    n = e.select(F.col("a").alias("node")).union(e.select("b"))
+    return graph.connected_components(n, e)
+
+
+@query
+def cosine_topk(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    q = e.where("vec_id = 0").select(F.col("v").alias("axis"))
+    return text.shortlist(e.crossJoin(F.broadcast(q)), "v", F.col("axis"), "vec_id", text.TextConfig(min_cosine=0.05)).select("vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query
+def hashed_bow(spark, d):
+    return text.hashed_bow(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def competitor_cooccurrence(spark, d):
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    e = docs.where("doc_id < 0").select(F.lit("").alias("entity_id"), F.lit("").alias("name"), F.lit("").alias("scope"))
+    e = e.union(spark.createDataFrame([("e1", "and", "plausible"), ("e2", "that", "plausible"), ("e3", "in", "below-plausible")], "entity_id string, name string, scope string"))
+    hits = docs.select(F.explode(F.split("text", "\n")).alias("title")).crossJoin(F.broadcast(e.select("entity_id")))
+    return text.competitors(hits, e)
+
+
+@query
+def query_expansion(spark, d):
+    return text.pseudo_relevance(table(spark, d, "documents").where("lang = 'en'"), ["that"], "doc_id", "text", 20, 50)
+
+
+@query
+def rrf_fusion(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("v"))
+    top = lambda df, name: df.orderBy(F.desc("v"), "item").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "item"))).select(F.lit(name).alias("list"), "rank", "item")
+    return text.rrf_fuse(top(o, "orders").union(top(c, "balance"))).select("item", F.round("score", 8).alias("score"))
+
+
+@query
+def authority_topk(spark, d):
+    li = table(spark, d, "lineitem")
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_quantity"), "l_orderkey", "l_linenumber")
+    top = li.withColumn("n", F.row_number().over(w)).where("n <= 20")
+    deps = top.groupBy("l_suppkey").agg(F.collect_list(F.col("l_quantity").cast("double")).alias("deps"))
+    return deps.select("l_suppkey", x.top_sum(F.col("deps")).alias("authority"))
+
+
+COMMITS = [("typography refactor", None), ("docs: fix", ["src/a.py"]), ("docs: fix", ["docs/a.md", "README"]), ("Fix bug", ["a.py"]), ("readme", []), ("doc-update", ["LICENSE"]), ("docstring pass", ["x.rst"]), ("", [])]
+
+
+@query
+def cadence_docs_only(spark, d):
+    c = spark.createDataFrame([(i, *r) for i, r in enumerate(COMMITS)], "id int, message string, files array<string>")
+    return c.select("id", x.docs_only(F.col("message"), F.col("files")).alias("docs_only"))
+
+
+READMES = [
+    ("a", "# Top\nintro\n## Features ##\n- fast\n### Detail\ndeep\n## Other\nnot here\n## Benchmarks\nbench line\n### License\nno\n#### Sub\nno too"),
+    ("b", "plain words\n\nmore words here"),
+    ("c", "## Installation\nno\n### Limitations\nkept\n# Else\ngone"),
+    ("d", ""),
+]
+
+
+@query
+def readme_slice(spark, d):
+    return capability.slice_sections(spark.createDataFrame(READMES, "name string, markdown string"), "name", "markdown")
+
+
+@query
+def readme_fallback(spark, d):
+    s = capability.slice_sections(table(spark, d, "documents"), "doc_id", "text")
+    return s.select("doc_id", F.sha2("sliced", 256).alias("h"))
+
+
+REPLIES = ['{"axes": [{"axis": "a", "classification": "yes"}]}', '{"axes": [{"axis": "a", "classification": "maybe"}]}', '{"axes": [], "more": 1}', "[1]", "nonsense", '{"axes": [{"axis": "a", "classification": "no", "x": 1}]}']
+
+
+@query
+def parse_replies(spark, d):
+    r = spark.createDataFrame([(i, t) for i, t in enumerate(REPLIES)], "id int, reply string")
+    p = capability.parse_report(F.col("reply"))
+    return r.select("id", p["valid"].alias("valid"), F.coalesce(F.size(p["axes"]), F.lit(-1)).alias("axes"))
+
+
+@query
+def snapshot_changed(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.col("text").alias("content"), "doc_id")
+    a = snapshot.fingerprint(docs.where("doc_id % 20 <> 7 or entity_id > 'src3'"))
+    return snapshot.changed(a.where("entity_id <> 'src9'"), snapshot.fingerprint(docs))
+
+
+@query
+def fingerprint(spark, d):
+    return snapshot.fingerprint(table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.col("text").alias("content")))
+
+
+def _orders_now() -> F.Column:
+    return F.lit("2001-08-05 00:00:00").cast("timestamp_ntz")
+
+
+@query
+def recrawl_tiers(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("newest"), F.bool_or(F.col("o_orderstatus") == "P").alias("p"))
+    plan = x.recrawl_plan(F.col("o_custkey") % 10 == 0, F.col("newest"), _orders_now())
+    return o.select("o_custkey", plan["tier"].alias("tier"), plan["interval_days"].alias("interval_days"), plan["frozen"].alias("frozen"))
+
+
+@query
+def recrawl_priority(spark, d):
+    return snapshot.priority(table(spark, d, "orders"), "o_custkey", "o_orderdate", _orders_now()).select("entity_id", F.round("priority", 6).alias("priority"))
+
+
+@query
+def wake_on_spike(spark, d):
+    frozen = spark.createDataFrame([("e-and", "thand"), ("zzz.dev", "Nowhere"), ("inth", "Qqq"), ("", "tion")], "entity_id string, name string")
+    return snapshot.wake_on_spike(frozen, table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("title")))
+
+
+@query
+def recall_golden(spark, d):
+    g = table(spark, d, "labels").select(F.col("doc_id").alias("snippet_id"), (F.col("quality") == 1).alias("is_true"))
+    caught = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("snippet_id"))
+    r = evaluate.recall(g, caught)
+    return r.withColumn("recall", F.round("recall", 8))
+
+
+@query
+def recall_proxy(spark, d):
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    g = text.proxy_golden(docs, "text", r"(?i)\b(license|mit)\b").select(F.col("doc_id").alias("snippet_id"), F.lit(True).alias("is_true"))
+    return evaluate.recall(g, docs.where("source < 'src5'").select(F.col("doc_id").alias("snippet_id"))).withColumn("recall", F.round("recall", 8))
+
+
+@query
+def kappa_stability(spark, d):
+    return evaluate.kappa(table(spark, d, "labels"), "quality", "toxic").withColumn("kappa", F.round("kappa", 8))
+
+
+@query
+def store_antijoin(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"))
+    return records.accumulate(records.first_wins(o.where("seq % 5 = 0"), ["k"]), o.where("seq % 5 <> 0"), ["k"])
+
+
+@query
+def starscout_split(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("repo"))
+    kept, flagged = evidence.filter_flagged(c, spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "repo string"))
+    return kept.withColumn("flagged", F.lit(False)).union(flagged.withColumn("flagged", F.lit(True)))
+
+
+@query
+def fan_out(spark, d):
+    return text.fan_out(table(spark, d, "nation").select("n_name"), table(spark, d, "region").select("r_name"))
+
+
+REGISTRY = [("databases", ["code", "forum"], ["vector database"], ["db", "sql", "database"]), ("ai-ml", ["code"], ["deep learning"], ["ai", "ml", "db"])]
+
+
+@query
+def registry_lookup(spark, d):
+    topics = spark.createDataFrame([("DB",), (" sql ",), ("ai-ml",), ("vector database",)], "topic string")
+    return text.profile_topic(topics, artifacts.load_registry(spark, REGISTRY), lambda t: F.concat(F.lit("new:"), t))
+
+
+@query
+def topic_keys(spark, d):
+    t, h = x.normalize_topic(F.col("topic"))
+    return spark.createDataFrame([("v2.1/Vector Database ",), ("Vector database",), ("V1 - x",)], "topic string").select("topic", t.alias("text"), h.alias("key"))
+
+
+@query
+def domain_samples(spark, d):
+    return spark.createDataFrame([("Databases ",), ("odd",), ("ai-ml",), (None,)], "domain string").select("domain", x.domain_sample(F.col("domain")).alias("n"))
+
+
+@query
+def coverage_rollup(spark, d):
+    e = table(spark, d, "events").withColumn("v", F.round("value", 2).cast("decimal(18,2)"))
+    return evaluate.coverage(e, "event_type", {"total": "v"}).withColumn("total", F.col("total").cast("double"))
+
+
+@query
+def complaint_families(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.substring("text", 1, 100), F.when(F.col("doc_id") % 3 == 0, " It CRASHED and is not  working").otherwise("")).alias("t"), "doc_id")
+    return docs.select("doc_id", *x.pattern_flags(F.col("t")))
+
+
+@query
+def report_lines(spark, d):
+    b = bands(spark, d).select("entity_id", F.col("entity_id").alias("name"), "band", "score_pct")
+    return evaluate.report_lines(b)
+
+
+@query
+def prompts(spark, d):
+    p = table(spark, d, "part").where("p_partkey <= 20").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("s"))
+    return p.select("p_brand", x.extraction_prompt(F.col("s"), F.lit("h")).alias("prompt"))
+
+
+@query
+def token_bucket(spark, d):
+    e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").withColumn("at", F.col("us") / 1e6)
+    return streaming.token_bucket(e, "user_id", "at", "event_id", per_minute=2.0)
+
+
+@query
+def band_passes(spark, d):
+    """Bands over weekly passes with the band before as state, as a fold over each entity's passes."""
+    s = signals(spark, d)
+    e = table(spark, d, "events").select("event_id", F.floor(F.dayofyear("ts") / 7).cast("long").alias("pass"), "user_id")
+    ev = evidence.normalize_evidence(s).join(e, "event_id").groupBy("user_id", "pass").agg(x.score_percent(F.avg("score")).alias("score"), F.lit(False).alias("dead"))
+    steps = F.array_sort(F.collect_list(F.struct("pass", "score")))
+    fold = F.aggregate(
+        "steps",
+        F.struct(F.lit(None).cast("string").alias("band"), F.lit(0).cast("long").alias("flips")),
+        lambda a, v: F.struct(evidence.assign_band(v["score"], a["band"], F.lit(False))["band"].alias("band"), (a["flips"] + F.coalesce((a["band"] != evidence.assign_band(v["score"], a["band"], F.lit(False))["band"]).cast("long"), F.lit(0).cast("long"))).alias("flips")),
+    )
+    return ev.groupBy("user_id").agg(steps.alias("steps")).select("user_id", fold["band"].alias("band"), fold["flips"].alias("flips"))
+
+
+QUERIES = dict(Q)
