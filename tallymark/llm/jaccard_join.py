@@ -172,7 +172,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             )
 
 
-def _deal(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, sign) -> Iterator[pa.RecordBatch]:
     """Signatures packed by bucket: 16 bytes for each, the signature and the first fingerprint of its set.
 
     Equal sets of a batch are packed once.
@@ -181,7 +181,7 @@ def _deal(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int)
         for b in slices(whole, BATCH_BYTES):
             g, off = shingle_sets(b.column("text"), n)
             fa = _prints(g, off)[0]
-            sets, sig = signatures(g, off, percent)
+            sets, sig = sign(g, off, percent)
             first = np.zeros(len(fa), bool)
             first[np.unique(fa, return_index=True)[1]] = True
             keep = first[sets]
@@ -297,7 +297,7 @@ def _compare(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, sign=signatures) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document.
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of word
@@ -305,7 +305,8 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Dat
     without words (null, empty, blank) have empty sets and link with nothing. Documents
     with equal sets are in one component. doc_ids should be distinct: rows of one doc_id
     give a row each, and share a component_id where their sets are equal. A row without a
-    doc_id gives a row with a null component_id. An empty table gives no rows.
+    doc_id gives a row with a null component_id. An empty table gives no rows. sign takes
+    sets, offsets and the percent, and names the signatures of each set.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -314,7 +315,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Dat
     same = ["n_shingles", "fa", "fb"]
     of_class = scratch.save(made.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("hist").alias("hist")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    packed = texts.where("doc_id is not null").select("text").mapInArrow(lambda it: _deal(it, n, percent, parts), "bucket int, packed binary")
+    packed = texts.where("doc_id is not null").select("text").mapInArrow(lambda it: _deal(it, n, percent, parts, sign), "bucket int, packed binary")
     found = scratch.save(packed.repartition(parts, "bucket").mapInArrow(_groups, "a long, b long, tied boolean"))
 
     def side(x: str, k: int) -> DataFrame:

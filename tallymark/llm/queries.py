@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_sampling, toxicity
+from . import embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, paragraph_dedup, sentencepiece_sampling, substring_dedup, toxicity
 from .common import documents
 
 
@@ -23,6 +22,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir))
+
+
+def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.paragraph_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
+def op8_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(documents(spark, sf_dir))
 
@@ -36,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_mix_sources, op5_language_id, op9_ngram_jaccard, op10_toxicity)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_mix_sources, op4_suffix_array, op5_language_id, op6_paragraph_minhash, op8_embedding_lattice, op9_ngram_jaccard, op10_toxicity)
 }
 
 ORACLE_SQL = {
