@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, paragraph_dedup, sentencepiece_sampling, substring_dedup, toxicity
+from . import embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, paragraph_dedup, quality, sentencepiece_sampling, substring_dedup, toxicity
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.paragraph_dedup(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_mix_sources, op4_suffix_array, op5_language_id, op6_paragraph_minhash, op8_embedding_lattice, op9_ngram_jaccard, op10_toxicity)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_mix_sources, op4_suffix_array, op5_language_id, op6_paragraph_minhash, op7_kneser_ney_quality, op8_embedding_lattice, op9_ngram_jaccard, op10_toxicity)
 }
 
 ORACLE_SQL = {
