@@ -119,7 +119,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of the bytes of each span, equal wherever the bytes are."""
     n = len(raw)
     if _POW.get("n", -1) < n + 1:
-        size = max(1 << 16, 1 << (n + 1).bit_length())
+        size = (n // (1 << 19) + 1) << 19
         _POW.update(n=size, up=powers(BASE, size), down=powers(BASE_INV, size))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POW["up"][:n], out=sums[1:])

@@ -34,7 +34,7 @@ from .common import mix, slices, span_hashes, text_bytes
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DRAWS, SEED, ZIPF_SHIFT = 2, 20240607, 10.0
 #: Bytes of text that are handled at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 19
 _MARK = "▁"
 _MASK = (1 << 64) - 1
 
