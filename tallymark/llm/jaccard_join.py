@@ -34,7 +34,7 @@ from .common import Scratch, components, lower_ascii, mix, powers, slices, span_
 
 NGRAM, PERCENT = 4, 85
 #: Members of a signature group that give all their pairs; cuts of the domain; cells of the histogram.
-SMALL, CUTS, CELLS = 32, 3, 64
+SMALL, CUTS, CELLS = 8, 3, 64
 #: Up to so many differences the cut is finer.
 FINE = 40
 #: Documents in a block of the last comparison.

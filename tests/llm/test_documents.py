@@ -82,7 +82,7 @@ def plain_sets(n=4):
     return out
 
 
-@pytest.mark.parametrize("percent,small,block", [(85, 24, 96), (85, 2, 3), (50, 24, 96)])
+@pytest.mark.parametrize("percent,small,block", [(85, 8, 96), (85, 2, 3)])
 def test_jaccard_join(docs, monkeypatch, percent, small, block):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join.components_blocks, "__defaults__", (block,))
