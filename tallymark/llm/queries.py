@@ -70,7 +70,7 @@ w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)
 c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
              sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
              (sum(source_size) OVER ())::DOUBLE * 150 / 100 AS total FROM w),
-l AS (SELECT min((total - held) / open) AS level FROM c WHERE (total - held) / open < cap / weight),
+l AS (SELECT arg_min((total - held) / open, cap / weight) AS level FROM c WHERE (total - held) / open < cap / weight),
 t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
 p AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
