@@ -121,7 +121,7 @@ def branch_a(spark, d):
 @query
 def sid_lookup(spark, d):
     s = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("s"), F.col("doc_id")).alias("sid"), F.col("text").alias("raw"), x.strip_boilerplate(F.col("text")).alias("stripped"))
-    q = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("quote"))
+    q = table(spark, d, "documents").select("doc_id", F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("quote"))
     return text.lookup_sid(q, text.sid_index(s)).select("doc_id", "sid")
 
 
@@ -133,7 +133,7 @@ def comment_cap(spark, d):
 
 @query
 def comment_enrichment(spark, d):
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("issue_id"), F.col("turn").alias("seq"), F.substring("text", 1, 40).alias("body"))
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("issue_id"), F.col("turn").alias("seq"), F.col("text").alias("body"))
     e = records.enrich_comments(table(spark, d, "customer").select(F.col("c_custkey").alias("issue_id")), c, 3)
     return e.select("issue_id", F.array_join("comments", "|").alias("comments"))
 
@@ -170,7 +170,7 @@ def cluster_entities(spark, d):
 @query
 def components(spark, d):
     o = table(spark, d, "orders")
-    e = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("b"))
+    e = o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("b"))
     n = e.select(F.col("a").alias("node")).union(e.select("b"))
     return graph.connected_components(n, e)
 
@@ -189,16 +189,15 @@ def hashed_bow(spark, d):
 
 @query
 def competitor_cooccurrence(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    e = docs.where("doc_id < 0").select(F.lit("").alias("entity_id"), F.lit("").alias("name"), F.lit("").alias("scope"))
-    e = e.union(spark.createDataFrame([("e1", "and", "plausible"), ("e2", "that", "plausible"), ("e3", "in", "below-plausible")], "entity_id string, name string, scope string"))
+    docs = table(spark, d, "documents")
+    e = spark.createDataFrame([("e1", "and", "plausible"), ("e2", "that", "plausible"), ("e3", "in", "below-plausible")], "entity_id string, name string, scope string")
     hits = docs.select(F.explode(F.split("text", "\n")).alias("title")).crossJoin(F.broadcast(e.select("entity_id")))
     return text.competitors(hits, e)
 
 
 @query
 def query_expansion(spark, d):
-    return text.pseudo_relevance(table(spark, d, "documents").where("lang = 'en'"), ["that"], "doc_id", "text", 20, 50)
+    return text.pseudo_relevance(table(spark, d, "documents"), ["that"], "doc_id", "text", 20, 50)
 
 
 @query
@@ -259,8 +258,9 @@ def parse_replies(spark, d):
 @query
 def snapshot_changed(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.col("text").alias("content"), "doc_id")
-    a = snapshot.fingerprint(docs.where("doc_id % 20 <> 7 or entity_id > 'src3'"))
-    return snapshot.changed(a.where("entity_id <> 'src9'"), snapshot.fingerprint(docs))
+    # The pass before: sources up to src3 had other texts, and src9 had another name.
+    before = docs.select(F.when(F.col("entity_id") == "src9", "old9").otherwise(F.col("entity_id")).alias("entity_id"), F.when(F.col("entity_id") <= "src3", F.concat(F.col("content"), F.lit(" before"))).otherwise(F.col("content")).alias("content"))
+    return snapshot.changed(snapshot.fingerprint(before), snapshot.fingerprint(docs))
 
 
 @query
@@ -300,7 +300,7 @@ def recall_golden(spark, d):
 
 @query
 def recall_proxy(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     g = text.proxy_golden(docs, "text", r"(?i)\b(license|mit)\b").select(F.col("doc_id").alias("snippet_id"), F.lit(True).alias("is_true"))
     return evaluate.recall(g, docs.where("source < 'src5'").select(F.col("doc_id").alias("snippet_id"))).withColumn("recall", F.round("recall", 8))
 
@@ -356,7 +356,7 @@ def coverage_rollup(spark, d):
 
 @query
 def complaint_families(spark, d):
-    docs = table(spark, d, "documents").select(F.concat(F.substring("text", 1, 100), F.when(F.col("doc_id") % 3 == 0, " It CRASHED and is not  working").otherwise("")).alias("t"), "doc_id")
+    docs = table(spark, d, "documents").select(F.concat("text", F.when(F.col("lang") == "fr", " It CRASHED and is not  working").otherwise("")).alias("t"), "doc_id")
     return docs.select("doc_id", *x.pattern_flags(F.col("t")))
 
 
@@ -368,7 +368,7 @@ def report_lines(spark, d):
 
 @query
 def prompts(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 20").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("s"))
+    p = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("s"))
     return p.select("p_brand", x.extraction_prompt(F.col("s"), F.lit("h")).alias("prompt"))
 
 
