@@ -114,7 +114,7 @@ SELECT o_custkey, CASE WHEN o_custkey % 10 = 0 THEN 'dead' WHEN age <= 30 THEN '
 w AS (SELECT * FROM f WHERE EXISTS (SELECT 1 FROM t WHERE contains(t, lower(name)) OR (entity_id <> '' AND contains(t, lower(entity_id)))))
 SELECT entity_id AS woken FROM w UNION SELECT name FROM w""",
     "recall_golden": """WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) SELECT count(*) FILTER (lang = 'en') AS caught_true, count(*) AS total_true, round(count(*) FILTER (lang = 'en') / count(*), 8) AS recall FROM g JOIN documents USING (doc_id)""",
-    "recall_proxy": r"""WITH g AS (SELECT * FROM documents WHERE regexp_matches(text, '(?i)\b(license|mit)\b')) SELECT count(*) FILTER (source < 'src5') AS caught_true, count(*) AS total_true, round(count(*) FILTER (source < 'src5') / count(*), 8) AS recall FROM g""",
+    "recall_proxy": r"""WITH g AS (SELECT * FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(license|mit)([^A-Za-z0-9_]|$)')) SELECT count(*) FILTER (source < 'src5') AS caught_true, count(*) AS total_true, round(count(*) FILTER (source < 'src5') / count(*), 8) AS recall FROM g""",
     "kappa_stability": """WITH t AS (SELECT count(*)::DOUBLE AS n, avg((quality = toxic)::INT) AS po, avg(quality) AS q, avg(toxic) AS x FROM labels)
 SELECT n::BIGINT AS n, round((po - (q * x + (1 - q) * (1 - x))) / (1 - (q * x + (1 - q) * (1 - x))), 8) AS kappa FROM t""",
     "store_antijoin": "SELECT o_custkey AS k, coalesce(min(o_orderkey) FILTER (o_orderkey % 5 = 0), min(o_orderkey)) AS seq FROM orders GROUP BY 1",

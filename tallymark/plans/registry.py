@@ -301,7 +301,7 @@ def recall_golden(spark, d):
 @query
 def recall_proxy(spark, d):
     docs = table(spark, d, "documents")
-    g = text.proxy_golden(docs, "text", r"(?i)\b(license|mit)\b").select(F.col("doc_id").alias("snippet_id"), F.lit(True).alias("is_true"))
+    g = text.proxy_golden(docs, "text", r"(?i)(^|[^A-Za-z0-9_])(license|mit)([^A-Za-z0-9_]|$)").select(F.col("doc_id").alias("snippet_id"), F.lit(True).alias("is_true"))
     return evaluate.recall(g, docs.where("source < 'src5'").select(F.col("doc_id").alias("snippet_id"))).withColumn("recall", F.round("recall", 8))
 
 
