@@ -23,6 +23,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker. Rows alone bound nothing where texts are long.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession, most_bytes: int = ARROW_BYTES) -> None:
+    """Bound Arrow batches by bytes for the plans that follow; a smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > most_bytes:
+        spark.conf.set(key, str(most_bytes))
+
+
 class Scratch:
     """Written tables in the folder that the cluster names in spark.checkpoint.dir.
 
@@ -36,6 +47,7 @@ class Scratch:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tallymark-")
             spark.conf.set("spark.checkpoint.dir", base)
+        small_batches(spark)
         self.spark, self.base = spark, f"{base.rstrip('/')}/tallymark-{uuid.uuid4().hex}"
         self.n = 0
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .toxicity import held_out
 
 SAMPLE_ROWS, VOCABULARY, NGRAMS, LONGEST = 6000, 50_000, 20_000, 4
@@ -94,6 +95,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     the language first in order. The score is the posterior of the languages under
     equal priors, tempered by the square root of the number of words.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model(sample_rows(docs)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix, slices, span_hashes, text_bytes
+from .common import mix, slices, small_batches, span_hashes, text_bytes
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DRAWS, SEED, ZIPF_SHIFT = 2, 20240607, 10.0
 #: Bytes of text that are handled at once.
-BATCH_BYTES = 3 << 19
+BATCH_BYTES = 3 << 18
 _MARK = "▁"
 _MASK = (1 << 64) - 1
 
@@ -411,6 +411,7 @@ def encode(docs: DataFrame, draws: int = DRAWS, seed: int = SEED, model_path: st
                     cols["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32), pa.array(flat))
                 yield pa.record_batch(cols)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, draw int, n_pieces bigint, log_prob double, inclusion double, ids_sha256 string, decoded boolean" + ", ids array<int>" * ids
     return docs.selectExpr("doc_id", "cast(doc_id as bigint) as key", "cast(text as string) as text").mapInArrow(run, schema)

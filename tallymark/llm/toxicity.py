@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -166,6 +168,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     no labels at all every text scores about 0.05. Empty docs give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(sample_rows(docs, labels)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +188,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def toxicity_stage(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns, in one pass over the texts."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(sample_rows(docs, labels)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
