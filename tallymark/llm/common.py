@@ -149,6 +149,14 @@ def slices(table, most_bytes: int = 4 << 20, column: str = "text"):
         at = to
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, behind as many underscores as it takes to be no column of df in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ranked(scratch: Scratch, df: DataFrame, by: list, name: str = "pos") -> DataFrame:
     """df with a dense 0-based place in the order of `by`, from a range sort.
 

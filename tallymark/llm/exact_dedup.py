@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 BLOCK_BYTES = 2048
 
@@ -93,8 +93,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns; repeated rows stay once."""
-    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
+    i, h = unused(docs, "_id"), unused(docs, "_h")
+    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    match = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h))
     kept = docs.join(keep, match, "left_semi")
     again = docs.groupBy("doc_id").count().where("count > 1").limit(1)
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lower_ascii, mix, powers, slices, span_hashes, text_bytes, word_spans
+from .common import Scratch, components, lower_ascii, mix, powers, slices, span_hashes, text_bytes, unused, word_spans
 
 NGRAM, PERCENT = 4, 85
 #: Members of a signature group that give all their pairs; cuts of the domain; cells of the histogram.
@@ -350,5 +350,6 @@ def components_blocks(scratch: Scratch, hung: DataFrame, size: int = BLOCK) -> D
 
 def jaccard_stage(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of least doc_id, with the columns of docs."""
-    keep = jaccard_join(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    i = unused(docs, "_id")
+    keep = jaccard_join(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(i)).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(i)), "left_semi")

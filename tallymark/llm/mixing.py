@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, ranked
+from .common import WORD, Scratch, ranked, unused
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -131,6 +131,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
         rest = [c for c in docs.columns if c not in ("doc_id", "text")]
         docs = docs.groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
     m = plan_mix(docs).select("doc_id", "key", "size", F.explode("copies").alias("c")).where("2 * c.words >= size")
-    m = m.select(F.col("doc_id").alias("_id"), F.col("c.position").alias("_at"), F.col("c.start").alias("_start"))
-    out = docs.join(m.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.repartitionByRange("_at", "_start", "doc_id").sortWithinPartitions("_at", "_start", "doc_id").select(*docs.columns)
+    i, at, start = (unused(docs, x) for x in ("_id", "_at", "_start"))
+    m = m.select(F.col("doc_id").alias(i), F.col("c.position").alias(at), F.col("c.start").alias(start))
+    out = docs.join(m.distinct(), F.col("doc_id").eqNullSafe(F.col(i)))
+    return out.repartitionByRange(at, start, "doc_id").sortWithinPartitions(at, start, "doc_id").select(*docs.columns)
