@@ -12,6 +12,9 @@ cell whose whole context occurs earlier is covered; one whose gram occurs in ano
 context (or whose gram may go on across a boundary) has its windows compared one by one
 in a second exchange. Windows are told apart by 64-bit hashes of their bytes together
 with the hash of the gram.
+
+Rows are first sorted by doc_id and a hash of the text and written with a number, by which
+they are ordered, marked and cut: a doc_id may be repeated or null.
 """
 
 from __future__ import annotations
@@ -105,7 +108,7 @@ def _by_doc(doc: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     d, rows = doc[order], rows[order]
     head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
     cuts = np.concatenate([head, [len(d)]])
-    return pa.record_batch({"doc_id": pa.array(d[head]), "packed": pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(head))], pa.binary())})
+    return pa.record_batch({"row": pa.array(d[head]), "packed": pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(head))], pa.binary())})
 
 
 def _deal(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -113,7 +116,7 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray)
         for b in slices(whole, BATCH_BYTES):
             raw, off = text_bytes(b.column("text"))
             k = cells(raw, off, length)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = b.column("row").to_numpy(zero_copy_only=False)
             place = k["first"] - off[k["doc"]]
             shape = (k["anchor"] - k["first"] << 16) | (k["last"] - k["first"])
             rows = np.stack([k["g"].view(np.int64), k["c"].view(np.int64), ids[k["doc"]], place << 32 | shape], 1) if len(place) else np.zeros((0, 4), np.int64)
@@ -165,7 +168,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
                 key = np.concatenate([key[cold], span_hashes(raw, start, start + length)])
                 doc = np.concatenate([doc[cold], doc[each]])
                 first, more = np.concatenate([first[cold], start]), np.concatenate([more[cold], np.zeros(len(start), np.int64)])
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = b.column("row").to_numpy(zero_copy_only=False)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -243,15 +246,19 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     Texts are UTF-8 bytes, null counting as empty. Each byte goes that lies in a string of
     `length` bytes that also starts earlier: in a document of smaller doc_id, or before in
     the same one. Strings are judged on the input. kept_text leaves out bytes of characters
-    that were cut in two. doc_ids should be distinct: rows of one doc_id are judged as copies of
-    one document. A null doc_id sorts before all others. An empty table gives no rows.
+    that were cut in two. A null doc_id sorts before all others. Rows of one doc_id, or of none,
+    are documents of their own in the order of a hash of their texts, equal ones in any order,
+    so that of each string one copy stays. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # The last key deals equal rows over several ranges.
+    d = d.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
+    d = scratch.save(d.withColumn("row", F.monotonically_increasing_id()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    n = max(docs.count(), 1)
-    some = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / n)))
+    n = max(d.count(), 1)
+    some = d.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / n)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -262,12 +269,11 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     seen = np.sort(np.array([r[0] for r in some.mapInArrow(sample, "g long").collect()], np.int64).view(np.uint64))
     splitters = seen[(np.arange(1, parts) * len(seen)) // parts] if len(seen) else np.zeros(0, np.uint64)
     dealt = d.mapInArrow(lambda it: _deal(it, length, splitters), "bucket int, packed binary")
-    marks = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _sort_range(it, length, splitters), "doc_id long, packed binary"))
-    of_doc = lambda m: m.groupBy("doc_id").agg(F.collect_list("packed").alias("marks"))
-    open_ = d.join(of_doc(marks).hint("merge"), "doc_id")
+    marks = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _sort_range(it, length, splitters), "row long, packed binary"))
+    of_doc = lambda m: m.groupBy("row").agg(F.collect_list("packed").alias("marks"))
+    open_ = d.join(of_doc(marks).hint("merge"), "row")
     dealt = open_.mapInArrow(lambda it: _contexts(it, length, parts), "bucket int, head binary, bytes binary")
-    found = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _compare(it, length), "doc_id long, packed binary"))
-    out = d.join(of_doc(marks.union(found)).hint("merge"), "doc_id", "left")
+    found = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _compare(it, length), "row long, packed binary"))
+    out = d.join(of_doc(marks.union(found)).hint("merge"), "row", "left")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
-    out = out.mapInArrow(lambda it: _cut(it, length, texts), kinds)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return out.mapInArrow(lambda it: _cut(it, length, texts), kinds)

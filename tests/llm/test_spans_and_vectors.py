@@ -42,6 +42,35 @@ def test_substring_dedup(spark, monkeypatch, hot):
     assert len(got) == len(want)
 
 
+def removed(spark, rows):
+    """Rows in the order of doc_id and text hash with what goes of each, from a plain pass."""
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) h")
+    seen, out = set(), []
+    for r in sorted(d.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
+        raw = r.text.encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            gone[p : p + 100] |= raw[p : p + 100] in seen
+            seen.add(raw[p : p + 100])
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+        out.append((str(r.doc_id), len(raw), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest()))
+    return sorted(out)
+
+
+def noise(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+
+def test_substring_dedup_repeated_and_null_ids(spark):
+    r = random.Random(5)
+    passage = noise(r, 180)
+    rows = [(1, passage[:120])] * 3 + [(2, noise(r, 150))] * 2 + [(2, noise(r, 300)), (-(1 << 63), noise(r, 130))]
+    rows += [(None, noise(r, k) + passage + noise(r, 40)) for k in (400, 0, 30)] + [(None, noise(r, 105))] * 2 + [(None, "short")] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.substring_dedup(d).collect())
+    assert got == removed(spark, rows)
+
+
 def test_multikey_order():
     g = np.random.default_rng(0)
     keys = [g.integers(0, 3, 500).astype(np.uint64) for _ in range(4)]
