@@ -35,6 +35,12 @@ SAMPLE_DOCS, HOT = 2000, 2048
 BATCH_BYTES = 3 << 20
 
 
+def gram_names(raw: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The names of the grams at x with the hashes h: three raw bytes and the rest hashed, in the order of the suffixes' leading bytes."""
+    lead = (raw[x].astype(np.uint64) << np.uint64(56)) | (raw[x + 1].astype(np.uint64) << np.uint64(48)) | (raw[x + 2].astype(np.uint64) << np.uint64(40))
+    return lead | (h >> np.uint64(24))
+
+
 def cells(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """doc, anchor, first and last window start (in the laid-out bytes) of every cell, with gram and context names."""
     span = length - gram + 1
@@ -68,8 +74,7 @@ def cells(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     last = np.concatenate([first[1:], [len(w)]]) - 1
     out = {"doc": doc[first], "anchor": a[first], "first": w[first], "last": w[last]}
     x = out["anchor"]
-    lead = (raw[x].astype(np.uint64) << np.uint64(56)) | (raw[x + 1].astype(np.uint64) << np.uint64(48)) | (raw[x + 2].astype(np.uint64) << np.uint64(40))
-    out["g"] = lead | (h[x] >> np.uint64(24))
+    out["g"] = gram_names(raw, x, h[x])
     out["c"] = mix(span_hashes(raw, out["first"], out["last"] + length) + (x - out["first"]).astype(np.uint64))
     return out
 
@@ -123,8 +128,12 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray)
             yield _packed(_bucket(k["g"], k["c"], splitters), rows, len(splitters) + 1)
 
 
-def _sort_range(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each document the cells that matter: (first, anchor - first, last - first, kind): 2 covered, 1 to compare, 3 to compare window by window."""
+def _sort_range(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """For each document the cells that matter: (first, anchor - first, last - first, kind): 2 covered, 1 to compare, 3 to compare window by window.
+
+    Cells of a gram dealt over several ranges have kind 4, to compare in one of both ways:
+    the number of its contexts in this range comes under no row, packed as (gram, contexts).
+    """
     raw = [x for b in batches for x in b.column("packed").to_pylist()]
     rows = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 4)
     del raw
@@ -138,7 +147,11 @@ def _sort_range(batches: Iterator[pa.RecordBatch], length: int, splitters: np.nd
     run = np.cumsum(new_g) - 1
     contexts = np.bincount(run, weights=first).astype(np.int64)[run]
     split = np.searchsorted(splitters, g, side="right") > np.searchsorted(splitters, g, side="left")
-    kind = np.where(~first, 2, np.where(contexts > HOT, 3, np.where((contexts > 1) | split, 1, 0)))
+    kind = np.where(~first, 2, np.where(split, 4, np.where(contexts > most, 3, np.where(contexts > 1, 1, 0))))
+    some = np.flatnonzero(new_g & split)
+    if len(some):
+        counts = np.stack([g[some].view(np.int64), contexts[some]], 1)
+        yield pa.record_batch({"row": pa.array([None], pa.int64()), "packed": pa.array([counts.tobytes()], pa.binary())})
     keep = np.flatnonzero(kind)
     out = np.stack([place[keep] >> 32, (place[keep] >> 16) & 0xFFFF, place[keep] & 0xFFFF, kind[keep]], 1).astype(np.int32)
     whole = _by_doc(doc[keep], out)
@@ -146,8 +159,11 @@ def _sort_range(batches: Iterator[pa.RecordBatch], length: int, splitters: np.nd
         yield whole.slice(k, 20_000)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The contexts of cells to compare, packed by gram (or by window): (gram, doc, first, windows) and the bytes."""
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The contexts of cells to compare, packed by gram (or by window): (gram, doc, first, windows) and the bytes.
+
+    Of the grams dealt over several ranges the frequent ones are packed by window.
+    """
     for whole in batches:
         for b in slices(whole, BATCH_BYTES):
             raw, off = text_bytes(b.column("text"))
@@ -155,16 +171,17 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
             n = np.array([len(x) for x in marks])
             m = np.concatenate(marks).astype(np.int64) if len(marks) else np.zeros((0, 4), np.int64)
             doc = np.repeat(np.arange(len(marks)), n)
-            some = (m[:, 3] == 1) | (m[:, 3] == 3)
+            some = m[:, 3] != 2
             m, doc = m[some], doc[some]
             first, lead, more = m[:, 0] + off[doc], m[:, 1], m[:, 2]
             key = span_hashes(raw, first + lead, first + lead + GRAM)
-            hot = np.flatnonzero(m[:, 3] == 3)
+            single = (m[:, 3] == 3) | ((m[:, 3] == 4) & np.isin(gram_names(raw, first + lead, mix(key)), frequent))
+            hot = np.flatnonzero(single)
             if len(hot):
                 w = more[hot] + 1
                 each = np.repeat(hot, w)
                 start = first[each] + (np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w))
-                cold = m[:, 3] == 1
+                cold = ~single
                 key = np.concatenate([key[cold], span_hashes(raw, start, start + length)])
                 doc = np.concatenate([doc[cold], doc[each]])
                 first, more = np.concatenate([first[cold], start]), np.concatenate([more[cold], np.zeros(len(start), np.int64)])
@@ -200,8 +217,13 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     base = np.cumsum(size) - size
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     cell = np.repeat(np.arange(len(h)), n)
-    start = base[cell] + inner
-    name = span_hashes(raw, start, start + length)
+    # Hashed in pieces: the sums behind the hashes take many times the bytes.
+    name, upto = np.empty(len(cell), np.uint64), np.cumsum(n)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(base // BATCH_BYTES)) + 1, [len(h)]])
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        w = slice(upto[i] - n[i], upto[j - 1])
+        start = base[cell[w]] - base[i] + inner[w]
+        name[w] = span_hashes(raw[base[i] : base[j - 1] + size[j - 1]], start, start + length)
     doc, place = h[cell, 1], h[cell, 2] + inner
     order = multikey_order(name, doc, place)
     again = order[1:][name[order[1:]] == name[order[:-1]]]
@@ -256,7 +278,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     # The last key deals equal rows over several ranges.
     d = d.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
     d = scratch.save(d.withColumn("row", F.monotonically_increasing_id()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    hot, parts = HOT, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     n = max(d.count(), 1)
     some = d.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / n)))
 
@@ -269,10 +291,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     seen = np.sort(np.array([r[0] for r in some.mapInArrow(sample, "g long").collect()], np.int64).view(np.uint64))
     splitters = seen[(np.arange(1, parts) * len(seen)) // parts] if len(seen) else np.zeros(0, np.uint64)
     dealt = d.mapInArrow(lambda it: _deal(it, length, splitters), "bucket int, packed binary")
-    marks = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _sort_range(it, length, splitters), "row long, packed binary"))
+    marks = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _sort_range(it, length, splitters, hot), "row long, packed binary"))
+    counts = np.frombuffer(b"".join(x[0] for x in marks.where("row is null").select("packed").collect()), np.int64).reshape(-1, 2)
+    grams, of = np.unique(counts[:, 0].view(np.uint64), return_inverse=True)
+    frequent = grams[np.bincount(of, weights=counts[:, 1], minlength=len(grams)) > hot]
+    marks = marks.where("row is not null")
     of_doc = lambda m: m.groupBy("row").agg(F.collect_list("packed").alias("marks"))
     open_ = d.join(of_doc(marks).hint("merge"), "row")
-    dealt = open_.mapInArrow(lambda it: _contexts(it, length, parts), "bucket int, head binary, bytes binary")
+    dealt = open_.mapInArrow(lambda it: _contexts(it, length, parts, frequent), "bucket int, head binary, bytes binary")
     found = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _compare(it, length), "row long, packed binary"))
     out = d.join(of_doc(marks.union(found)).hint("merge"), "row", "left")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts

@@ -71,6 +71,21 @@ def test_substring_dedup_repeated_and_null_ids(spark):
     assert got == removed(spark, rows)
 
 
+@pytest.mark.parametrize("hot", [50, 199, 200])
+def test_substring_dedup_gram_over_several_ranges(spark, monkeypatch, hot):
+    """200 contexts of one gram, which equals every splitter: about 50 in each of 4 ranges."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    r = random.Random(6)
+    grams = [noise(r, 32) for _ in range(5000)]
+    raw, at = np.frombuffer("".join(grams).encode(), np.uint8), np.arange(5000) * 32
+    gram = grams[int(np.argmin(substring_dedup.mix(substring_dedup.span_hashes(raw, at, at + 32))))]
+    blocks = [noise(r, 34) + gram + noise(r, 34) for _ in range(10)]
+    rows = [(i, noise(r, 15) + blocks[i % 10] + noise(r, 15)) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.substring_dedup(d).collect())
+    assert got == removed(spark, rows)
+
+
 def test_multikey_order():
     g = np.random.default_rng(0)
     keys = [g.integers(0, 3, 500).astype(np.uint64) for _ in range(4)]
