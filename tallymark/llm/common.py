@@ -157,6 +157,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def rest_of(docs: DataFrame) -> list[str]:
+    """The columns of docs besides doc_id and text."""
+    return [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+
+
 def ranked(scratch: Scratch, df: DataFrame, by: list, name: str = "pos") -> DataFrame:
     """df with a dense 0-based place in the order of `by`, from a range sort.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, unused
+from .common import Scratch, rest_of, unused
 
 BLOCK_BYTES = 2048
 
@@ -92,10 +92,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns; repeated rows stay once."""
+    """The rows of docs that stay, with their columns.
+
+    Rows that repeat doc_id and text stay once, the one of greatest other columns as JSON. Different
+    texts of one doc_id, or of none, all stay.
+    """
     i, h = unused(docs, "_id"), unused(docs, "_h")
     keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
     match = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(h))
     kept = docs.join(keep, match, "left_semi")
     again = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    if again.isEmpty():
+        return kept
+    row, text = unused(docs, "_r"), unused(docs, "_t")
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), F.to_json(F.struct("doc_id", *rest_of(docs)))))
+    return kept.groupBy("doc_id", F.coalesce("text", F.lit("")).alias(text)).agg(best.alias(row)).select(f"{row}.*")

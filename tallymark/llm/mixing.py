@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, ranked, unused
+from .common import WORD, Scratch, ranked, rest_of, unused
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -69,7 +69,7 @@ def _inverse(u: Column, knots) -> Column:
     return out
 
 
-def plan_mix(docs: DataFrame, schedules=SCHEDULES, cut_digits: int = CUT_DIGITS, **targets) -> DataFrame:
+def plan_mix(docs: DataFrame, schedules=SCHEDULES, cut_digits: int = CUT_DIGITS, tie: str | None = None, **targets) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies (start, words, position), taken.
 
     size counts the words of the text; null and empty texts have 0. A document
@@ -77,18 +77,22 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, cut_digits: int = CUT_DIGITS,
     crosses the target is taken in part, so that the words of a source sum to
     its target rounded down. Documents of equal order key (repeated rows) follow
     by doc_id. The order key is the MD5 of doc_id; a null doc_id has the MD5 of
-    the empty string. An empty table gives no rows; other columns are ignored.
+    the empty string. A column named by tie orders rows of equal doc_id, stands in for
+    a null one in the order key, and is kept as tie. An empty table gives no rows; other
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), size.alias("size"))
+    ties = [F.col(tie).alias("tie")] if tie else []
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), *ties, F.lit(""))).alias("key"), size.alias("size"), *ties)
+    ties = ["tie"] if tie else []
     d = scratch.save(d.withColumn("cut", F.substring("key", 1, cut_digits)))
     s = scratch.save(source_targets(scratch, d.select("source", "size"), **targets))
     # Running sums over a source of any size: sums of its cuts first, then within each cut.
     w = Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     cuts = d.groupBy("source", "cut").agg(F.sum("size").alias("cut_size")).withColumn("cut_start", F.coalesce(F.sum("cut_size").over(w), F.lit(0)))
     cuts = cuts.select(F.col("source").alias("s"), F.col("cut").alias("c"), "cut_start").join(s.drop("weight", "cap"), F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    inner = Window.partitionBy("source", "cut").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "cut").orderBy("key", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("cut") == F.col("c")))
     begin = F.col("cut_start") + F.col("within")
@@ -105,7 +109,7 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, cut_digits: int = CUT_DIGITS,
         return F.struct(start.cast("long").alias("start"), words.alias("words"), at.alias("position"))
 
     copies = F.filter(F.array(*[copy(k) for k in range(most)]), lambda c: c["words"] > 0)
-    d = d.select("doc_id", "source", "size", "source_size", "target", "key", copies.alias("copies"))
+    d = d.select("doc_id", "source", "size", "source_size", "target", "key", copies.alias("copies"), *ties)
     return d.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"]))
 
 
@@ -124,14 +128,20 @@ def mix_stage(docs: DataFrame) -> DataFrame:
 
     Rows keep the columns of docs and whole texts. The copy that crosses its
     source's target is in if at least half of its words are. Documents without
-    words take no part in the mix. Of rows that repeat a doc_id the one with the
-    greatest text takes part.
+    words take no part in the mix. Of rows that repeat doc_id and text the one of greatest
+    other columns as JSON takes part. Different texts of one doc_id, or of none, are documents of
+    their own, told apart by the SHA-256 of the text.
     """
+    tie = None
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        docs = docs.groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
-    m = plan_mix(docs).select("doc_id", "key", "size", F.explode("copies").alias("c")).where("2 * c.words >= size")
-    i, at, start = (unused(docs, x) for x in ("_id", "_at", "_start"))
-    m = m.select(F.col("doc_id").alias(i), F.col("c.position").alias(at), F.col("c.start").alias(start))
-    out = docs.join(m.distinct(), F.col("doc_id").eqNullSafe(F.col(i)))
-    return out.repartitionByRange(at, start, "doc_id").sortWithinPartitions(at, start, "doc_id").select(*docs.columns)
+        row, tie = unused(docs, "_r"), unused(docs, "_tie")
+        best = F.max_by(F.struct(*docs.columns), F.to_json(F.struct("doc_id", *rest_of(docs))))
+        one = docs.groupBy("doc_id", "text").agg(best.alias(row)).select(f"{row}.*")
+        docs = Scratch(docs.sparkSession).save(one.withColumn(tie, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)))
+    columns = [c for c in docs.columns if c != tie]
+    m = plan_mix(docs, tie=tie).select("*", F.explode("copies").alias("c")).where("2 * c.words >= size")
+    i, at, start, of = (unused(docs, x) for x in ("_id", "_at", "_start", "_of"))
+    m = m.select(F.col("doc_id").alias(i), F.col("c.position").alias(at), F.col("c.start").alias(start), *([F.col("tie").alias(of)] if tie else []))
+    match = F.col("doc_id").eqNullSafe(F.col(i))
+    out = docs.join(m.distinct(), match & (F.col(tie) == F.col(of)) if tie else match)
+    return out.repartitionByRange(at, start, "doc_id").sortWithinPartitions(at, start, "doc_id").select(*columns)

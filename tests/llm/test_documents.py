@@ -172,6 +172,24 @@ def test_mixing_stage(docs, empty):
     assert mixing.mix_digest(empty).count() == 0 and mixing.mix_stage(empty).count() == 0
 
 
+def test_stages_keep_distinct_texts_of_shared_and_null_ids(spark):
+    r = random.Random(9)
+    rows = [(None if k % 2 else 7, " ".join(r.choice("abcdefghij") * 2 for _ in range(r.randint(5, 30))) + f" {k}", "s", k) for k in range(60)]
+    rows += [(1, "single text", "s", 1), (None, rows[1][1], "s", 500), (7, rows[0][1], "s", 501)]
+    best = {(i, t): n for i, t, _, n in sorted(rows, key=lambda x: x[3])}
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    kept = exact_dedup.dedup_stage(d)
+    assert kept.columns == d.columns
+    assert sorted((str(x.doc_id), x.text, x.n) for x in kept.collect()) == sorted((str(i), t, n) for (i, t), n in best.items())
+    # One source has its target at one and a half epochs: every text comes once or twice
+    out = mixing.mix_stage(d)
+    assert out.columns == d.columns
+    n = Counter((x.doc_id, x.text) for x in out.collect())
+    assert set(n) == set(best) and set(n.values()) == {1, 2}
+    assert {x.n for x in out.collect()} == set(best.values())
+    assert n == Counter((x.doc_id, x.text) for x in mixing.mix_stage(d.repartition(3)).collect())
+
+
 def test_language_id(spark, empty):
     r = random.Random(1)
     syll = {"en": ["the", "ing", "wh", "ed"], "de": ["sch", "ung", "über", "ein"], "fr": ["eau", "ment", "é", "que"]}
