@@ -4,9 +4,9 @@ A known word scores its log frequency in every language. A word outside the
 vocabulary is read character by character with the longest known n-gram that ends
 there, from LONGEST characters down to one, each step down at a fixed discount.
 
-The model is fitted on a bounded sample of rows with a language (about SAMPLE_ROWS,
-by hash of doc_id) outside the held-out fold, and keeps at most VOCABULARY words and
-NGRAMS n-grams of each length.
+The model is fitted on a bounded sample of rows with a language (about SAMPLE_ROWS shared
+equally among the languages, by hash of doc_id) outside the held-out fold, and keeps at
+most VOCABULARY words and NGRAMS n-grams of each length.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import small_batches
 from .toxicity import held_out
 
 SAMPLE_ROWS, VOCABULARY, NGRAMS, LONGEST = 6000, 50_000, 20_000, 4
+#: Rows of each language at least, if it has them, however many languages share SAMPLE_ROWS.
+LEAST_ROWS = 200
 FOLDS, HELD_OUT = 4, 2
 #: log of the factor for each step to a shorter n-gram.
 BACKOFF = np.log(0.4)
@@ -81,9 +83,13 @@ class Model:
 
 
 def sample_rows(docs: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """(text, language) of about equally many rows of each language, of a rare one all."""
     some = docs.where(~held_out(FOLDS, HELD_OUT)).where("lang is not null and text is not null and doc_id is not null")
-    n = some.count()
-    rows = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1, most / max(n, 1)))).select("doc_id", "text", "lang")
+    counts = some.groupBy("lang").count().collect()
+    each = max(most // max(len(counts), 1), LEAST_ROWS)
+    share = docs.sparkSession.createDataFrame([(str(r[0]), int(1e9 * min(1, each / r[1]))) for r in counts], "_lang string, _share long")
+    some = some.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(share), F.col("lang") == F.col("_lang"))
+    rows = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < F.col("_share")).select("doc_id", "text", "lang")
     return [(t, str(x)) for _, t, x in sorted(map(tuple, rows.collect()))]
 
 

@@ -208,6 +208,12 @@ def test_language_id(spark, empty):
     assert {x.lang_pred for x in none} == {"und"}
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    rows = [(i, "t", "en" if i % 400 else "xx") for i in range(8000)]
+    n = Counter(x for _, x in language_id.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=40))
+    assert n["xx"] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _, x in rows if x == "xx") and 130 < n["en"] < 270
+
+
 def test_toxicity(spark, empty):
     r = random.Random(2)
     base = [f"w{k}" for k in range(200)]
