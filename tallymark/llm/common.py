@@ -38,12 +38,14 @@ class Scratch:
     """Written tables in the folder that the cluster names in spark.checkpoint.dir.
 
     Lost executors cost no more than the step in hand, since each saved table
-    is read back from shared storage. Only where the session names no folder
-    (tests) a temporary one is made and set.
+    is read back from shared storage. Only where the session names no folder and
+    runs on this machine alone (tests) a temporary one is made and set.
     """
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tallymark-")
             spark.conf.set("spark.checkpoint.dir", base)
@@ -202,5 +204,7 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
         owner, e = now, left
         if e.isEmpty():
             break
+    else:
+        raise RuntimeError("components are not finished after 200 rounds")
     low = owner.groupBy("root").agg(F.min("node").alias("component"))
     return owner.join(low, "root").select("node", "component")

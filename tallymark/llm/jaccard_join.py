@@ -12,12 +12,9 @@ once more under another cut, and with the last cut they count even if empty. If
 similar sets agree on empty subsets alone, both have more than SPARE such parts and meet
 again, so no link is lost.
 
-Sets that share a signature are candidates. A group of up to SMALL of them gives its
-pairs, which must pass a bound on the intersection from a small histogram; the members of
-a larger group are tied to its least member. Candidates that hang together are then
-compared block against block on their whole sets, and each comparison of two blocks
-yields a spanning forest of its links instead of the links. All of this is exact
-but for 64-bit hashes of n-grams and 128-bit hashes of sets.
+Sets that share a signature are compared by way of the group's least member and its other
+members (see similar.py). All of this is exact but for 64-bit hashes of n-grams and 128-bit
+hashes of sets.
 """
 
 from __future__ import annotations
@@ -30,15 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lower_ascii, mix, powers, slices, span_hashes, text_bytes, unused, word_spans
+from .common import Scratch, lower_ascii, mix, powers, slices, span_hashes, text_bytes, unused, word_spans
+from .similar import SETS, group_stars, linked_components, pack_buckets, set_columns
 
 NGRAM, PERCENT = 4, 85
-#: Members of a signature group that give all their pairs; cuts of the domain; cells of the histogram.
-SMALL, CUTS, CELLS = 8, 3, 64
+#: Cuts of the domain.
+CUTS = 3
 #: Up to so many differences the cut is finer.
 FINE = 40
-#: Documents in a block of the last comparison.
-BLOCK = 96
 BATCH_BYTES = 4 << 20
 
 
@@ -144,12 +140,6 @@ def signatures(g: np.ndarray, off: np.ndarray, percent: int = PERCENT) -> tuple[
     return np.concatenate(out_set), np.concatenate(out_sig)
 
 
-def _histogram(g: np.ndarray, off: np.ndarray) -> np.ndarray:
-    n = len(off) - 1
-    cell = np.repeat(np.arange(n), np.diff(off)) * CELLS + (g >> np.uint64(58)).astype(np.int64) % CELLS
-    return np.minimum(np.bincount(cell, minlength=n * CELLS).reshape(n, CELLS), 65535).astype(np.uint16)
-
-
 def _prints(g: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit fingerprints of each set."""
     docs = len(off) - 1
@@ -167,9 +157,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         for b in slices(whole, BATCH_BYTES):
             g, off = shingle_sets(b.column("text"), n)
             fa, fb = _prints(g, off)
-            yield pa.record_batch(
-                {"doc_id": b.column("doc_id"), "n_shingles": pa.array(np.diff(off)), "fa": pa.array(fa), "fb": pa.array(fb), "hist": pa.array([h.tobytes() for h in _histogram(g, off)], pa.binary())}
-            )
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_shingles": pa.array(np.diff(off)), "fa": pa.array(fa), "fb": pa.array(fb)})
 
 
 def _deal(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int, sign) -> Iterator[pa.RecordBatch]:
@@ -186,115 +174,17 @@ def _deal(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int,
             first[np.unique(fa, return_index=True)[1]] = True
             keep = first[sets]
             sets, sig = sets[keep], sig[keep]
-            bucket = (sig % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            both = np.empty((len(sig), 2), np.int64)
-            both[:, 0], both[:, 1] = sig[order].view(np.int64), fa[sets[order]]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = [i for i in range(buckets) if cuts[i + 1] > cuts[i]]
-            yield pa.record_batch({"bucket": pa.array(some, pa.int32()), "packed": pa.array([both[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of one bucket: pairs of small groups (tied false), stars of large ones (tied true)."""
-    raw = [x for b in batches for x in b.column("packed").to_pylist()]
-    both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-    del raw
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    both = both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])] if len(both) else both
-    sig, owner = both[:, 0], both[:, 1]
-    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([head, [len(sig)]]))
-    pairs = []
-    for m in range(2, SMALL + 1):
-        at = head[size == m]
-        if len(at):
-            members = owner[at[:, None] + np.arange(m)]
-            i, j = np.triu_indices(m, 1)
-            pairs.append(np.stack([members[:, i].ravel(), members[:, j].ravel()], 1))
-    large = size > SMALL
-    star_at = np.repeat(head[large], size[large])
-    inner = np.arange(len(star_at)) - np.repeat(np.cumsum(size[large]) - size[large], size[large])
-    stars = np.stack([owner[star_at], owner[star_at + inner]], 1)[inner > 0] if len(star_at) else np.zeros((0, 2), np.int64)
-    for part, tied in ((np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), False), (stars, True)):
-        if len(part):
-            part = np.unique(part, axis=0) if len(part) < 2_000_000 else part
-            for k in range(0, len(part), 100_000):
-                p = part[k : k + 100_000]
-                yield pa.record_batch({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1]), "tied": pa.array(np.full(len(p), tied))})
-
-
-def _may_link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose histograms allow a link."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        n1, n2 = b.column("n1").to_numpy(), b.column("n2").to_numpy()
-        h1 = np.frombuffer(b"".join(b.column("h1").to_pylist()), np.uint16).reshape(-1, CELLS)
-        h2 = np.frombuffer(b"".join(b.column("h2").to_pylist()), np.uint16).reshape(-1, CELLS)
-        # Counts that were cut off at the greatest of a cell say nothing.
-        most = np.where((h1 == 65535).any(1) | (h2 == 65535).any(1), np.minimum(n1, n2), np.minimum(h1, h2).sum(1, dtype=np.int64))
-        ok = (100 + percent) * most >= percent * (n1 + n2)
-        yield pa.record_batch({"a": b.column("r1"), "b": b.column("r2")}).filter(pa.array(ok))
+            yield pack_buckets(sig, np.stack([sig.view(np.int64), fa[sets]], 1), buckets)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The sets of texts whose fingerprints are those of the class that they stand for."""
     for whole in batches:
         for b in slices(whole, BATCH_BYTES):
             g, off = shingle_sets(b.column("text"), n)
-            yield pa.record_batch(
-                {"doc_id": b.column("doc_id"), "component": b.column("component"), "n": b.column("n"), "elements": pa.array([g[off[i] : off[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())}
-            )
-
-
-def linked_forest(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int, within: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: all pairs if within, else those of a left and a right one."""
-    m = len(ids)
-    n = np.array([len(s) for s in sets])
-    x, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
-    order = np.argsort(x, kind="stable")
-    x, owner = x[order], owner[order]
-    new = np.concatenate([[True], x[1:] != x[:-1]])
-    col = np.cumsum(new) - 1
-    shared = np.bincount(col)[col] > 1
-    owner, col = owner[shared], np.unique(col[shared], return_inverse=True)[1]
-    common = np.zeros((m, m), np.float32)
-    width = int(col.max()) + 1 if len(col) else 0
-    at = np.searchsorted(col, np.arange(0, width + 8192, 8192))
-    for k in range(len(at) - 1):
-        if at[k + 1] > at[k]:
-            inc = np.zeros((m, min(8192, width - k * 8192)), np.float32)
-            inc[owner[at[k] : at[k + 1]], col[at[k] : at[k + 1]] - k * 8192] = 1
-            common += inc @ inc.T
-    i, j = np.nonzero(np.triu((100 + percent) * common.astype(np.int64) >= percent * (n[:, None] + n[None, :]), 1))
-    if not within:
-        cross = left[i] != left[j]
-        i, j = i[cross], j[cross]
-    up = np.arange(m)
-
-    def root(a):
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        return a
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist()):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            up[max(ra, rb)] = min(ra, rb)
-            out.append((int(ids[a]), int(ids[b])))
-    return out
-
-
-def _compare(percent: int):
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("doc_id").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        edges = linked_forest(ids, sets, t.column("own").to_numpy() == i, percent, i == j)
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
-
-    return run
+            fa, fb = _prints(g, off)
+            same = (fa == b.column("fa").to_numpy()) & (fb == b.column("fb").to_numpy())
+            yield pa.record_batch({"node": b.column("node")} | set_columns(g, off)).filter(pa.array(same))
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, sign=signatures) -> DataFrame:
@@ -306,48 +196,37 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, sign=s
     with equal sets are in one component. doc_ids should be distinct: rows of one doc_id
     give a row each, and share a component_id where their sets are equal. A row without a
     doc_id gives a row with a null component_id. An empty table gives no rows. sign takes
-    sets, offsets and the percent, and names the signatures of each set.
+    sets, offsets and the percent, and names the signatures of each set. Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = scratch.save(texts.mapInArrow(lambda it: _sketch(it, n), "doc_id long, n_shingles long, fa long, fb long, hist binary"))
+    made = scratch.save(texts.mapInArrow(lambda it: _sketch(it, n), "doc_id long, n_shingles long, fa long, fb long"))
     same = ["n_shingles", "fa", "fb"]
-    of_class = scratch.save(made.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("hist").alias("hist")))
+    of_class = made.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    of_class = scratch.save(of_class.withColumn("node", F.monotonically_increasing_id()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     packed = texts.where("doc_id is not null").select("text").mapInArrow(lambda it: _deal(it, n, percent, parts, sign), "bucket int, packed binary")
-    found = scratch.save(packed.repartition(parts, "bucket").mapInArrow(_groups, "a long, b long, tied boolean"))
-
-    def side(x: str, k: int) -> DataFrame:
-        """Fingerprint to class; should sets share one, all their classes."""
-        return of_class.select(F.col("fa").alias(x), F.col("rep").alias(f"r{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("hist").alias(f"h{k}"))
-
-    known = found.where("not tied").select("a", "b").distinct().join(side("a", 1), "a").join(side("b", 2), "b")
-    edges = known.mapInArrow(lambda it: _may_link(it, percent), "a long, b long")
-    edges = edges.union(found.where("tied").select("a", "b").distinct().join(side("a", 1).select("a", "r1"), "a").join(side("b", 2).select("b", "r2"), "b").select("r1", "r2"))
-    hung = scratch.save(components(scratch, edges))
-    scratch.drop(found)
-    place = components_blocks(scratch, hung)
+    found = scratch.save(packed.repartition(parts, "bucket").mapInArrow(group_stars, "a long, b long").distinct())
+    # From fingerprints to classes; should several classes share one, all of them.
+    of = lambda x: of_class.select(F.col("fa").alias(x), F.col("node").alias(f"n{x}"))
+    stars = scratch.save(found.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
     # Merged at every size: what hangs together grows with the corpus.
-    sets = place.hint("merge").join(texts.withColumnRenamed("doc_id", "d"), F.col("node") == F.col("d")).select(F.col("d").alias("doc_id"), "component", F.struct("block", "blocks").alias("n"), "text")
-    sets = scratch.save(sets.mapInArrow(lambda it: _sets(it, n), "doc_id long, component long, n struct<block:int,blocks:int>, elements binary").dropDuplicates(["doc_id"]))
-    against = F.explode(F.sequence(F.lit(0), F.col("n.blocks") - 1)).alias("other")
-    dealt = sets.select("doc_id", "component", "elements", F.col("n.block").alias("own"), against)
-    dealt = dealt.select("doc_id", "component", "elements", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = dealt.groupBy("component", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    linked = scratch.save(components(scratch, links))
-    classes = of_class.join(linked, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("found"))
+    nodes = stars.select("a").union(stars.select("b")).distinct().join(of_class, F.col("a") == F.col("node")).select("node", "rep", "fa", "fb")
+    sets = nodes.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("node", "fa", "fb", "text")
+    sets = scratch.save(sets.mapInArrow(lambda it: _sets(it, n), SETS).dropDuplicates(["node"]))
+    linked = linked_components(scratch, stars, sets, percent)
+    scratch.drop(found, stars, sets)
+    # Of each component the least doc_id.
+    classes = of_class.join(linked.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*same, "rep", F.coalesce("component", "node").alias("c"))
+    low = classes.groupBy("c").agg(F.min("rep").alias("found"))
+    classes = classes.join(low, "c").select(*same, "found")
     out = made.select("doc_id", *same).join(classes, same, "left")
     own = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def components_blocks(scratch: Scratch, hung: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(node, component, block, blocks): components cut by hash into blocks of about size nodes."""
-    count = hung.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
-    return hung.join(count, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
-
-
 def jaccard_stage(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of least doc_id, with the columns of docs."""
     i = unused(docs, "_id")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tallymark.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_sampling, toxicity
+from tallymark.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_sampling, similar, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, raw string, `key` int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,10 +82,10 @@ def plain_sets(n=4):
     return out
 
 
-@pytest.mark.parametrize("percent,small,block", [(85, 8, 96), (85, 2, 3)])
-def test_jaccard_join(docs, monkeypatch, percent, small, block):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join.components_blocks, "__defaults__", (block,))
+@pytest.mark.parametrize("percent,chunk,block", [(85, 1 << 20, 1024), (85, 100, 3), (70, 100, 3)])
+def test_jaccard_join(docs, monkeypatch, percent, chunk, block):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "BLOCK", block)
     s = plain_sets()
     ids = sorted(s)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])]
