@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, lower_ascii, mix, powers, slices, span_hashes, text_bytes, unused, word_spans
-from .similar import SETS, group_stars, linked_components, pack_buckets, set_columns
+from .similar import SETS, leader_pairs, linked_components, pack_buckets, set_columns
 
 NGRAM, PERCENT = 4, 85
 #: Cuts of the domain.
@@ -208,7 +208,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, sign=s
     of_class = scratch.save(of_class.withColumn("node", F.monotonically_increasing_id()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     packed = texts.where("doc_id is not null").select("text").mapInArrow(lambda it: _deal(it, n, percent, parts, sign), "bucket int, packed binary")
-    found = scratch.save(packed.repartition(parts, "bucket").mapInArrow(group_stars, "a long, b long").distinct())
+    found = leader_pairs(scratch, packed, parts)
     # From fingerprints to classes; should several classes share one, all of them.
     of = lambda x: of_class.select(F.col("fa").alias(x), F.col("node").alias(f"n{x}"))
     stars = scratch.save(found.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))

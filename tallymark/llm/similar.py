@@ -19,41 +19,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, mix
 
 #: Cells of a histogram, members of a block, elements of the sets that are compared with one leader in one task.
 CELLS, BLOCK, CHUNK = 64, 1024, 1 << 20
 SETS = "node long, n long, hist binary, elements binary"
 
 
-def group_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of one bucket of packed (signature, member): each group's least member with every other one."""
+def pack_buckets(keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of 64-bit words as one binary for each bucket, the key modulo their number."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = np.ascontiguousarray(rows[order])
+    some = np.flatnonzero(np.diff(cuts))
+    return pa.record_batch({"bucket": pa.array(some.astype(np.int32)), "packed": pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
+
+
+def _unique(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])] if len(rows) else rows
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     raw = [x for b in batches for x in b.column("packed").to_pylist()]
-    both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-    del raw
+    return _unique(np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2))
+
+
+def group_stars(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of one bucket of packed (signature, member) each group's least member with every other one, packed by pair."""
+    both = _unpacked(batches)
     if not len(both):
         return
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
     sig, owner = both[:, 0], both[:, 1]
     head = np.concatenate([[True], sig[1:] != sig[:-1]])
     leader = owner[np.flatnonzero(head)][np.cumsum(head) - 1]
     other = leader != owner
-    stars = np.stack([leader[other], owner[other]], 1)
-    stars = stars[np.lexsort((stars[:, 1], stars[:, 0]))]
-    if len(stars):
-        stars = stars[np.concatenate([[True], (stars[1:] != stars[:-1]).any(1)])]
-    for k in range(0, len(stars), 100_000):
-        yield pa.record_batch({"a": pa.array(stars[k : k + 100_000, 0]), "b": pa.array(stars[k : k + 100_000, 1])})
+    pairs = _unique(np.stack([leader[other], owner[other]], 1))
+    yield pack_buckets(mix(pairs[:, 0].view(np.uint64) + mix(pairs[:, 1].view(np.uint64))), pairs, buckets)
 
 
-def pack_buckets(keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of 64-bit words as one binary for each bucket, the key modulo their number."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = np.ascontiguousarray(rows[order])
-    some = np.flatnonzero(np.diff(cuts))
-    return pa.record_batch({"bucket": pa.array(some.astype(np.int32)), "packed": pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
+def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the distinct pairs of one bucket."""
+    pairs = _unpacked(batches)
+    for k in range(0, len(pairs), 100_000):
+        yield pa.record_batch({"a": pa.array(pairs[k : k + 100_000, 0]), "b": pa.array(pairs[k : k + 100_000, 1])})
+
+
+def leader_pairs(scratch: Scratch, packed: DataFrame, buckets: int) -> DataFrame:
+    """(a, b) of all groups of packed (signature, member): a leader and another member, each pair once."""
+    stars = packed.repartition(buckets, "bucket").mapInArrow(lambda it: group_stars(it, buckets), "bucket int, packed binary")
+    return scratch.save(stars.repartition(buckets, "bucket").mapInArrow(pair_rows, "a long, b long"))
 
 
 def set_columns(g: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
