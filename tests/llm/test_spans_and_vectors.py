@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -98,29 +99,87 @@ def test_substring_empty(spark):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_paragraph_dedup(spark):
+def paragraph_rows():
+    """The fixture rows, and passages of 50 words and more inside other words, of lines, with changes, and in repeated rows."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 8)))
+    passages = [[word() for _ in range(n)] for n in (50, 51, 60, 90)]
     rows = texts()
-    para = [(i, p, line) for i, t in rows for p, line in enumerate((t or "").split("\n")) if line.encode().split()]
+    for k in range(24):
+        p = list(passages[k % 4])
+        if k % 6 == 5:
+            p[3] = p[3] + "x"
+        rows.append((9000 + k, " ".join([word() for _ in range(r.randint(0, 40))] + p) + "\n" * (k % 3 == 0) + " " + " ".join(word() for _ in range(r.randint(0, 40)))))
+    rows += [(9500, rows[-1][1]), (9500, rows[-1][1]), (None, rows[-2][1]), (None, " ".join(passages[3]).upper()), (9500, " ".join(word() for _ in range(70)))]
+    clean = [(9600 + k, " ".join(word() for _ in range(120)) + "\nsame short line of nine words in every text\nOf.") for k in range(10)]
+    return rows + clean, passages
 
-    def shingles(line):
-        w = line.encode().lower().split()
-        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
-    sets = [shingles(x) for _, _, x in para]
-    links = [(a, b) for a in range(len(para)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+def test_paragraph_dedup(spark):
+    rows, _ = paragraph_rows()
+    h = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    keys = sorted({((i is not None, i or 0), h[t or ""], t or "") for i, t in rows})
+    para = []
+    for key, hash_, t in keys:
+        p = paragraph_dedup.Paragraphs(paragraph_dedup.pa.array([t]))
+        words = t.encode().lower().split() if t.isascii() else [w.lower() for w in paragraph_dedup.text_bytes(paragraph_dedup.pa.array([t]))[0].tobytes().split()]
+        for pos in p.pos.tolist():
+            w = words[pos : pos + 24]
+            assert len(w) == 24
+            para.append((key, hash_, t, pos, frozenset(tuple(w[k : k + 5]) for k in range(20))))
+    links = [(a, b) for a in range(len(para)) for b in range(a) if 100 * len(para[a][4] & para[b][4]) >= 80 * len(para[a][4] | para[b][4])]
     comp, gone = roots(range(len(para)), links), {}
-    for c in set(comp.values()):
-        members = sorted((para[k][:2] for k in comp if comp[k] == c))
-        for i, p in members[1:]:
-            gone.setdefault(i, set()).add(p)
+    for k, c in comp.items():
+        if para[k][:3] != para[c][:3] or para[k][3] - para[c][3] >= 24:
+            gone.setdefault(para[k][:3], set()).add(para[k][3])
+    assert len(links) > 100 and any(0 < len(para[a][4] & para[b][4]) < 20 for a, b in links)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for r in paragraph_dedup.paragraph_dedup(d).collect():
-        lines = (dict(rows)[r.doc_id] or "").split("\n")
-        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone.get(r.doc_id, ()))
-        assert (r.n_paragraphs, r.n_removed, r.kept_text) == (len(lines), len(gone.get(r.doc_id, ())), kept)
+    got = paragraph_dedup.paragraph_dedup(d).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for i, t in rows:
+        t = t or ""
+        out = gone.get(((i is not None, i or 0), h[t], t), set())
+        spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())]
+        kept, upto = b"", 0
+        off = {w for x in out for w in range(x, x + 24)}
+        for w, (s, _) in enumerate(spans):
+            if w in off and w - 1 not in off:
+                kept += t.encode()[upto:s]
+            if w in off:
+                upto = spans[w + 1][0] if w + 1 < len(spans) else spans[w][1]
+        want.setdefault((i, hashlib.sha256(kept + t.encode()[upto:]).hexdigest(), len(out), len(off)), []).append(1)
+    have = {}
+    for r in got:
+        assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+        have.setdefault((r.doc_id, r.kept_sha256, r.n_removed, r.n_words_removed), []).append(1)
+    # Bands may miss a pair near the threshold; none of these does.
+    assert have == want
     assert paragraph_dedup.paragraph_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_paragraphs_catch_passages_and_leave_clean_texts(spark):
+    """Every text but the first with a passage of 50 words loses some of it; short common lines cost nothing."""
+    rows, passages = paragraph_rows()
+    d = spark.createDataFrame([x for x in rows if x[0] and x[0] >= 9000], "doc_id long, text string")
+    got = {r.doc_id: r for r in paragraph_dedup.paragraph_dedup(d).collect() if r.doc_id != 9500}
+    assert all(got[9000 + k].n_removed > 0 for k in range(6, 24) if k % 6 != 5)
+    assert all(got[9000 + k].n_removed == 0 for k in range(4)) and all(got[9600 + k].n_removed == 0 for k in range(10))
+
+
+def test_minhash_bands_meet_at_the_threshold():
+    """The share of pairs of equal chance that share a band, against the formula."""
+    r = random.Random(3)
+    hit = 0
+    for k in range(300):
+        words = [f"w{r.random()}" for _ in range(24)]
+        # 18 of 22 shingles in common: .818
+        other = [f"v{r.random()}" for _ in range(2)] + words[:-2] if k % 2 else words[2:] + [f"v{r.random()}", f"u{r.random()}"]
+        a, b = (paragraph_dedup.Paragraphs(paragraph_dedup.pa.array([" ".join(x)])) for x in (words, other))
+        hit += bool(set(a.bands()[1].tolist()) & set(b.bands()[1].tolist()))
+    assert hit >= 0.98 * 300
+
+
 def test_embedding_dedup(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SIZE", 16)
     g = np.random.default_rng(4)
