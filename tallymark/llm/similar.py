@@ -80,21 +80,32 @@ def set_columns(g: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
     return {"n": pa.array(np.diff(off).astype(np.int64)), "hist": pa.array([h.tobytes() for h in hist], pa.binary()), "elements": pa.array([g[off[i] : off[i + 1]].tobytes() for i in range(m)], pa.binary())}
 
 
-def _against_leader(t: pa.Table) -> pa.Table:
-    """(a, b, both, na, nb): how many elements each member has in common with the leader."""
-    own = t.column("own").to_numpy()
-    ids = t.column("node").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
-    at = int(np.flatnonzero(own)[0])
-    rest = np.flatnonzero(~own)
-    lead = sets[at]
-    n = np.array([len(sets[i]) for i in rest], np.int64)
-    x = np.concatenate([sets[i] for i in rest])
-    place = np.minimum(np.searchsorted(lead, x), len(lead) - 1)
-    hits = np.concatenate([[0], np.cumsum(lead[place] == x)])
-    upto = np.cumsum(n)
-    both = hits[upto] - hits[upto - n]
-    return pa.table({"a": pa.array(np.full(len(rest), ids[at])), "b": pa.array(ids[rest]), "both": pa.array(both.astype(np.int64)), "na": pa.array(np.full(len(rest), len(lead))), "nb": pa.array(n)})
+def _against_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, both, na, nb): how many elements each member has in common with its leader, from rows sorted so that the leader of a group comes first."""
+    carry = None
+    for t in batches:
+        if not t.num_rows:
+            continue
+        own, a, ids = t.column("own").to_numpy(zero_copy_only=False), t.column("a").to_numpy(), t.column("node").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+        if not own[0]:
+            own, a, ids, sets = np.append(True, own), np.append(carry[0], a), np.append(carry[0], ids), [carry[1], *sets]
+        lead = np.flatnonzero(own)
+        carry = (a[lead[-1]], sets[lead[-1]])
+        group = np.cumsum(own) - 1
+        n = np.array([len(x) for x in sets], np.int64)
+        elements = np.concatenate(sets)
+        # The element's number in the batch and the group's make one exact key.
+        x = np.unique(elements, return_inverse=True)[1].ravel() + np.repeat(group, n) * len(elements)
+        of_lead = np.repeat(own, n)
+        keys = x[of_lead]
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        hits = np.concatenate([[0], np.cumsum(keys[at] == x)])
+        upto = np.cumsum(n)
+        rest = np.flatnonzero(~own)
+        if len(rest):
+            both = (hits[upto] - hits[upto - n])[rest]
+            yield pa.record_batch({"a": pa.array(a[rest]), "b": pa.array(ids[rest]), "both": pa.array(both.astype(np.int64)), "na": pa.array(n[lead][group[rest]]), "nb": pa.array(n[rest])})
 
 
 def compared(scratch: Scratch, pairs: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -104,7 +115,9 @@ def compared(scratch: Scratch, pairs: DataFrame, sets: DataFrame, chunk: int = C
     placed = scratch.save(sized.join(total, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest("chunks", F.lit(1))).cast("int").alias("chunk")))
     members = placed.join(sets.select(F.col("node").alias("b"), "elements"), "b").select("a", "chunk", F.col("b").alias("node"), F.lit(False).alias("own"), "elements")
     leaders = placed.select("a", "chunk").distinct().join(sets.select(F.col("node").alias("a"), "elements"), "a").select("a", "chunk", F.col("a").alias("node"), F.lit(True).alias("own"), "elements")
-    return scratch.save(members.union(leaders).groupBy("a", "chunk").applyInArrow(_against_leader, "a long, b long, both long, na long, nb long"))
+    parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = members.union(leaders).repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.desc("own"))
+    return scratch.save(rows.mapInArrow(_against_leaders, "a long, b long, both long, na long, nb long"))
 
 
 def _try_blocks(percent: int):

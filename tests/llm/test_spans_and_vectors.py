@@ -126,8 +126,8 @@ def test_paragraph_dedup(spark):
         for pos in p.pos.tolist():
             w = words[pos : pos + 24]
             assert len(w) == 24
-            para.append((key, hash_, t, pos, frozenset(tuple(w[k : k + 5]) for k in range(20))))
-    links = [(a, b) for a in range(len(para)) for b in range(a) if 100 * len(para[a][4] & para[b][4]) >= 80 * len(para[a][4] | para[b][4])]
+            para.append((key, hash_, t, pos, frozenset(tuple(w[k : k + 5]) for k in range(20)), w[:2]))
+    links = [(a, b) for a in range(len(para)) for b in range(a) if para[a][5] == para[b][5] and 100 * len(para[a][4] & para[b][4]) >= 80 * len(para[a][4] | para[b][4])]
     comp, gone = roots(range(len(para)), links), {}
     for k, c in comp.items():
         if para[k][:3] != para[c][:3] or para[k][3] - para[c][3] >= 24:
@@ -167,17 +167,16 @@ def test_paragraphs_catch_passages_and_leave_clean_texts(spark):
     assert all(got[9000 + k].n_removed == 0 for k in range(4)) and all(got[9600 + k].n_removed == 0 for k in range(10))
 
 
-def test_minhash_bands_meet_at_the_threshold():
-    """The share of pairs of equal chance that share a band, against the formula."""
+def test_minhash_bands_meet_near_the_threshold():
+    """Pairs of one anchor and 18 of 22 shingles in common (.818) share a band as often as the formula says."""
     r = random.Random(3)
     hit = 0
-    for k in range(300):
+    for k in range(400):
         words = [f"w{r.random()}" for _ in range(24)]
-        # 18 of 22 shingles in common: .818
-        other = [f"v{r.random()}" for _ in range(2)] + words[:-2] if k % 2 else words[2:] + [f"v{r.random()}", f"u{r.random()}"]
+        other = words[:-2] + [f"v{r.random()}", f"u{r.random()}"]
         a, b = (paragraph_dedup.Paragraphs(paragraph_dedup.pa.array([" ".join(x)])) for x in (words, other))
         hit += bool(set(a.bands()[1].tolist()) & set(b.bands()[1].tolist()))
-    assert hit >= 0.98 * 300
+    assert hit >= 0.98 * 400
 
 
 def test_embedding_dedup(spark, monkeypatch):
