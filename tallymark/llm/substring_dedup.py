@@ -10,8 +10,8 @@ rest of the gram named by hash); a gram that fills several ranges is dealt among
 context. Each range is sorted by a multikey sort, one key word at a time among ties. A
 cell whose whole context occurs earlier is covered; one whose gram occurs in another
 context (or whose gram may go on across a boundary) has its windows compared one by one
-in a second exchange. Windows are told apart by 64-bit hashes of their bytes together
-with the hash of the gram.
+in a second exchange: by 64-bit hashes, and where these are equal by their bytes. Whole
+contexts are told apart by hashes alone, 64 bits of the context and 40 of the gram in it.
 
 Rows are first sorted by doc_id and a hash of the text and written with a number, by which
 they are ordered, marked and cut: a doc_id may be repeated or null.
@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix, slices, span_hashes, text_bytes
+from .similar import pack_buckets
 
 LENGTH, GRAM = 100, 32
-#: Documents in the sample for the splitters, and contexts of a gram from which its windows are dealt one by one.
+#: Documents in the sample for the splitters (its bound at every size), and contexts of a gram from which its windows are dealt one by one.
 SAMPLE_DOCS, HOT = 2000, 2048
 BATCH_BYTES = 3 << 20
 
@@ -100,14 +101,6 @@ def _bucket(g: np.ndarray, c: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     return low + (c % (high - low + 1).astype(np.uint64)).astype(np.int64)
 
 
-def _packed(bucket: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    rows = rows[order]
-    return pa.record_batch({"bucket": pa.array(some.astype(np.int32)), "packed": pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())})
-
-
 def _by_doc(doc: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(doc, kind="stable")
     d, rows = doc[order], rows[order]
@@ -116,6 +109,23 @@ def _by_doc(doc: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"row": pa.array(d[head]), "packed": pa.array([rows[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(head))], pa.binary())})
 
 
+def _marks(row: np.ndarray, m: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Marks of four numbers packed with their row by bucket of rows, so that a range gives a row for each bucket, not for each document."""
+    return pack_buckets(mix(row.view(np.uint64)), np.stack([row, m[:, 0] << 32 | m[:, 1], m[:, 2] << 32 | m[:, 3]], 1), buckets)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All marks of each document of one bucket."""
+    raw = [x for b in batches for x in b.column("packed").to_pylist()]
+    x = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 3)
+    del raw
+    if len(x):
+        low = (1 << 32) - 1
+        whole = _by_doc(x[:, 0], np.stack([x[:, 1] >> 32, x[:, 1] & low, x[:, 2] >> 32, x[:, 2] & low], 1).astype(np.int32))
+        for k in range(0, whole.num_rows, 20_000):
+            yield whole.slice(k, 20_000)
+
+
 def _deal(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, BATCH_BYTES):
@@ -125,14 +135,14 @@ def _deal(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray)
             place = k["first"] - off[k["doc"]]
             shape = (k["anchor"] - k["first"] << 16) | (k["last"] - k["first"])
             rows = np.stack([k["g"].view(np.int64), k["c"].view(np.int64), ids[k["doc"]], place << 32 | shape], 1) if len(place) else np.zeros((0, 4), np.int64)
-            yield _packed(_bucket(k["g"], k["c"], splitters), rows, len(splitters) + 1)
+            yield pack_buckets(_bucket(k["g"], k["c"], splitters).astype(np.uint64), rows, len(splitters) + 1)
 
 
-def _sort_range(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+def _sort_range(batches: Iterator[pa.RecordBatch], length: int, splitters: np.ndarray, most: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """For each document the cells that matter: (first, anchor - first, last - first, kind): 2 covered, 1 to compare, 3 to compare window by window.
 
     Cells of a gram dealt over several ranges have kind 4, to compare in one of both ways:
-    the number of its contexts in this range comes under no row, packed as (gram, contexts).
+    the number of its contexts in this range comes under no bucket, packed as (gram, contexts).
     """
     raw = [x for b in batches for x in b.column("packed").to_pylist()]
     rows = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 4)
@@ -151,12 +161,10 @@ def _sort_range(batches: Iterator[pa.RecordBatch], length: int, splitters: np.nd
     some = np.flatnonzero(new_g & split)
     if len(some):
         counts = np.stack([g[some].view(np.int64), contexts[some]], 1)
-        yield pa.record_batch({"row": pa.array([None], pa.int64()), "packed": pa.array([counts.tobytes()], pa.binary())})
+        yield pa.record_batch({"bucket": pa.array([None], pa.int32()), "packed": pa.array([counts.tobytes()], pa.binary())})
     keep = np.flatnonzero(kind)
-    out = np.stack([place[keep] >> 32, (place[keep] >> 16) & 0xFFFF, place[keep] & 0xFFFF, kind[keep]], 1).astype(np.int32)
-    whole = _by_doc(doc[keep], out)
-    for k in range(0, whole.num_rows, 20_000):
-        yield whole.slice(k, 20_000)
+    if len(keep):
+        yield _marks(doc[keep], np.stack([place[keep] >> 32, (place[keep] >> 16) & 0xFFFF, place[keep] & 0xFFFF, kind[keep]], 1), buckets)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -167,7 +175,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int, freq
     for whole in batches:
         for b in slices(whole, BATCH_BYTES):
             raw, off = text_bytes(b.column("text"))
-            marks = [np.frombuffer(b"".join(x), np.int32).reshape(-1, 4) for x in b.column("marks").to_pylist()]
+            marks = [np.frombuffer(x, np.int32).reshape(-1, 4) for x in b.column("packed").to_pylist()]
             n = np.array([len(x) for x in marks])
             m = np.concatenate(marks).astype(np.int64) if len(marks) else np.zeros((0, 4), np.int64)
             doc = np.repeat(np.arange(len(marks)), n)
@@ -201,7 +209,26 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, buckets: int, freq
             yield pa.record_batch({"bucket": pa.array(filled, pa.int32()), "head": pa.array(heads, pa.binary()), "bytes": pa.array(texts, pa.binary())})
 
 
-def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _told_apart(name: np.ndarray, raw: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Names of windows of which equal ones have equal bytes: where the bytes differ all windows of the name are named by their bytes."""
+    order = np.argsort(name, kind="stable")
+    same = np.flatnonzero(name[order[1:]] == name[order[:-1]])
+    clash = set()
+    for k in range(0, len(same), 20_000):
+        i, j = order[same[k : k + 20_000]], order[same[k : k + 20_000] + 1]
+        window = np.arange(length)
+        clash.update(name[i[(raw[start[i][:, None] + window] != raw[start[j][:, None] + window]).any(1)]].tolist())
+    if clash:
+        at = np.flatnonzero(np.isin(name, np.array(sorted(clash), np.uint64)))
+        free = np.setdiff1d(np.arange(len(name) + len(at) + 1, dtype=np.uint64), name)
+        texts = [raw[start[i] : start[i] + length].tobytes() for i in at]
+        number = {t: n for t, n in zip(sorted(set(texts)), free)}
+        name = name.copy()
+        name[at] = [number[t] for t in texts]
+    return name
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Windows that start earlier too, as (doc, first byte, last byte + 1), kind 0."""
     heads, texts = [], []
     for b in batches:
@@ -225,6 +252,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         start = base[cell[w]] - base[i] + inner[w]
         name[w] = span_hashes(raw[base[i] : base[j - 1] + size[j - 1]], start, start + length)
     doc, place = h[cell, 1], h[cell, 2] + inner
+    name = _told_apart(name, raw, base[cell] + inner, length)
     order = multikey_order(name, doc, place)
     again = order[1:][name[order[1:]] == name[order[:-1]]]
     doc, place = doc[again], place[again]
@@ -233,19 +261,16 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     if len(doc):
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)]))
         end = place[np.concatenate([new[1:], [len(doc)]]) - 1] + length
-        rows = np.stack([place[new], np.zeros(len(new), np.int64), end - place[new], np.zeros(len(new), np.int64)], 1).astype(np.int32)
-        whole = _by_doc(doc[new], rows)
-        for k in range(0, whole.num_rows, 20_000):
-            yield whole.slice(k, 20_000)
+        yield _marks(doc[new], np.stack([place[new], np.zeros(len(new), np.int64), end - place[new], np.zeros(len(new), np.int64)], 1), buckets)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
         kept_texts = []
-        for t, marks in zip(b.column("text"), b.column("marks").to_pylist()):
+        for t, marks in zip(b.column("text"), b.column("packed").to_pylist()):
             raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
-            m = np.frombuffer(b"".join(marks or ()), np.int32).reshape(-1, 4).astype(np.int64)
+            m = np.frombuffer(marks or b"", np.int32).reshape(-1, 4).astype(np.int64)
             m = m[(m[:, 3] == 2) | (m[:, 3] == 0)]
             edge = np.zeros(len(raw) + 1, np.int64)
             np.add.at(edge, m[:, 0], 1)
@@ -279,8 +304,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     d = d.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
     d = scratch.save(d.withColumn("row", F.monotonically_increasing_id()))
     hot, parts = HOT, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    n = max(d.count(), 1)
-    some = d.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(1e6 * min(1.0, SAMPLE_DOCS / n)))
+    # A sample of a fixed number of documents, whatever the size of the table: those of least hash.
+    some = d.join(F.broadcast(d.select("row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_DOCS)), "row")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -291,15 +316,15 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     seen = np.sort(np.array([r[0] for r in some.mapInArrow(sample, "g long").collect()], np.int64).view(np.uint64))
     splitters = seen[(np.arange(1, parts) * len(seen)) // parts] if len(seen) else np.zeros(0, np.uint64)
     dealt = d.mapInArrow(lambda it: _deal(it, length, splitters), "bucket int, packed binary")
-    marks = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _sort_range(it, length, splitters, hot), "row long, packed binary"))
-    counts = np.frombuffer(b"".join(x[0] for x in marks.where("row is null").select("packed").collect()), np.int64).reshape(-1, 2)
+    shape = "bucket int, packed binary"
+    marks = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _sort_range(it, length, splitters, hot, parts), shape))
+    counts = np.frombuffer(b"".join(x[0] for x in marks.where("bucket is null").select("packed").collect()), np.int64).reshape(-1, 2)
     grams, of = np.unique(counts[:, 0].view(np.uint64), return_inverse=True)
     frequent = grams[np.bincount(of, weights=counts[:, 1], minlength=len(grams)) > hot]
-    marks = marks.where("row is not null")
-    of_doc = lambda m: m.groupBy("row").agg(F.collect_list("packed").alias("marks"))
-    open_ = d.join(of_doc(marks).hint("merge"), "row")
-    dealt = open_.mapInArrow(lambda it: _contexts(it, length, parts, frequent), "bucket int, head binary, bytes binary")
-    found = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _compare(it, length), "row long, packed binary"))
-    out = d.join(of_doc(marks.union(found)).hint("merge"), "row", "left")
+    marks = marks.where("bucket is not null")
+    by_row = lambda m: m.repartition(parts, "bucket").mapInArrow(_merged, "row long, packed binary").hint("merge")
+    dealt = d.join(by_row(marks), "row").mapInArrow(lambda it: _contexts(it, length, parts, frequent), "bucket int, head binary, bytes binary")
+    found = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _compare(it, length, parts), shape))
+    out = d.join(by_row(marks.union(found)), "row", "left")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
     return out.mapInArrow(lambda it: _cut(it, length, texts), kinds)
