@@ -3,12 +3,14 @@
 Many voters (words of fixed lexicons, patterns, and words that the labelled rows
 show to be telling) each vote toxic or abstain; one votes clean. A generative label
 model estimates their accuracies, and the correlations between them, by expectation
-maximisation. A linear classifier is trained on the posterior labels and scores
-every document.
-
-Labels come only from documents outside the held-out fold. The classifier is fitted
-on a bounded sample of labelled rows: at most about SAMPLE_TOXIC and SAMPLE_CLEAN of
-each class, taken by hash of doc_id.
+maximisation over the votes on a sample of all rows, most of them without a label. Labels only
+anchor it: one enters as the vote of one more voter, of fixed accuracy, on its row. A
+linear classifier is trained on the posterior labels of all these rows and scores every
+document.
+
+Labels come only from documents outside the held-out fold, and so do the rows of the
+sample: about SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows of each class and SAMPLE_ALL
+rows of any kind, taken by hash of doc_id.
 """
 
 from __future__ import annotations
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_ALL = 3000, 6000, 6000
+#: Values of the hash by which rows are sampled, so many that no share of them rounds to none.
+SHARES = 1 << 62
+#: How often a label is right, as a vote.
+ANCHOR = 0.95
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Lengths of the stems that can vote, for words of abuse that are inflected.
@@ -71,18 +77,21 @@ class LabelModel:
 
     votes: rows by voters, true where a voter votes. Each voter has a rate of voting on
     toxic and on clean rows. The share of a voter's weight that it has in common with
-    others, from the correlation of their votes within each class, is divided out.
+    others, from the correlation of their votes within each class, is divided out. anchor: 1, 0
+    or, without a label, nan by row. Rates start from the labelled rows and are then
+    estimated from the votes on all rows; so is the share of toxic rows, from those without a label.
     """
 
-    def __init__(self, votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 20):
-        v, q = votes.astype(float), start.astype(float)
-        self.prior = min(max(prior, 0.01), 0.99)
-        for _ in range(rounds):
-            t, c = q.sum() + 2, (1 - q).sum() + 2
-            self.on_toxic, self.on_clean = (q @ v + 0.5) / t, ((1 - q) @ v + 0.5) / c
-            self.share = np.ones(v.shape[1])
+    def __init__(self, votes: np.ndarray, anchor: np.ndarray, rounds: int = 20):
+        v, known = votes.astype(float), ~np.isnan(anchor)
+        hint = np.where(known, np.where(anchor == 1, 1.0, -1.0) * np.log(ANCHOR / (1 - ANCHOR)), 0.0)
+        q = np.where(known, np.where(anchor == 1, ANCHOR, 1 - ANCHOR), 0.0)
+        weight, self.prior = known.astype(float), min(max(float(np.nanmean(anchor)), 0.01), 0.99)
+        for k in range(rounds):
+            yes, no = q * weight, (1 - q) * weight
+            self.on_toxic, self.on_clean = (yes @ v + 0.5) / (yes.sum() + 2), (no @ v + 0.5) / (no.sum() + 2)
             corr = np.zeros((v.shape[1], v.shape[1]))
-            for w, mean in ((q, self.on_toxic), (1 - q, self.on_clean)):
+            for w, mean in ((yes, self.on_toxic), (no, self.on_clean)):
                 r = (v - mean) * np.sqrt(w)[:, None]
                 cov = r.T @ r / max(w.sum(), 1)
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
@@ -90,17 +99,20 @@ class LabelModel:
             np.fill_diagonal(corr, 0)
             self.correlation = corr
             self.share = 1 / (1 + np.where(corr > 0.3, corr, 0).sum(1))
-            q = self.posterior(votes)
+            q, weight = self.posterior(votes, hint), np.ones(len(v))
+            if not known.all():
+                self.prior = min(max(float(q[~known].mean()), 0.01), 0.99)
+        self.fitted = q
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, hint: np.ndarray | float = 0.0) -> np.ndarray:
         yes = np.log(self.on_toxic / self.on_clean) * self.share
         no = np.log((1 - self.on_toxic) / (1 - self.on_clean)) * self.share
-        z = np.log(self.prior / (1 - self.prior)) + votes @ yes + (~votes) @ no
+        z = np.log(self.prior / (1 - self.prior)) + votes @ yes + (~votes) @ no + hint
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[tuple[str | None, int]]) -> dict:
-    """The classifier from (text, label) rows: words, weights, bias. Without rows of both classes it scores the prior."""
+def fit(rows: list[tuple[str | None, int]], more: list[str | None] = ()) -> dict:
+    """The classifier from (text, label) rows and texts without a label: words, weights, bias. Without rows of both classes it scores the prior."""
     y = np.array([label for _, label in rows], float)
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -127,17 +139,16 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
     lexicons, patterns = [set(x.split()) for x in LEXICONS.values()], [re.compile(p) for p in PATTERNS.values()]
     names = list(dict.fromkeys([*voters, *weak, *sorted(w for x in lexicons for w in x if by[1][w] + by[0][w])]))
     at = {w: i for i, w in enumerate(names)}
-    votes, x = np.zeros((len(rows), len(voters) + len(lexicons) + len(patterns) + 1), bool), np.zeros((len(rows), len(names)), np.float32)
-    for i, (text, _) in enumerate(rows):
+    texts = [t for t, _ in rows] + list(more)
+    votes, x = np.zeros((len(texts), len(voters) + len(lexicons) + len(patterns) + 1), bool), np.zeros((len(texts), len(names)), np.float32)
+    for i, text in enumerate(texts):
         has = words_of(text)
         x[i, [at[w] for w in at.keys() & has]] = 1
         row = [w in has for w in voters] + [bool(has & l) for l in lexicons] + [bool(p.search(text or "")) for p in patterns]
         votes[i] = [*row, not any(row[: len(voters)])]
-    # Rows without a label would enter with the prior; those with one start from it.
-    model = LabelModel(votes, n[1] / (n[0] + n[1]), 0.05 + 0.9 * y)
-    soft = model.posterior(votes)
+    soft = LabelModel(votes, np.concatenate([y, np.full(len(texts) - len(y), np.nan)])).fitted
     # Balanced logistic regression with a ridge, by Newton's method.
-    w, xb = np.zeros(len(names) + 1), np.hstack([x, np.ones((len(rows), 1), np.float32)]).astype(float)
+    w, xb = np.zeros(len(names) + 1), np.hstack([x, np.ones((len(texts), 1), np.float32)]).astype(float)
     ridge = np.full(len(names) + 1, 0.1)
     ridge[-1] = 1e-6
     for _ in range(25):
@@ -149,14 +160,34 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
     return {"words": at, "weights": w[:-1], "bias": float(w[-1])}
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> list[tuple[str | None, int]]:
-    """(text, label) of a bounded number of labelled rows outside the held-out fold."""
+def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, some: int = SAMPLE_ALL) -> tuple[list[tuple[str | None, int]], list[str | None]]:
+    """(text, label) of a bounded number of labelled rows, and texts of other rows, all outside the held-out fold.
+
+    Of rows that share a doc_id the greatest text counts.
+    """
     known = labels.where(~held_out()).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    part = lambda label, most: (F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1, most / max(counts.get(label, 0), 1))))
-    some = known.where(part(1, toxic) | part(0, clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
-    return [(t, int(y)) for _, t, y in sorted(map(tuple, rows.collect()), key=lambda r: r[0])]
+    share = lambda most, n: F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < int(SHARES * min(1, most / max(n, 1)))
+    part = known.where(((F.col("toxic") == 1) & share(toxic, counts.get(1, 0))) | ((F.col("toxic") == 0) & share(clean, counts.get(0, 0))))
+    able = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held_out() & F.col("doc_id").isNotNull())
+    rows = able.join(F.broadcast(part), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    other = able.where(share(some, able.count())).groupBy("doc_id").agg(F.max("text").alias("text")).collect()
+    ids = {r.doc_id for r in rows}
+    return [(r.text, int(r.toxic)) for r in sorted(rows, key=lambda r: r.doc_id)], [r.text for r in sorted(other, key=lambda r: r.doc_id) if r.doc_id not in ids]
+
+
+def _scorer(docs: DataFrame, labels: DataFrame):
+    """A function from a column of texts to scores."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(*sample_rows(docs, labels)))
+
+    def score(texts: pa.Array) -> np.ndarray:
+        m = model.value
+        keys = m["words"].keys()
+        z = [m["bias"] + sum(m["weights"][m["words"][w]] for w in sorted(keys & words_of(t.as_py()))) for t in texts]
+        return np.round(1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50))), 6)
+
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,18 +198,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     or conflict: null ones are left out, of several for one doc_id the largest counts. With
     no labels at all every text scores about 0.05. Empty docs give no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(sample_rows(docs, labels)))
+    scores = _scorer(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        keys = m["words"].keys()
         for b in batches:
-            z = []
-            for t in b.column("text"):
-                z.append(m["bias"] + sum(m["weights"][m["words"][w]] for w in sorted(keys & words_of(t.as_py()))))
-            s = np.round(1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50))), 6)
+            s = scores(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -187,16 +211,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def toxicity_stage(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns, in one pass over the texts."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(sample_rows(docs, labels)))
+    scores = _scorer(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        keys = m["words"].keys()
         for b in batches:
-            z = [m["bias"] + sum(m["weights"][m["words"][w]] for w in sorted(keys & words_of(t.as_py()))) for t in b.column("text")]
-            s = np.round(1 / (1 + np.exp(-np.clip(np.array(z, float), -50, 50))), 6)
-            yield b.filter(pa.array(s < threshold))
+            yield b.filter(pa.array(scores(b.column("text")) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
