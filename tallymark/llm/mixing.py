@@ -114,12 +114,12 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, cut_digits: int = CUT_DIGITS,
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, first_position), range-sorted by training position.
+    """(doc_id, size, source_size, target, taken, copies, first_position, second_position), range-sorted by training position.
 
-    Documents that the mix leaves out come last.
+    Positions are those of the first two copies. Documents that the mix leaves out come last.
     """
     m = plan_mix(docs)
-    m = m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.size("copies").cast("long").alias("copies"), F.round(F.get("copies", F.lit(0))["position"], 9).alias("first_position"))
+    m = m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.size("copies").cast("long").alias("copies"), *[F.round(F.get("copies", F.lit(k))["position"], 9).alias(c) for k, c in enumerate(("first_position", "second_position"))])
     return m.repartitionByRange(F.col("first_position").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 

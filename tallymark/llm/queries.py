@@ -19,7 +19,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_digest(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix_digest(documents(spark, sf_dir))
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +65,19 @@ FROM documents""",
 WITH d AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS key,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS schedule, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s),
 -- Sources reach their cap in the order of cap / weight: those before the first that doesn't are full.
 c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
              sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
              (sum(source_size) OVER ())::DOUBLE * 150 / 100 AS total FROM w),
 l AS (SELECT arg_min((total - held) / open, cap / weight) AS level FROM c WHERE (total - held) / open < cap / weight),
-t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
-p AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+t AS (SELECT source, source_size, schedule, least(cap, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
+p AS (SELECT doc_id, size, source_size, target, schedule, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, greatest(least(size, floor(target)::BIGINT - start), 0) AS one, greatest(least(size, floor(target)::BIGINT - start - source_size), 0) AS two FROM p)
-SELECT doc_id, size, source_size, round(target, 6) AS target, (one + two)::BIGINT AS taken, ((one > 0)::INT + (two > 0)::INT)::BIGINT AS copies FROM k""",
+k AS (SELECT *, greatest(least(size, floor(target)::BIGINT - start), 0) AS one, greatest(least(size, floor(target)::BIGINT - start - source_size), 0) AS two FROM p),
+-- The shares of the target at the middle of the copies, and where the integrals of the schedules 1.5 - t, 0.5 + t and 1 reach them.
+u AS (SELECT *, CASE WHEN one > 0 THEN (start + one / 2) / target END AS u1, CASE WHEN two > 0 THEN (start + source_size + two / 2) / target END AS u2 FROM k)
+SELECT round(CASE schedule WHEN 0 THEN 1.5::DOUBLE - sqrt(greatest(2.25::DOUBLE - 2 * u1, 0)) WHEN 1 THEN sqrt(0.25::DOUBLE + 2 * u1) - 0.5::DOUBLE ELSE u1 END, 9) AS first_position,
+       round(CASE schedule WHEN 0 THEN 1.5::DOUBLE - sqrt(greatest(2.25::DOUBLE - 2 * u2, 0)) WHEN 1 THEN sqrt(0.25::DOUBLE + 2 * u2) - 0.5::DOUBLE ELSE u2 END, 9) AS second_position,
+       doc_id, size, source_size, round(target, 6) AS target, (one + two)::BIGINT AS taken, ((one > 0)::INT + (two > 0)::INT)::BIGINT AS copies FROM u""",
 }
