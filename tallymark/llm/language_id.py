@@ -12,6 +12,7 @@ most VOCABULARY words and NGRAMS n-grams of each length.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .toxicity import held_out
+from .toxicity import SHARES, held_out
 
 SAMPLE_ROWS, VOCABULARY, NGRAMS, LONGEST = 6000, 50_000, 20_000, 4
 #: Rows of each language at least, if it has them, however many languages share SAMPLE_ROWS.
@@ -29,7 +30,9 @@ LEAST_ROWS = 200
 FOLDS, HELD_OUT = 4, 2
 #: log of the factor for each step to a shorter n-gram.
 BACKOFF = np.log(0.4)
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters of a pattern but are neither letters nor digits, such as fractions.
+_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERIC}]+")
 #: Words whose scores a worker remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -87,9 +90,9 @@ def sample_rows(docs: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[str, str
     some = docs.where(~held_out(FOLDS, HELD_OUT)).where("lang is not null and text is not null and doc_id is not null")
     counts = some.groupBy("lang").count().collect()
     each = max(most // max(len(counts), 1), LEAST_ROWS)
-    share = docs.sparkSession.createDataFrame([(str(r[0]), int(1e9 * min(1, each / r[1]))) for r in counts], "_lang string, _share long")
+    share = docs.sparkSession.createDataFrame([(str(r[0]), int(SHARES * min(1, each / r[1]))) for r in counts], "_lang string, _share long")
     some = some.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(share), F.col("lang") == F.col("_lang"))
-    rows = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < F.col("_share")).select("doc_id", "text", "lang")
+    rows = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) < F.col("_share")).select("doc_id", "text", "lang")
     return [(t, str(x)) for _, t, x in sorted(map(tuple, rows.collect()))]
 
 
