@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, text_bytes
+from .common import Scratch, ranked, slices, text_bytes
 
 ORDER = 5
 QUANTILES = (0.005, 0.98)
@@ -144,12 +144,27 @@ def perplexities(scratch: Scratch, docs: DataFrame, ps: list[DataFrame], gammas:
     return s.select("doc_id", "lang", "trusted", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
 
 
+def limits(scratch: Scratch, s: DataFrame, quantiles: tuple[float, float]) -> DataFrame:
+    """(_l, _q): by language the exact quantiles of the perplexities of trusted documents, or where there are none of all.
+
+    The quantile q of n values is the ceil(q * n)-th least one (the first at least); its place is found in one range sort.
+    """
+    known = s.where("perplexity is not null").select("lang", "perplexity", "trusted")
+    by = known.groupBy(F.col("lang").alias("_l")).agg(F.count(F.when(F.col("trusted"), 1)).alias("good"))
+    some = known.join(by, F.col("lang").eqNullSafe(F.col("_l"))).where("trusted or good = 0").select("lang", "perplexity")
+    some = scratch.save(ranked(scratch, some, ["lang", "perplexity"], "place"))
+    at = [(F.col("least") + F.greatest(F.ceil(F.col("n") * q), F.lit(1)) - 1).alias(f"p{k}") for k, q in enumerate(quantiles)]
+    at = some.groupBy(F.col("lang").alias("_l")).agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n")).select("_l", *at)
+    hit = some.join(at, F.col("lang").eqNullSafe(F.col("_l")))
+    return hit.groupBy("_l").agg(F.array(*[F.max(F.when(F.col("place") == F.col(f"p{k}"), F.col("perplexity"))) for k in range(len(quantiles))]).alias("_q"))
+
+
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantiles: tuple[float, float] = QUANTILES, most_rows: int = MOST_ROWS) -> DataFrame:
     """(doc_id, lang, trusted, n_bytes, perplexity, low, high, keep) for each row of docs.
 
     Trusted are documents whose label quality is 1 (the largest, of several). Null and empty
     texts have no perplexity and are not kept. A null language is one of its own. Where no
-    document of a language is trusted, its own documents set the quantiles. With no
+    document of a language is trusted, its own documents set the quantiles, which are exact. With no
     trusted text every byte costs the same and all texts are alike. Repeated rows give
     equal rows.
     """
@@ -159,9 +174,7 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantiles: t
     d = d.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "lang", F.coalesce("_t", F.lit(False)).alias("trusted"))
     ps, gammas = train(scratch, d.where("trusted").select("text"), order)
     s = scratch.save(perplexities(scratch, d, ps, gammas, most_rows))
-    cut = lambda c: F.percentile_approx(c, F.lit(list(quantiles)), 10000)
-    limits = s.groupBy(F.col("lang").alias("_l")).agg(F.coalesce(cut(F.when(F.col("trusted"), F.col("perplexity"))), cut("perplexity")).alias("_q"))
-    out = s.join(F.broadcast(limits) if limits.count() < 10_000 else limits, F.col("lang").eqNullSafe(F.col("_l")), "left")
+    out = s.join(limits(scratch, s, quantiles), F.col("lang").eqNullSafe(F.col("_l")), "left")
     low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     keep = F.coalesce((F.col("perplexity") >= low) & (F.col("perplexity") <= high), F.lit(False))
     return out.select("doc_id", "lang", "trusted", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), keep.alias("keep"))
