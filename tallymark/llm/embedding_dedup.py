@@ -63,9 +63,9 @@ def cell_names(u: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, scale:
     return out
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    v = np.array(column.to_pylist(), np.float64)
-    return v / np.linalg.norm(v, axis=1, keepdims=True) if len(v) else v.reshape(0, 1)
+def _units(column: pa.Array) -> list[np.ndarray]:
+    vectors = [np.array(x, np.float64) for x in column.to_pylist()]
+    return [v / np.linalg.norm(v) for v in vectors]
 
 
 def _forest(m: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -108,7 +108,7 @@ def embedding_dedup(vectors: DataFrame, least: float = LEAST, tables: int = TABL
     """(vec_id, n_links, component_id, kept) for each vector.
 
     Vectors link at cosine >= least. Null vectors, zero ones and those with null or non-finite
-    components link with nothing, as do vectors whose length is not the most common one.
+    components link with nothing. Vectors are compared with those of their own length.
     Equal vectors are one class, compared once and counted by their number. vec_ids should be
     distinct; a null vec_id links with nothing. An empty table gives no rows.
     """
@@ -117,18 +117,20 @@ def embedding_dedup(vectors: DataFrame, least: float = LEAST, tables: int = TABL
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = v.where(F.coalesce(fine, F.lit(False)))
-    sizes = good.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").limit(1).collect()
-    good = good.where(F.size("v") == (sizes[0][0] if sizes else 0))
     classes = scratch.save(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 s = b.slice(k, 1000)
-                u = _units(s.column("v"))
-                names = cell_names(u, tables, blocks, scale)
-                at = np.repeat(np.arange(len(u)), names.shape[1])
-                raw = pa.array([x.tobytes() for x in u], pa.binary())
+                units = _units(s.column("v"))
+                length = np.array([len(x) for x in units])
+                names = np.empty((len(units), 2 * tables), np.uint64)
+                for n in np.unique(length):
+                    some = np.flatnonzero(length == n)
+                    names[some] = mix(cell_names(np.stack([units[x] for x in some]), tables, blocks, scale) + np.uint64(n))
+                at = np.repeat(np.arange(len(units)), names.shape[1])
+                raw = pa.array([x.tobytes() for x in units], pa.binary())
                 yield pa.record_batch({"cell": pa.array(names.ravel().view(np.int64)), "rep": s.column("rep").take(pa.array(at)), "copies": s.column("copies").take(pa.array(at)), "unit": raw.take(pa.array(at))})
 
     cells = classes.select("rep", "copies", "v").mapInArrow(emit, "cell long, rep long, copies long, unit binary")
