@@ -87,6 +87,14 @@ def test_substring_dedup_gram_over_several_ranges(spark, monkeypatch, hot):
     assert got == removed(spark, rows)
 
 
+def test_windows_of_one_hash_are_told_apart_by_their_bytes():
+    raw = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
+    start = np.array([0, 4, 8, 12])
+    name = substring_dedup._told_apart(np.array([7, 7, 7, 9], np.uint64), raw, start, 4)
+    assert name[0] == name[2] and len({int(x) for x in name}) == 3 and name[3] == 9
+    assert substring_dedup._told_apart(np.array([7, 8, 7, 9], np.uint64), raw, start, 4).tolist() == [7, 8, 7, 9]
+
+
 def test_multikey_order():
     g = np.random.default_rng(0)
     keys = [g.integers(0, 3, 500).astype(np.uint64) for _ in range(4)]
@@ -186,14 +194,16 @@ def test_embedding_dedup(spark, monkeypatch):
     near = [base[k % 10] + g.standard_normal(16) * s for k in range(120) for s in (0.05, 0.3)]
     vecs = [*base, *near, base[3], base[3], base[5] * 2]
     rows = [(i * 7, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(vecs)]
+    short = [(20000 + k, [1.0, 2.0 + k * 0.01, 0.5], 1) for k in range(4)]
     odd = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [None] + [1.0] * 15, 1), (9004, [float("nan")] * 16, 1), (9005, [float("inf")] * 16, 1), (9006, [], 1)]
-    d = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    d = spark.createDataFrame(rows + odd + short, "vec_id long, embedding array<float>, label int")
     u = np.array([v for _, v, _ in rows], np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     m = u @ u.T >= 0.9
     np.fill_diagonal(m, False)
     got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(d).collect()}
-    assert len(got) == len(rows) + len(odd)
+    assert len(got) == len(rows) + len(odd) + len(short)
+    assert all((got[i].n_links, got[i].component_id) == (3, 20000) for i, *_ in short)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, *_ in odd)
     found = sum(got[i * 7].n_links for i in range(len(vecs)))
     assert found <= m.sum() and found >= 0.95 * m.sum()
