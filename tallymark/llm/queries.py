@@ -77,7 +77,7 @@ p AS (SELECT doc_id, size, source_size, target, schedule, coalesce(sum(size) OVE
 k AS (SELECT *, greatest(least(size, floor(target)::BIGINT - start), 0) AS one, greatest(least(size, floor(target)::BIGINT - start - source_size), 0) AS two FROM p),
 -- The shares of the target at the middle of the copies, and where the integrals of the schedules 1.5 - t, 0.5 + t and 1 reach them.
 u AS (SELECT *, CASE WHEN one > 0 THEN (start + one / 2) / target END AS u1, CASE WHEN two > 0 THEN (start + source_size + two / 2) / target END AS u2 FROM k)
-SELECT round(CASE schedule WHEN 0 THEN 1.5::DOUBLE - sqrt(greatest(2.25::DOUBLE - 2 * u1, 0)) WHEN 1 THEN sqrt(0.25::DOUBLE + 2 * u1) - 0.5::DOUBLE ELSE u1 END, 9) AS first_position,
-       round(CASE schedule WHEN 0 THEN 1.5::DOUBLE - sqrt(greatest(2.25::DOUBLE - 2 * u2, 0)) WHEN 1 THEN sqrt(0.25::DOUBLE + 2 * u2) - 0.5::DOUBLE ELSE u2 END, 9) AS second_position,
+SELECT round(CASE schedule WHEN 0 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2 * u1) WHEN 1 THEN sqrt(0.25::DOUBLE + 2 * u1) - 0.5::DOUBLE ELSE u1 END, 9) AS first_position,
+       round(CASE schedule WHEN 0 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2 * u2) WHEN 1 THEN sqrt(0.25::DOUBLE + 2 * u2) - 0.5::DOUBLE ELSE u2 END, 9) AS second_position,
        doc_id, size, source_size, round(target, 6) AS target, (one + two)::BIGINT AS taken, ((one > 0)::INT + (two > 0)::INT)::BIGINT AS copies FROM u""",
 }
