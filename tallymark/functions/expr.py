@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SAMPLE, DOMAIN_SAMPLE, MONTH_DAYS, PATTERN_FAMILIES, UNKNOWN_MONTHS, BandConfig, SnapshotConfig
 
-DOC_MESSAGE = r"^(docs?|readme|typo)[\s:(/\-_]|^(typo|docs|readme|doc)$|^(docs:|readme:|typo)"
-DOC_FILE = r"(?i)(\.(md|markdown|rst|txt|adoc)$)|(^|/)(readme|changelog|license|notice)$"
+#: A message that begins with typo, or with the word docs, doc or readme and then ends or goes on after a separator.
+DOC_MESSAGE = r"^(?:typo|(?:docs?|readme)(?:[\s:(/_-]|$))"
+#: Suffixes and bare names of documentation files. A name that is a suffix alone is none.
+DOC_FILE = r"(?i)(?:[^/]\.(?:md|markdown|rst|txt|adoc)|(?:^|/)(?:readme|changelog|license|notice))$"
 
 
 def truthy(*cols: Column) -> Column:
@@ -54,6 +56,17 @@ def identifier_keys(purl: Column, swhid: Column, doi: Column, orcid: Column, dom
     return F.filter(F.array(purl, swhid, doi, orcid, F.lower(domain)), lambda x: F.trim(x) != "")
 
 
+def build_context(name: Column, url: Column, description: Column, keys: Column) -> Column:
+    """What an adjudicator may see of a record: four fields and no more."""
+    none = F.lit("")
+    return F.struct(F.coalesce(name, none).alias("name"), F.coalesce(url, none).alias("primary_url"), F.coalesce(description, none).alias("description"), keys.alias("key_identifiers"))
+
+
+def dedupe_notes(notes: Column) -> Column:
+    """An array of notes without repeats, in the order of their first places."""
+    return F.array_distinct(notes)
+
+
 def repo_slug(url: Column) -> Column:
     """owner/name in lower case from a repository URL on the code host."""
     found = F.regexp_extract(url, r"^https://github\.com/([^/\s?#]+)/([^/\s?#]+)", 0)
@@ -109,7 +122,7 @@ def top_sum(values: Column, k: int = 20) -> Column:
 def docs_only(message: Column, files: Column) -> Column:
     """Whether a commit touches documentation alone, by its message and its files (array of paths)."""
     m = F.lower(F.trim(F.coalesce(message, F.lit(""))))
-    return m.rlike(DOC_MESSAGE) & (F.coalesce(F.size(files), F.lit(0)).isin(0, -1) | F.forall(files, lambda f: F.trim(f).rlike(DOC_FILE)))
+    return m.rlike(DOC_MESSAGE) & (F.coalesce(F.size(files), F.lit(0)).isin(0, -1) | F.forall(files, lambda f: f.rlike(DOC_FILE)))
 
 
 def strip_boilerplate(text: Column) -> Column:

@@ -49,19 +49,20 @@ def cosine_pairs(records: DataFrame, key: str, texts: list[str], least: float) -
 
 
 def identifier_pairs(records: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """(a, b) of records that share an identifier, each tied to the first that has it."""
+    """(a, b), a < b, of all records that share an identifier, each pair once."""
     e = records.select(F.col(key).alias("k"), F.explode(F.array_distinct(ids)).alias("i"))
     return e.toDF("a", "i").join(e.toDF("b", "i"), "i").where("a < b").select("a", "b").distinct()
 
 
-def resolve(records: DataFrame, key: str = "seq", texts: tuple[str, ...] = ("name", "description"), cfg: EntityConfig = EntityConfig(), adjudicator: Callable[[DataFrame], DataFrame] | None = None) -> Resolution:
+def resolve(records: DataFrame, key: str = "seq", texts: tuple[str, ...] = ("name", "description"), cfg: EntityConfig = EntityConfig(), adjudicator: Callable[[DataFrame], DataFrame] | None = None, similarity: Callable[[DataFrame, str, list[str], float], DataFrame] = cosine_pairs) -> Resolution:
     """Clusters of records. records has a key, an array `ids` and text columns.
 
     Pairs that share an identifier merge. Of the others those with cosine >= auto merge, and those
-    in [gray, auto) merge where the adjudicator, which adds a column `same`, says so.
+    in [gray, auto) merge where the adjudicator, which adds a column `same`, says so. similarity
+    stands in for the cosine of tokens: it takes what cosine_pairs takes and returns (a, b, cosine).
     """
     known = identifier_pairs(records, key).checkpoint()
-    near = cosine_pairs(records, key, list(texts), cfg.gray).join(known, ["a", "b"], "left_anti").checkpoint()
+    near = similarity(records, key, list(texts), cfg.gray).join(known, ["a", "b"], "left_anti").checkpoint()
     auto, gray = near.where(F.round("cosine", 12) >= cfg.auto), near.where(F.round("cosine", 12) < cfg.auto)
     said = adjudicator(gray).where("same").select("a", "b") if adjudicator else gray.limit(0).select("a", "b")
     edges = known.union(auto.select("a", "b")).union(said)

@@ -45,6 +45,25 @@ def enrich_repos(records: DataFrame, repos: DataFrame, most: int = 4) -> DataFra
     return slugs.join(dim, "slug", "left").withColumn("stars", F.coalesce("stars", "_stars")).withColumn("pushed_at", F.coalesce("pushed_at", "_pushed")).drop("_stars", "_pushed")
 
 
+def readmes_of(records: DataFrame, readmes: DataFrame, most_chars: int = 8000) -> DataFrame:
+    """(entity_id, markdown) of entities whose first record by seq names a repository; readmes has slug and markdown."""
+    first = records.groupBy("entity_id").agg(F.min_by("url", "seq").alias("url")).withColumn("slug", x.repo_slug(F.col("url")))
+    return first.join(readmes, "slug").select("entity_id", F.substring("markdown", 1, most_chars).alias("markdown"))
+
+
+def recent_commits(repos: DataFrame, commits: DataFrame, most_files: int = 5) -> DataFrame:
+    """(slug, commits): the commits of each repository in order, with their files for the first few that look like documentation.
+
+    commits has slug, seq, message and files; the other commits keep null files, as they are not looked up.
+    """
+    looks = F.lower(F.trim("message")).rlike(x.DOC_MESSAGE)
+    w = Window.partitionBy("slug").orderBy("seq")
+    c = commits.withColumn("_n", F.sum(looks.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = c.withColumn("files", F.when(looks & (F.col("_n") <= most_files), F.col("files")))
+    c = c.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("seq", "message", "files"))).alias("commits"))
+    return repos.select("slug").join(c, "slug", "left")
+
+
 def snippets_of(records: DataFrame) -> DataFrame:
     """(entity_id, seq, pos, text): by kind, code its comments then body, forum comment or title, citation abstract or title, other title."""
     one = lambda c: F.array(c)

@@ -12,6 +12,12 @@ def fingerprint(records: DataFrame, entity: str = "entity_id", content: str = "c
     return r.groupBy("entity_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("hash"))
 
 
+def last_fingerprint(records: DataFrame, entity: str = "entity_id", content: str = "content", seq: str = "seq") -> DataFrame:
+    """(entity_id, hash) of the content that comes last for each entity; rows without an entity are left out."""
+    last = F.max_by(F.coalesce(F.col(content), F.lit("")), F.col(seq))
+    return records.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("entity_id")).agg(F.sha2(last, 256).alias("hash"))
+
+
 def changed(prev: DataFrame, cur: DataFrame) -> DataFrame:
     """(entity_id, changed): new or with another hash; entities that are gone are not listed."""
     p = prev.select("entity_id", F.col("hash").alias("_p"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import streaming
 from ..functions import expr as x
-from ..operators import capability, entity, evaluate, evidence, graph, records, snapshot, text
+from ..operators import capability, entity, evaluate, evidence, graph, models, records, snapshot, text
 from ..sources import artifacts
 
 #: The fixed clock of the event queries.
@@ -204,8 +204,9 @@ def query_expansion(spark, d):
 def rrf_fusion(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("v"))
-    top = lambda df, name: df.orderBy(F.desc("v"), "item").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "item"))).select(F.lit(name).alias("list"), "rank", "item")
-    return text.rrf_fuse(top(o, "orders").union(top(c, "balance"))).select("item", F.round("score", 8).alias("score"))
+    both = o.withColumn("list", F.lit("orders")).unionByName(c.withColumn("list", F.lit("balance")))
+    ranks = both.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("v"), "item")))
+    return text.rrf_fuse(ranks.select("list", "rank", "item")).select("item", F.round("score", 8).alias("score"))
 
 
 @query
@@ -317,7 +318,7 @@ def store_antijoin(spark, d):
 
 
 @query
-def starscout_split(spark, d):
+def flag_split(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("repo"))
     kept, flagged = evidence.filter_flagged(c, spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "repo string"))
     return kept.withColumn("flagged", F.lit(False)).union(flagged.withColumn("flagged", F.lit(True)))
@@ -393,4 +394,198 @@ def band_passes(spark, d):
     return ev.groupBy("user_id").agg(steps.alias("steps")).select("user_id", fold["band"].alias("band"), fold["flips"].alias("flips"))
 
 
+@query
+def record_keys(spark, d):
+    none = F.lit(None).cast("string")
+    k = x.record_key(none, F.col("url"), F.lit(""), F.col("page_id").cast("string"), F.lit("other"))
+    return table(spark, d, "pages").select("page_id", k["url"].alias("canon"), k["id"].alias("id"))
+
+
+@query
+def identifier_lists(spark, d):
+    blank = F.when(F.col("c_nationkey") % 3 > 0, F.lit(" "))
+    keys = x.identifier_keys(blank, F.col("c_name"), F.lit(""), F.when(F.col("c_custkey") % 2 == 0, F.lit("o-1")), F.col("c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(keys, "|").alias("keys"))
+
+
+@query
+def adjudicator_context(spark, d):
+    c = x.build_context(F.col("p_name"), F.lit(None).cast("string"), F.col("p_type"), F.array("p_brand"))
+    return table(spark, d, "part").withColumn("c", c).select("p_partkey", F.to_json("c").alias("context"))
+
+
+@query
+def repo_slugs(spark, d):
+    url = F.concat(F.when(F.col("n_regionkey") == 1, F.lit("http")).otherwise("https"), F.lit("://github.com/"), "n_name", F.lit("/Repo-"), F.col("n_nationkey").cast("string"), F.lit("/issues?x=1#y"))
+    return table(spark, d, "nation").select("n_nationkey", x.repo_slug(url).alias("slug"))
+
+
+@query
+def abstract_rebuild(spark, d):
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    index = F.transform(F.array_distinct("w"), lambda w: F.struct(w, F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == w)))
+    c = table(spark, d, "conversations").withColumn("w", words).where("size(w) > 0")
+    return c.select("conv_id", "turn", x.rebuild_abstract(F.map_from_entries(index)).alias("abstract"))
+
+
+@query
+def fresh_orders(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", x.is_fresh(F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate")), _orders_now(), 365.0).alias("fresh"))
+
+
+@query
+def page_hashes(spark, d):
+    plain = x.normalize_for_hash(F.col("html"), ["<[^>]*>", "[ \\t\\n\\r]+"])
+    return table(spark, d, "pages").select("page_id", x.content_hash(plain).alias("h"))
+
+
+@query
+def response_headers(spark, d):
+    h = F.create_map(F.lit("ETag"), F.col("n_name"), F.lit("LAST-modified"), F.col("n_nationkey").cast("string"), F.lit("x"), F.lit("y"))
+    one = F.create_map(F.lit("etag"), F.col("n_name"))
+    c = x.conditional_headers(F.when(F.col("n_regionkey") == 0, one).otherwise(h))
+    status = F.element_at(F.array(*map(F.lit, ("304", "200", "no", " 304 "))), F.col("n_nationkey") % 4 + 1)
+    return table(spark, d, "nation").select("n_nationkey", c["etag"].alias("etag"), c["last_modified"].alias("last_modified"), x.is_not_modified(status).alias("not_modified"))
+
+
+@query
+def recrawl_intervals(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", x.recrawl_interval(F.concat("o_orderpriority", F.element_at(F.array(*map(F.lit, ("-Active", "-STABLE", "-frozen", "-dead", ""))), (F.col("o_orderkey") % 5 + 1).cast("int")))).alias("days"))
+
+
+@query
+def audit_prompts(spark, d):
+    return table(spark, d, "region").select("r_regionkey", x.audit_prompt(F.col("r_name"), ["query speed", "tenancy"]).alias("prompt"))
+
+
+@query
+def verbatim_quotes(spark, d):
+    return table(spark, d, "documents").select("doc_id", x.quote_is_verbatim(F.split("text", "\n"), F.concat("lang", F.lit(""))).alias("found"))
+
+
+@query
+def notes_distinct(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]).alias("roles"))
+    return c.select("conv_id", F.array_join(x.dedupe_notes(F.col("roles")), "|").alias("notes"))
+
+
+def _commits(spark, d):
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    files = F.when(key % 3 == 0, F.array(F.lit("docs/a.md"), F.lit("src/a.py"))).when(key % 3 == 1, F.array(F.lit("README"), F.lit("b.rst")))
+    return o.select("o_orderkey", F.col("o_custkey"), pick(("docs: x", "Fix bug", "README", "typography", "docstring"), key % 5).alias("message"), files.alias("files"))
+
+
+@query
+def cadence_commits(spark, d):
+    return evidence.cadence(_commits(spark, d)).select("o_orderkey")
+
+
+@query
+def commit_files(spark, d):
+    c = _commits(spark, d).select(F.col("o_custkey").alias("slug"), F.col("o_orderkey").alias("seq"), "message", "files")
+    r = records.recent_commits(c.select("slug").distinct(), c, 2)
+    return r.select("slug", F.size("commits").alias("n"), F.size(F.filter("commits", lambda v: v["files"].isNotNull())).alias("with_files"))
+
+
+@query
+def carried_forward(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.col("text").alias("content"), "lang")
+    before = docs.select("entity_id", F.when(F.col("entity_id") <= "src3", F.concat("content", F.lit(" before"))).otherwise(F.col("content")).alias("content"))
+    marks = snapshot.changed(snapshot.fingerprint(before), snapshot.fingerprint(docs))
+    now_ = docs.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    then = docs.where("lang = 'en'").groupBy("entity_id").agg((-F.count(F.lit(1))).alias("n"))
+    return snapshot.carry_forward(now_, then, marks, ["n"])
+
+
+@query
+def last_fingerprint(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+    return snapshot.last_fingerprint(docs)
+
+
+def _repo_records(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("seq"), F.concat(F.lit("https://github.com/o/r"), (F.col("c_custkey") % 6).cast("string")).alias("url"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey")).alias("stars"), F.lit(None).cast("string").alias("pushed_at"), F.col("c_nationkey").alias("entity_id"))
+
+
+def _repos(spark, d):
+    return table(spark, d, "nation").select(F.concat(F.lit("o/r"), F.col("n_nationkey").cast("string")).alias("slug"), (F.col("n_nationkey") * 100).cast("long").alias("stars"), F.col("n_name").alias("pushed_at"), F.repeat("n_name", 2000).alias("markdown"))
+
+
+@query
+def repo_enrichment(spark, d):
+    """Only the first four repositories are looked up: the feature's limit."""
+    return records.enrich_repos(_repo_records(spark, d), _repos(spark, d)).select("c_custkey", "stars", "pushed_at")
+
+
+@query
+def readme_table(spark, d):
+    r = records.readmes_of(_repo_records(spark, d), _repos(spark, d).select("slug", "markdown"))
+    return r.select("entity_id", F.sha2("markdown", 256).alias("h"))
+
+
+@query
+def facet_titles(spark, d):
+    p = table(spark, d, "part")
+    e = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("scope", F.when(F.col("entity_id") % 4 == 0, "below-plausible").when(F.col("entity_id") % 4 == 1, "plausible"))
+    titles = p.select(F.col("p_brand").alias("source"), F.col("p_type").alias("facet"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("title"))
+    return text.facet_search(e, ["PROMO", "SMALL", "LARGE"], ["Brand#13", "Brand#5"], titles)
+
+
+def _kinds(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("code", "forum_issue", "citation", "product"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").withColumn("kind", kind)
+
+
+@query
+def snippet_rows(spark, d):
+    r = _kinds(spark, d).select(F.col("source").alias("entity_id"), F.col("doc_id").alias("seq"), "kind", F.array("lang", F.lit("")).alias("comments"), F.col("text").alias("body"), F.when(F.col("doc_id") % 8 == 1, "").otherwise(F.col("text")).alias("comment_text"), F.col("lang").alias("title"), F.when(F.col("doc_id") % 8 == 2, F.col("text")).alias("abstract"))
+    return records.snippets_of(r).select("entity_id", "seq", "pos", F.sha2("text", 256).alias("h"))
+
+
+@query
+def signal_rows(spark, d):
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    r = _kinds(spark, d).select("doc_id", "kind", F.col("n_chars").alias("stars"), (F.col("n_chars") + 1).alias("points"), F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") + 2).alias("cited_by_count"), (F.col("n_chars") + 3).alias("product_mentions"), day.alias("pushed_at"), F.lit(None).cast("string").alias("created_at"), F.lit(1704067200).alias("created_at_i"), F.when(F.col("doc_id") % 8 == 2, "odd").otherwise(day).alias("publication_date"), day.alias("last_change"))
+    return records.build_signals(r, now()).select("doc_id", "signal_type", "primary_count", "dt_months")
+
+
+@query
+def run_kappa(spark, d):
+    docs = table(spark, d, "documents")
+    run = lambda where, k: docs.where(where).select(F.col("doc_id").alias("entity_id"), F.when(F.length("text") % k < 2, "leader").otherwise("candidate").alias("band"))
+    return evaluate.kappa_of_runs(run("doc_id % 5 > 0", 4), run("doc_id % 7 > 0", 8)).withColumn("kappa", F.round("kappa", 8))
+
+
+@query
+def report_whole(spark, d):
+    s = table(spark, d, "supplier")
+    band = F.element_at(F.array(*map(F.lit, ("Leader", "candidate", "odd"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    axes = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.struct(F.lit("speed").alias("axis"), F.lit("yes").alias("classification")), F.struct(F.lit("size").alias("axis"), F.lit("no").alias("classification"))))
+    e = s.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), band.alias("band"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey").cast("int")).alias("score_pct"), axes.alias("axes"), F.create_map(F.lit("zeta"), F.lit(1), F.lit("alpha"), F.lit(2)).alias("competitors"))
+    e = e.withColumn("competitors", F.when(F.col("entity_id") % 3 == 0, F.col("competitors")))
+    found = table(spark, d, "region").select(F.lit("").alias("tool"), F.col("r_name").alias("entity"), F.when(F.col("r_regionkey") % 2 == 0, "claimed").alias("claim"), F.lit("said").alias("quote"))
+    stages = table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).cast("string").alias("tokens_in"), F.lit("0").alias("tokens_out"))
+    return evaluate.report_rows(e, stages, found)
+
+
+@query
+def topic_profiles(spark, d):
+    p = models.profile(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", p["domain"].alias("domain"), F.array_join(p["seed_queries"], "|").alias("seeds"))
+
+
+@query
+def axis_replies(spark, d):
+    a = models.classify(F.col("text"), ["the speed", "that size"])
+    return table(spark, d, "documents").select("doc_id", a.alias("reply"), models.extract(F.col("text"), ["s1", "s2"], ["s2"]).alias("evidence"))
+
+
+@query
+def bow_vectors(spark, d):
+    v = models.embed(table(spark, d, "conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn")), "k", "text")
+    return v.select("k", F.array_join(F.transform("vector", lambda c: c.cast("int").cast("string")), ",").alias("vector"))
+
+
 QUERIES = dict(Q)

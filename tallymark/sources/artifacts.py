@@ -16,6 +16,15 @@ def write_artifacts(out: str, entities: DataFrame, findings: DataFrame, mode: st
         df.selectExpr(*[f"cast({f.name if f.name in df.columns else 'null'} as {f.dataType.simpleString()}) as {f.name}" for f in shape]).write.mode(mode).json(f"{out}/{name}")
 
 
+def write_outputs(out: str, report: DataFrame, tables: dict[str, DataFrame], mode: str = "overwrite") -> None:
+    """The report as text in the order of its rows' columns, and further tables (coverage_log, eval, evidence,
+    snapshot_plan, run_meta, raw_hits) as JSON, a folder each."""
+    order = [c for c in report.columns if c != "line"]
+    report.orderBy(*order).select("line").write.mode(mode).text(f"{out}/report")
+    for name, df in tables.items():
+        df.write.mode(mode).json(f"{out}/{name}")
+
+
 def load_registry(spark: SparkSession, rows: list[tuple] | None = None, path: str | None = None) -> DataFrame:
     """The registry from rows (domain, sources, seed queries, synonyms) or a JSON-lines file; empty if neither is given."""
     if path:
