@@ -7,7 +7,7 @@ pairs, and copies of one text are done with then. What is left are pairs of one
 leader's members that are not in one component yet. Of these, a member linked to the leader and
 one whose distance from it is over twice the limit can't be similar (Jaccard distance
 obeys the triangle inequality), the others are tried block against block on small
-histograms, and those that pass are compared exactly. No pair of a group is left out.
+histograms, under the least leader that they share, and those that pass are compared exactly. No pair of a group is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, mix
 
 #: Cells of a histogram, members of a block, elements of the sets that are compared with one leader in one task.
-CELLS, BLOCK, CHUNK = 64, 1024, 1 << 20
+CELLS, BLOCK, CHUNK = 256, 1024, 1 << 20
 SETS = "node long, n long, hist binary, elements binary"
 
 
@@ -75,8 +75,8 @@ def leader_pairs(scratch: Scratch, packed: DataFrame, buckets: int) -> DataFrame
 def set_columns(g: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
     """n, hist and elements of sets of sorted 64-bit hashes laid end to end."""
     m = len(off) - 1
-    cell = np.repeat(np.arange(m), np.diff(off)) * CELLS + (g >> np.uint64(58)).astype(np.int64) % CELLS
-    hist = np.minimum(np.bincount(cell, minlength=m * CELLS).reshape(m, CELLS), 65535).astype(np.uint16)
+    cell = np.repeat(np.arange(m), np.diff(off)) * CELLS + (g >> np.uint64(50)).astype(np.int64) % CELLS
+    hist = np.minimum(np.bincount(cell, minlength=m * CELLS).reshape(m, CELLS), 255).astype(np.uint8)
     return {"n": pa.array(np.diff(off).astype(np.int64)), "hist": pa.array([h.tobytes() for h in hist], pa.binary()), "elements": pa.array([g[off[i] : off[i + 1]].tobytes() for i in range(m)], pa.binary())}
 
 
@@ -121,15 +121,16 @@ def compared(scratch: Scratch, pairs: DataFrame, sets: DataFrame, chunk: int = C
 
 
 def _try_blocks(percent: int):
-    """Pairs of two blocks of one leader's members that their histograms allow."""
+    """Pairs of two blocks of one leader's members that their histograms allow; a pair with several leaders comes from the least of them."""
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         own = t.column("own").to_numpy()
         ids, n, label = (t.column(c).to_numpy() for c in ("b", "n", "label"))
         near, mid = t.column("near").to_numpy(zero_copy_only=False), t.column("mid").to_numpy(zero_copy_only=False)
-        h = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint16).reshape(-1, CELLS)
-        full = (h == 65535).any(1)
+        h = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, CELLS)
+        full = (h == 255).any(1)
+        leader, leaders = t.column("a")[0].as_py(), [frozenset(x) for x in t.column("leaders").to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found_a, found_b = [], []
         for x in left:
@@ -139,6 +140,7 @@ def _try_blocks(percent: int):
             if len(y):
                 most = np.where(full[y] | full[x], np.minimum(n[y], n[x]), np.minimum(h[y], h[x]).sum(1, dtype=np.int64))
                 y = y[(100 + percent) * most >= percent * (n[y] + n[x])]
+                y = np.array([k for k in y.tolist() if min(leaders[x] & leaders[k]) == leader], np.int64)
                 found_a.append(np.full(len(y), ids[x]))
                 found_b.append(ids[y])
         a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
@@ -174,7 +176,9 @@ def linked_components(scratch: Scratch, stars: DataFrame, sets: DataFrame, perce
     with_near = F.when(F.col("mid") & (F.col("nears") > 0), F.transform(F.sequence(F.lit(1), F.col("nears")), lambda k: -k)).otherwise(F.array().cast("array<int>"))
     m = m.withColumn("other", F.explode(F.when(F.col("near"), with_far).otherwise(F.concat(with_far, with_near))))
     m = m.select("a", "b", "near", "mid", "label", "own", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"))
-    rows = m.join(sets.select(F.col("node").alias("b"), "n", "hist"), "b")
+    # A node has no more leaders than signatures.
+    leaders = star.groupBy("b").agg(F.collect_list("a").alias("leaders"))
+    rows = m.join(sets.select(F.col("node").alias("b"), "n", "hist").join(leaders, "b"), "b")
     tried = scratch.save(rows.groupBy("a", "i", "j").applyInArrow(_try_blocks(percent), "a long, b long").distinct())
     more = compared(scratch, tried, sets, chunk).where(linked).select("a", "b")
     return scratch.save(components(scratch, first.union(more)))
