@@ -99,6 +99,32 @@ def test_request_and_bucket():
     assert b.take() and not b.take()
 
 
+def test_wait_is_that_of_the_last_header_with_a_number():
+    assert requests.asked_wait({"Retry-After": "7", "X-RateLimit-Reset": "12"}, 10.0) == 2.0
+    assert requests.asked_wait({"x-ratelimit-reset": "12", "RETRY-AFTER": "7"}, 10.0) == 7.0
+    assert requests.asked_wait({"Retry-After": "soon", "x-ratelimit-reset": "3"}, 10.0) == 0.0
+
+
+def test_paced_transport():
+    asked, t = [], [0.0]
+
+    def opener(url, headers):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError("no route")
+        return 200, {}, b"no json" if "text" in url else b'{"items": [1]}'
+
+    def sleep(s):
+        t[0] += s
+
+    p = requests.Paced(opener, "https://forum.test/search", sleep, lambda: t[0])
+    assert p("topic one").json() == {"items": [1]} and asked == ["https://forum.test/search?query=topic+one"]
+    p("https://api.github.com/search/x", params={"q": "a b"})
+    assert p("https://api.github.com/repos/text?p=1", params={"q": 2}).json() == {} and t[0] == 1.2
+    assert asked[1:] == ["https://api.github.com/search/x?q=a+b", "https://api.github.com/repos/text?p=1&q=2"]
+    assert p("https://bad.test/").status == 599 and len(p.notes) == 1
+
+
 def test_token_bucket_fold(spark):
     d = spark.createDataFrame([("u", 0.0, 1), ("u", 1.0, 2), ("u", 2.0, 3), ("u", 31.0, 4), ("v", 0.0, 5)], "k string, at double, id long")
     got = {r.id: r.granted for r in streaming.token_bucket(d, "k", "at", "id", 2.0).collect()}
