@@ -191,7 +191,9 @@ def rebuild_abstract(index: Column) -> Column:
     """Text from a map of word to places; of several words for a place the later one in the map counts."""
     entries = F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), i.alias("i"), e["key"].alias("word"))))
     flat = F.array_sort(F.flatten(entries))
-    last = F.filter(flat, lambda x, i: (i == F.size(flat) - 1) | (F.get(flat, i + 1)["pos"] != x["pos"]))
+    # Each entry beside the next one, so that the sorted array is not made again for every entry.
+    pairs = F.zip_with(flat, F.slice(flat, F.lit(2), F.size(flat)), lambda x, y: F.struct(x["word"].alias("word"), x["pos"].alias("pos"), y["pos"].alias("next")))
+    last = F.filter(pairs, lambda x: x["next"].isNull() | (x["next"] != x["pos"]))
     return F.array_join(F.transform(last, lambda x: x["word"]), " ")
 
 

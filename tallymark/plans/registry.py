@@ -423,9 +423,10 @@ def repo_slugs(spark, d):
 @query
 def abstract_rebuild(spark, d):
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    index = F.transform(F.array_distinct("w"), lambda w: F.struct(w, F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == w)))
-    c = table(spark, d, "conversations").withColumn("w", words).where("size(w) > 0")
-    return c.select("conv_id", "turn", x.rebuild_abstract(F.map_from_entries(index)).alias("abstract"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "word"))
+    c = c.groupBy("conv_id", "turn", "word").agg(F.collect_list("pos").alias("places")).groupBy("conv_id", "turn")
+    index = c.agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    return index.select("conv_id", "turn", x.rebuild_abstract(F.col("index")).alias("abstract"))
 
 
 @query
