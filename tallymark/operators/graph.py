@@ -25,4 +25,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
         labels = jump.select("node", F.col("to").alias("label"))
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components are not finished after {most_rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
