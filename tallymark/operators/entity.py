@@ -7,9 +7,11 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import EntityConfig
 from .graph import connected_components
+from .running import checkpointed
 
 
 class Resolution(NamedTuple):
@@ -31,16 +33,24 @@ def token_vectors(records: DataFrame, key: str, *texts: str) -> DataFrame:
 def cosine_pairs(records: DataFrame, key: str, texts: list[str], least: float) -> DataFrame:
     """(a, b, cosine) of all pairs a < b with cosine >= least > 0.
 
-    Equal token bags are joined once: pairs are made between distinct bags that share a token,
-    which every pair of positive cosine does, and then spread to the records of the bags.
+    Equal token bags are joined once and their pairs spread to the records of the bags. With the
+    tokens of each bag in the order of how many bags have them, rarest first, a bag's last tokens
+    that are too short a vector to reach the cosine by themselves are left out of the search: two
+    bags alike enough share a token among the others. So frequent tokens make no pairs, none is
+    lost, and the cosines of the pairs found are taken over all tokens.
     """
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts]))
     bag = F.array_join(F.array_sort(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))), " ")
     member = records.select(F.col(key).alias("k"), bag.alias("bag"))
     bags = member.groupBy("bag").agg(F.min("k").alias("rep")).where("bag <> ''")
     v = token_vectors(bags, "rep", "bag")
+    in_bags = v.groupBy("token").agg(F.count(F.lit(1)).alias("in_bags"))
+    rest = Window.partitionBy("rep").orderBy(F.desc("in_bags"), "token").rowsBetween(Window.unboundedPreceding, 0)
+    rare = v.join(in_bags, "token").withColumn("rest", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(rest).cast("double")))
+    rare = rare.where(F.col("rest") >= F.col("norm") * (least - 1e-9)).select("rep", "token")
+    tried = rare.toDF("a", "token").join(rare.toDF("b", "token"), "token").where("a < b").select("a", "b").distinct()
     left, right = v.toDF("a", "token", "tf_a", "norm_a"), v.toDF("b", "token", "tf_b", "norm_b")
-    dots = left.join(right, "token").where("a < b").groupBy("a", "b").agg((F.sum(F.col("tf_a") * F.col("tf_b")) / (F.first("norm_a") * F.first("norm_b"))).alias("cosine"))
+    dots = tried.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b").agg((F.sum(F.col("tf_a") * F.col("tf_b")) / (F.first("norm_a") * F.first("norm_b"))).alias("cosine"))
     dots = dots.where(F.round("cosine", 12) >= least)
     m = member.join(bags, "bag").select("k", "rep")
     out = dots.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
@@ -61,8 +71,8 @@ def resolve(records: DataFrame, key: str = "seq", texts: tuple[str, ...] = ("nam
     in [gray, auto) merge where the adjudicator, which adds a column `same`, says so. similarity
     stands in for the cosine of tokens: it takes what cosine_pairs takes and returns (a, b, cosine).
     """
-    known = identifier_pairs(records, key).checkpoint()
-    near = similarity(records, key, list(texts), cfg.gray).join(known, ["a", "b"], "left_anti").checkpoint()
+    known = checkpointed(identifier_pairs(records, key))
+    near = checkpointed(similarity(records, key, list(texts), cfg.gray).join(known, ["a", "b"], "left_anti"))
     auto, gray = near.where(F.round("cosine", 12) >= cfg.auto), near.where(F.round("cosine", 12) < cfg.auto)
     said = adjudicator(gray).where("same").select("a", "b") if adjudicator else gray.limit(0).select("a", "b")
     edges = known.union(auto.select("a", "b")).union(said)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .running import running_sum
 
 
 def recall(golden: DataFrame, caught: DataFrame, key: str = "snippet_id", flag: str = "is_true") -> DataFrame:
@@ -44,19 +45,20 @@ def report_lines(entities: DataFrame, coverage_rows: DataFrame | None = None) ->
 
     entities has name, band, score_pct; of equal names the first by entity_id counts.
     """
-    w = Window.partitionBy("name").orderBy("entity_id")
-    e = entities.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    e = entities.groupBy("name").agg(F.min_by(F.struct("band", "score_pct"), "entity_id").alias("e")).select("name", "e.*")
     order = F.create_map(*[F.lit(v) for kv in {"leader": 1, "contender": 2, "candidate": 3, "unverified": 4}.items() for v in kv])
     known = F.when(F.col("band").isin("leader", "contender", "candidate"), F.col("band")).otherwise("unverified")
     e = e.select(F.element_at(order, known).alias("section"), "name", F.concat(F.lit("- "), "name", F.lit(": "), F.format_number("score_pct", 2)).alias("line"))
-    n = F.row_number().over(Window.partitionBy("section").orderBy("name"))
-    lines = e.select("section", n.alias("line_no"), "line")
+    placed = running_sum(e, ["section", "name"], 1, "place")
+    # One row for each section
+    first = placed.groupBy("section").agg((F.min("place") - 1).alias("ahead"))
+    lines = placed.join(F.broadcast(first), "section").select("section", (F.col("place") - F.col("ahead")).cast("int").alias("line_no"), "line")
     bands = entities.sparkSession.createDataFrame([(1, "leader"), (2, "contender"), (3, "candidate"), (4, "unverified")], "section int, band string")
     heads = bands.select("section", F.lit(0).alias("line_no"), F.concat(F.lit("## "), "band").alias("line"))
     none = bands.join(e.select("section").distinct(), "section", "left_anti").select("section", F.lit(1).alias("line_no"), F.lit("(none)").alias("line"))
     out = heads.unionByName(lines).unionByName(none)
     if coverage_rows is not None:
-        c = coverage_rows.select(F.lit(5).alias("section"), F.row_number().over(Window.orderBy("stage")).alias("line_no"), F.concat_ws(" ", F.lit("- stage"), "stage", "text").alias("line"))
+        c = running_sum(coverage_rows, ["stage"], 1, "_n").select(F.lit(5).alias("section"), F.col("_n").cast("int").alias("line_no"), F.concat_ws(" ", F.lit("- stage"), "stage", "text").alias("line"))
         out = out.unionByName(c)
     return out
 

@@ -6,39 +6,40 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import BandConfig
 from ..functions import expr as x
+from .running import running_sum
 
 OSSF = re.compile(r"critic|score_?card|ossf|chaoss", re.I)
 
 
-def running_share(counts: DataFrame, value: str, n: str, cells: int = 256) -> DataFrame:
-    """(value, ecdf) from distinct values and their counts.
-
-    Values are dealt into cells of equal width, so that the running sum is a small sum
-    over cells and a window within each, never one task over all values.
-    """
-    s = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(n).alias("total"))
-    c = counts.crossJoin(F.broadcast(s)).withColumn("cell", F.coalesce(F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) * cells), F.lit(cells - 1)), F.lit(0)))
-    before = c.groupBy("cell").agg(F.sum(n).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    within = F.sum(n).over(Window.partitionBy("cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return c.join(F.broadcast(before), "cell").select(value, ((F.col("before") + within) / F.col("total")).alias("ecdf"))
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, upto): distinct values that are not null, their counts and how many rows are not above them."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    return running_sum(counts, [value], "n", "upto")
 
 
 def ecdf(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the share of rows whose value is not above its own; null values get 0."""
     d = df.withColumn("_v", F.col(value).cast("double"))
-    shares = running_share(d.where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("n")), "_v", "n")
+    counts = value_counts(d, "_v")
+    total = counts.agg(F.max("upto").alias("total"))
+    shares = counts.crossJoin(F.broadcast(total)).select("_v", (F.col("upto") / F.col("total")).alias("ecdf"))
     return d.join(shares, "_v", "left").withColumn(out, F.coalesce("ecdf", F.lit(0.0))).drop("_v", "ecdf")
 
 
 def winsorize(df: DataFrame, value: str, low: float = 1, high: float = 99) -> DataFrame:
-    """df with value moved to the interpolated percentiles where it lies beyond them."""
-    p = df.agg(F.percentile(F.col(value).cast("double"), F.lit([low / 100, high / 100])).alias("_p"))
+    """df with value moved to the interpolated percentiles where it lies beyond them; a null stays null."""
     v = F.col(value).cast("double")
-    return df.crossJoin(F.broadcast(p)).withColumn(value, F.least(F.greatest(v, F.col("_p")[0]), F.col("_p")[1])).drop("_p")
+    counts = value_counts(df.select(v.alias("_v")), "_v")
+    total = counts.agg(F.max("upto").alias("total"))
+    at = [(F.col("total") - 1) * (q / 100) for q in (low, high)]
+    below = [F.min(F.when(F.col("upto") > F.floor(a), F.col("_v"))) for a in at]
+    above = [F.min(F.when(F.col("upto") > F.ceil(a), F.col("_v"))) for a in at]
+    share = [F.first(a - F.floor(a)) for a in at]
+    p = counts.crossJoin(F.broadcast(total)).agg(F.array(*[b + (t - b) * w for b, t, w in zip(below, above, share)]).alias("_p"))
+    return df.crossJoin(F.broadcast(p)).withColumn(value, F.when(v.isNotNull(), F.least(F.greatest(v, F.col("_p")[0]), F.col("_p")[1]))).drop("_p")
 
 
 def normalize_evidence(signals: DataFrame, cfg: BandConfig = BandConfig()) -> DataFrame:

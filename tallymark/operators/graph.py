@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import checkpointed
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component): component is the least node that can be reached.
@@ -14,13 +16,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     is cut by checkpoint() each round, which needs a checkpoint folder that executors share.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = both.checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).distinct().checkpoint()
+    both = checkpointed(both)
+    labels = checkpointed(nodes.select("node", F.col("node").alias("label")).distinct())
     for _ in range(most_rounds):
         near = both.join(labels.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         hop = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "m").alias("to"))
         jump = hop.join(labels.toDF("n2", "l2"), F.col("to") == F.col("n2")).select("node", "label", F.least("to", "l2").alias("to"))
-        jump = jump.checkpoint()
+        jump = checkpointed(jump)
         moved = jump.where("to <> label").limit(1).count()
         labels = jump.select("node", F.col("to").alias("label"))
         if not moved:
