@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, paragraph_dedup, quality, sentencepiece_sampling, substring_dedup, toxicity
+from . import bpe, conversation_repair, embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, paragraph_dedup, quality, sentencepiece_sampling, substring_dedup, toxicity, vector_codes
 from .common import documents
 
 
@@ -50,11 +50,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")).report
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_mix_sources, op4_suffix_array, op5_language_id, op6_paragraph_minhash, op7_kneser_ney_quality, op8_embedding_lattice, op9_ngram_jaccard, op10_toxicity)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_mix_sources, op4_suffix_array, op5_language_id, op6_paragraph_minhash, op7_kneser_ney_quality, op8_embedding_lattice, op9_ngram_jaccard, op10_toxicity, op11_conversation_repair, op12_vector_codes, op13_bpe)
 }
 
 ORACLE_SQL = {
+    "op11_conversation_repair": conversation_repair.report_sql(),
+    "op12_vector_codes": vector_codes.codes_sql(),
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,

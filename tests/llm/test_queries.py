@@ -13,7 +13,8 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, DIR), con.sql(queries.ORACLE_SQL[name])
     order = sorted(df.columns)
     assert sorted(want.columns) == order
