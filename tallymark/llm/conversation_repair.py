@@ -283,12 +283,12 @@ def _hash_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _walked(scratch: Scratch, numbered: DataFrame, kind: str, fan: int) -> DataFrame:
-    """(conv_id, cost, audit) of whole conversations from their numbered segments."""
+    """(conv_id, cost, audit) of whole conversations from their numbered segments, written."""
     made = "start int, state int, cost bigint, audit string"
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = numbered.select("conv_id", "idx", "many", "kinds").repartition(parts, "conv_id", "idx")
-    walks = scratch.save(dealt.mapInArrow(_walk_turns, f"conv_id {kind}, idx bigint, many boolean, {made}"))
-    whole, long = walks.where("not many").drop("many"), walks.where("many").drop("many")
+    turns = scratch.save(dealt.mapInArrow(_walk_turns, f"conv_id {kind}, idx bigint, many boolean, {made}"))
+    whole, long = turns.where("not many").drop("many"), turns.where("many").drop("many")
     left = (numbered.agg(F.max("idx")).first()[0] or 0) + 1
     while left > 1:
         up = (F.col("idx") / fan).cast("bigint").alias("up")
@@ -299,7 +299,9 @@ def _walked(scratch: Scratch, numbered: DataFrame, kind: str, fan: int) -> DataF
     for s, c, x in endings():
         cost, edits = F.when(F.col("state") == s, c).otherwise(cost), F.when(F.col("state") == s, x).otherwise(edits)
     best = F.min(F.struct((F.col("cost") + cost).alias("cost"), F.concat("audit", edits).alias("audit")))
-    return walks.groupBy("conv_id").agg(best.alias("b")).select("conv_id", "b.cost", "b.audit")
+    best = scratch.save(walks.groupBy("conv_id").agg(best.alias("b")).select("conv_id", "b.cost", "b.audit"))
+    scratch.drop(turns)
+    return best
 
 
 def repair(conversations: DataFrame, segment: int = SEGMENT, fan: int = FAN, segment_bytes: int = SEGMENT_BYTES) -> Repair:
@@ -319,6 +321,7 @@ def repair(conversations: DataFrame, segment: int = SEGMENT, fan: int = FAN, seg
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = _seen(rows).repartitionByRange(parts, *by, F.substring("text", 1, PREFIX)).sortWithinPartitions(*by, "text")
     segs = scratch.save(sorted_rows.mapInArrow(_pack(segment, segment_bytes), f"conv_id {kind}, {_SEGMENT}"))
+    scratch.drop(rows)
     w = Window.partitionBy("conv_id").orderBy("seg")
     before = F.lag("last_initial").over(w)
     across = (before.isNotNull() & ~F.concat(before, "first_initial").isin(*_LEGAL)).cast("long")
@@ -329,12 +332,13 @@ def repair(conversations: DataFrame, segment: int = SEGMENT, fan: int = FAN, seg
     stats = numbered.groupBy("conv_id").agg(
         F.coalesce(F.max("most") - F.min("least") + 1 - F.sum("all_turns"), F.lit(0)).alias("gaps"), total("blank", "blank"), total("duplicate", "duplicate"), total("truncated", "truncated"), total("all_illegal", "illegal")
     )
-    walked = scratch.save(_walked(scratch, numbered, kind, fan))
+    walked = _walked(scratch, numbered, kind, fan)
     lists = numbered.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", "seg", "kinds"))).alias("segments"))
     both = lists.withColumnRenamed("conv_id", "c").join(walked, F.col("c").eqNullSafe(F.col("conv_id")))
     pieces = both.select("audit", "segments").mapInArrow(_pieces, "seg bigint, alone boolean, state int, edits string")
     made = segs.select("conv_id", "seg", "kinds", "kept").join(pieces, "seg").mapInArrow(_apply, f"conv_id {kind}, seg bigint, alone boolean, made array<struct<edit:string,role:string,text:string>>")
     made = scratch.save(made)
+    scratch.drop(segs)
     lines = F.array_join(F.transform("made", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
     alone = made.where("alone").select("conv_id", F.sha2(lines.cast("binary"), 256).alias("sha"))
     long = made.where("not alone").select("conv_id", "seg", F.when(F.size("made") > 0, lines).alias("lines")).repartition(parts, "conv_id").sortWithinPartitions("conv_id", "seg")
@@ -369,8 +373,11 @@ hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') A
 d AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM hit, range(2) r(k) WHERE hit <> 0 AND (k = 0 OR hit = 3)),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
-  WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial FROM n),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial FROM n),
 x AS MATERIALIZED (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(k) ELSE k END AS kind,
   rn > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY rn) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM (SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS k FROM f)),
 moves(state, kind, after, cost, edits, inserted, new_role) AS (VALUES {rows((*m, *made(m[0], m[4])) for m in moves())}),

@@ -153,6 +153,7 @@ def vector_codes(vectors: DataFrame, parts: int = PARTS, rounds: int = ROUNDS, b
                 yield pa.record_batch([b.column("ids").slice(k, 1).flatten(), b.column("labels").slice(k, 1).flatten(), pa.array(text, pa.string()), pa.array(error), pa.array([sha[dims]] * len(text), pa.string())], names=["vec_id", "label", "code", "error", "codebooks_sha256"])
 
     coded = scratch.save(packed.mapInArrow(code, f"vec_id {kinds['vec_id']}, label {kinds['label']}, code string, error bigint, codebooks_sha256 string"))
+    scratch.drop(packed)
     sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
     return coded.join(sums, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
