@@ -39,9 +39,9 @@ LEAF, FAN = 1 << 15, 8
 #: Tokens of a window's first try on each side, tokens that must agree, bytes by which parted words must lie from an end.
 WINDOW, AGREE, MARGIN = 64, 4, 64
 #: Bytes of text that are handled at once, and stretches whose ids are kept by a worker.
-BATCH_BYTES, KEPT = 1 << 20, 1 << 18
+BATCH_BYTES, KEPT = 1 << 20, 1 << 19
 #: Words are parted here whatever comes before and after.
-_SURE = re.compile(r"(?<=\S)(?= )")
+_SURE = re.compile(r"(?<=\S)(?=[\t-\r ])")
 
 
 class Vocabulary:
@@ -82,7 +82,7 @@ class Vocabulary:
         #: Whether a token begins at the start of a character.
         self.head = np.array([not x or x[0] & 0xC0 != 0x80 for x in self.raw])
         self.name = [str(i) for i in range(top)]
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
 
     def ids(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text, by stretches between places where words are surely parted; repeated ones are looked up."""
@@ -93,7 +93,7 @@ class Vocabulary:
             new = set(chain.from_iterable(cut))
         new = list(new)
         kept = self.kept
-        kept.update(zip(new, (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
+        kept.update(zip(new, (tuple(e.ids) for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
         for x in cut:
             yield list(chain.from_iterable(map(kept.__getitem__, x)))
 
