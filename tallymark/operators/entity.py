@@ -1,17 +1,24 @@
-"""Entity resolution: identifier matches first, then token cosine on candidates that share a token."""
+"""Entity resolution: identifier matches first, then token cosine on candidates that share a token.
+
+Records of one identifier or of equal texts may be any number: they are linked as stars, and their pairs are counted from the sizes of classes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import EntityConfig
 from .graph import connected_components
-from .running import checkpointed
+from .running import written
+
+
+#: Identifiers that one record shares with others, of those that differ in their records.
+MOST_SHARED = 16
 
 
 class Resolution(NamedTuple):
@@ -30,6 +37,12 @@ def token_vectors(records: DataFrame, key: str, *texts: str) -> DataFrame:
     return t.join(norms, key)
 
 
+def bag(texts: list[str]) -> Column:
+    """The lower-case alphanumeric tokens of some columns, sorted, as one text."""
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts]))
+    return F.array_join(F.array_sort(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))), " ")
+
+
 def cosine_pairs(records: DataFrame, key: str, texts: list[str], least: float) -> DataFrame:
     """(a, b, cosine) of all pairs a < b with cosine >= least > 0.
 
@@ -39,9 +52,7 @@ def cosine_pairs(records: DataFrame, key: str, texts: list[str], least: float) -
     bags alike enough share a token among the others. So frequent tokens make no pairs, none is
     lost, and the cosines of the pairs found are taken over all tokens.
     """
-    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(t), F.lit("")) for t in texts]))
-    bag = F.array_join(F.array_sort(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))), " ")
-    member = records.select(F.col(key).alias("k"), bag.alias("bag"))
+    member = records.select(F.col(key).alias("k"), bag(texts).alias("bag"))
     bags = member.groupBy("bag").agg(F.min("k").alias("rep")).where("bag <> ''")
     v = token_vectors(bags, "rep", "bag")
     in_bags = v.groupBy("token").agg(F.count(F.lit(1)).alias("in_bags"))
@@ -58,29 +69,128 @@ def cosine_pairs(records: DataFrame, key: str, texts: list[str], least: float) -
     return out.unionByName(equal)
 
 
-def identifier_pairs(records: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """(a, b), a < b, of all records that share an identifier, each pair once."""
-    e = records.select(F.col(key).alias("k"), F.explode(F.array_distinct(ids)).alias("i"))
-    return e.toDF("a", "i").join(e.toDF("b", "i"), "i").where("a < b").select("a", "b").distinct()
+def shared_identifiers(members: DataFrame, most: int = MOST_SHARED) -> DataFrame:
+    """(k, ids) of members (k, ids): the identifiers that another member has too, sorted, one for all that the same members have.
+
+    A member with over `most` of them raises a ValueError, as their subsets are counted.
+    """
+    e = members.select("k", F.explode("ids").alias("i"))
+    # Sums and exclusive ors of two hashes tell sets of members apart.
+    by = e.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("x")).where("n > 1")
+    kept = by.groupBy("n", "s", "x").agg(F.min("i").alias("i")).select("i")
+    out = e.join(kept, "i").groupBy("k").agg(F.array_sort(F.collect_list("i")).alias("ids"))
+    too_many = F.raise_error(F.lit(f"a record shares over {most} identifiers that differ in their records"))
+    return out.select("k", F.when(F.size("ids") > most, too_many).otherwise(F.col("ids")).alias("ids"))
+
+
+def identifier_subsets(shared: DataFrame) -> DataFrame:
+    """(k, part, sign) of (k, ids): every subset of a member's identifiers that isn't empty; sign is 1 for odd sizes, else -1.
+
+    Summed with its sign, the number of pairs that share a subset counts each pair with common identifiers once.
+    """
+    d = shared.select("k", "ids", F.expr("explode(sequence(1, shiftleft(1, size(ids)) - 1))").alias("m"))
+    part = F.filter("ids", lambda x, i: F.call_function("shiftright", F.col("m"), i).bitwiseAND(F.lit(1)) == 1)
+    return d.select("k", part.alias("part"), (F.size(part) % 2 * 2 - 1).cast("long").alias("sign"))
+
+
+def _pairs(n: str) -> Column:
+    return F.expr(f"{n} * ({n} - 1) div 2")
 
 
-def resolve(records: DataFrame, key: str = "seq", texts: tuple[str, ...] = ("name", "description"), cfg: EntityConfig = EntityConfig(), adjudicator: Callable[[DataFrame], DataFrame] | None = None, similarity: Callable[[DataFrame, str, list[str], float], DataFrame] = cosine_pairs) -> Resolution:
-    """Clusters of records. records has a key, an array `ids` and text columns.
+class PairCounts(NamedTuple):
+    """by_identifier: pairs that share one. within: pairs of equal groups that share none. between: (a, b, pairs) of groups, those that share none."""
 
-    Pairs that share an identifier merge. Of the others those with cosine >= auto merge, and those
-    in [gray, auto) merge where the adjudicator, which adds a column `same`, says so. similarity
-    stands in for the cosine of tokens: it takes what cosine_pairs takes and returns (a, b, cosine).
+    by_identifier: DataFrame
+    within: DataFrame
+    between: DataFrame
+
+
+def pair_counts(members: DataFrame, near: DataFrame) -> PairCounts:
+    """Counts of pairs of members (k, ids, rep) without the pairs, by inclusion and exclusion over classes.
+
+    rep names a group of equal texts, null for members that resemble none; near has (a, b) of groups that resemble
+    each other. Rows grow with members, their subsets of shared identifiers, and near, whatever the size of a group or the use of an identifier.
+    """
+    parts = identifier_subsets(shared_identifiers(members)).join(members.select("k", "rep"), "k")
+    parts = written(parts.groupBy("part", "sign", "rep").agg(F.count(F.lit(1)).alias("n")))
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    whole = parts.groupBy("part", "sign").agg(F.sum("n").alias("n"))
+    ids = whole.agg(zero(F.col("sign") * _pairs("n"), "pairs"))
+    sizes = members.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    equal = sizes.agg(zero(_pairs("n"), "equal"))
+    linked = parts.where("rep is not null").agg(zero(F.col("sign") * _pairs("n"), "linked"))
+    within = equal.crossJoin(linked).select((F.col("equal") - F.col("linked")).alias("pairs"))
+    own = parts.where("rep is not null")
+    both = near.select("a", "b").join(own.select(F.col("rep").alias("a"), "part", "sign", F.col("n").alias("na")), "a")
+    both = both.join(own.select(F.col("rep").alias("b"), "part", F.col("n").alias("nb")), ["b", "part"])
+    both = both.groupBy("a", "b").agg(F.sum(F.col("sign") * F.col("na") * F.col("nb")).alias("linked"))
+    between = near.select("a", "b").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").join(both, ["a", "b"], "left")
+    return PairCounts(ids, within, between.select("a", "b", (F.col("na") * F.col("nb") - F.coalesce("linked", F.lit(0))).cast("long").alias("pairs")))
+
+
+def members_of(records: DataFrame, key: str, texts: list[str], context: list[str], similarity=None) -> DataFrame:
+    """(k, ids, alike, context): sorted identifiers, the hash of the texts that count as equal, what an adjudicator may see.
+
+    Of texts without a similarity put in the bags of their tokens count, and empty ones resemble nothing.
+    """
+    if similarity is None:
+        text = bag(texts)
+        alike = F.when(text != "", F.sha2(text.cast("binary"), 256))
+    else:
+        alike = F.sha2(F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    ids = F.array_sort(F.array_distinct(F.filter("ids", lambda i: i.isNotNull())))
+    return records.select(F.col(key).alias("k"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), alike.alias("alike"), F.struct(*context).alias("context"))
+
+
+def questions(classes: DataFrame, gray: DataFrame) -> DataFrame:
+    """(a, b, cosine, a_context, b_context, n): pairs of classes (rep, group, ids, context, n) of resembling groups that share no identifier; n counts their records' pairs."""
+    left, right = (classes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("rep", "group", "ids", "context", "n")]) for side in "xy")
+    d = gray.select(F.col("a").alias("x_group"), F.col("b").alias("y_group"), "cosine").join(left, "x_group").join(right, "y_group").where(~F.arrays_overlap("x_ids", "y_ids"))
+    first = F.col("x_rep") < F.col("y_rep")
+    pick = lambda c: [F.when(first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(first, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))]
+    (a, b), (ca, cb) = pick("rep"), pick("context")
+    return d.select(a.alias("a"), b.alias("b"), "cosine", ca.alias("a_context"), cb.alias("b_context"), (F.col("x_n") * F.col("y_n")).alias("n"))
+
+
+def resolve(records: DataFrame, key: str = "seq", texts: tuple[str, ...] = ("name", "description"), cfg: EntityConfig = EntityConfig(), adjudicator: Callable[[DataFrame], DataFrame] | None = None, similarity: Callable[[DataFrame, str, list[str], float], DataFrame] | None = None, context: tuple[str, ...] | None = None) -> Resolution:
+    """Clusters of records. records has a key without repeats, an array `ids` of strings and text columns.
+
+    Records that share an identifier merge. Of the others pairs with cosine >= auto merge, and those
+    in [gray, auto) merge where the adjudicator says so. Pairs are counted and not made: records of one identifier hang on
+    the least of them, records of equal texts too, and the journal's counts of pairs come from the sizes of classes.
+
+    The adjudicator takes (a, b, cosine, a_context, b_context, n) and adds a column `same`; null is no. It is asked once for
+    two classes of records with the same bag, identifiers and context (structs of the columns in `context`, by default the texts), of which a < b are the
+    least keys and n counts the pairs. similarity stands in for the cosine of tokens: it takes what cosine_pairs takes,
+    records of different texts, and returns (a, b, cosine); equal texts count as 1.
     """
-    known = checkpointed(identifier_pairs(records, key))
-    near = checkpointed(similarity(records, key, list(texts), cfg.gray).join(known, ["a", "b"], "left_anti"))
-    auto, gray = near.where(F.round("cosine", 12) >= cfg.auto), near.where(F.round("cosine", 12) < cfg.auto)
-    said = adjudicator(gray).where("same").select("a", "b") if adjudicator else gray.limit(0).select("a", "b")
-    edges = known.union(auto.select("a", "b")).union(said)
-    clusters = connected_components(records.select(F.col(key).alias("node")), edges).toDF(key, "cluster")
-    n = records.agg(F.count(F.lit(1)).alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs_total"))
-    count = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
-    journal = n.crossJoin(count(gray, "pairs_gray")).crossJoin(count(known.union(auto.select("a", "b")), "merges_auto")).crossJoin(count(said, "merges_llm"))
-    return Resolution(clusters, journal)
+    if not cfg.gray <= cfg.auto <= 1:
+        raise ValueError("gray must not exceed auto, nor auto 1")
+    m = written(members_of(records, key, list(texts), list(context or texts), similarity))
+    groups = m.where("alike is not null").groupBy("alike").agg(F.min("k").alias("rep"))
+    m = written(m.join(groups, "alike", "left"))
+    reps = records.join(m.select(F.col("rep").alias(key)).where("rep is not null").distinct(), key, "left_semi")
+    near = written((similarity or cosine_pairs)(reps, key, list(texts), cfg.gray).select("a", "b", F.round("cosine", 12).alias("cosine")))
+    auto, gray = near.where(F.col("cosine") >= cfg.auto), near.where((F.col("cosine") >= cfg.gray) & (F.col("cosine") < cfg.auto))
+    classes = m.where("rep is not null").groupBy(F.col("rep").alias("group"), "ids", "context").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
+    asked = questions(classes, gray)
+    said = written(adjudicator(asked).where("same").select("a", "b", "n")) if adjudicator else asked.limit(0).select("a", "b", "n")
+    stars = m.select("k", F.explode("ids").alias("i"))
+    stars = stars.join(stars.groupBy("i").agg(F.min("k").alias("a")), "i").select("a", F.col("k").alias("b"))
+    edges = stars.union(m.select("rep", "k")).union(auto.select("a", "b")).union(said.select("a", "b"))
+    clusters = connected_components(m.select(F.col("k").alias("node")), edges).toDF(key, "cluster")
+    return Resolution(clusters, journal(m, near, said, cfg))
+
+
+def journal(members: DataFrame, near: DataFrame, said: DataFrame, cfg: EntityConfig = EntityConfig()) -> DataFrame:
+    """One row of counts of pairs: all, gray, merged of themselves, merged by the adjudicator."""
+    count = pair_counts(members, near)
+    between = count.between.join(near, ["a", "b"])
+    total = lambda d, c, name: d.agg(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name))
+    n = members.agg(F.count(F.lit(1)).alias("n")).select(_pairs("n").alias("pairs_total"))
+    sums = between.agg(*[F.coalesce(F.sum(F.when(c, F.col("pairs"))), F.lit(0)).cast("long").alias(name) for c, name in ((F.col("cosine") >= cfg.auto, "auto"), (F.col("cosine") < cfg.auto, "pairs_gray"))])
+    merged = count.by_identifier.toDF("known").crossJoin(count.within.toDF("equal")).crossJoin(sums).select("pairs_gray", (F.col("known") + F.col("equal") + F.col("auto")).alias("merges_auto"))
+    return n.crossJoin(merged).crossJoin(total(said, "n", "merges_llm"))
 
 
 def entities_from_clusters(records: DataFrame, clusters: DataFrame, key: str = "seq") -> DataFrame:

@@ -3,26 +3,46 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all executors share.
 
     Only where it names none and runs on this machine alone (tests) a temporary one is set.
     """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallymark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="tallymark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back.
+
+    For loops: unlike a checkpoint it hands no constraints of its columns on, which double with each round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tallymark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_sum(df: DataFrame, by: list[str], amount: str | Column, name: str) -> DataFrame:
     """df with the sum of amount over all rows up to and with the own one in the order of by, which should be total.
 

@@ -43,7 +43,22 @@ clusters AS (SELECT node AS seq, min(label) AS cluster FROM reach GROUP BY node)
 _WORDS = "ARRAY[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _BANDS = "(VALUES ('leader', 80.0), ('contender', 50.0), ('candidate', 20.0), ('unverified', 0.0)) t(name, t)"
 
+#: All pairs of customers as records, whether they share an identifier, and their cosine.
+_PARTIES = """
+k AS (SELECT c_custkey AS k, list_filter([CASE WHEN c_custkey % 4 = 0 THEN 'd' || c_custkey % 101 END, CASE WHEN c_custkey % 9 = 0 THEN 'hub' END, CASE WHEN c_custkey % 12 = 0 THEN 'o' || c_custkey % 37 END, CASE WHEN c_custkey % 8 = 0 THEN 'e' || c_custkey % 101 END], lambda x: x IS NOT NULL) AS ids,
+  'Team ' || c_nationkey || ' ' || c_mktsegment AS name, 'unit ' || c_custkey % 40 AS description, c_custkey % 4 AS url FROM customer),
+w AS (SELECT k, token, count(*) AS tf FROM (SELECT k, unnest(regexp_extract_all(lower(name || ' ' || description), '[a-z0-9]+')) AS token FROM k) GROUP BY ALL),
+n AS (SELECT k, sqrt(sum(tf * tf)) AS norm FROM w GROUP BY k),
+t AS (SELECT * FROM w JOIN n USING (k)),
+dots AS (SELECT a.k AS x, b.k AS y, sum(a.tf * b.tf) / any_value(a.norm * b.norm) AS cosine FROM t a JOIN t b ON a.token = b.token AND a.k < b.k GROUP BY ALL),
+p AS MATERIALIZED (SELECT a.k AS x, b.k AS y, list_has_any(a.ids, b.ids) AS known, round(coalesce(cosine, 0), 12) AS cosine, a.name = b.name AND a.url = b.url AS same
+  FROM k a JOIN k b ON a.k < b.k LEFT JOIN dots ON x = a.k AND y = b.k)"""
+
 SQL = {
+    "party_journal": f"""WITH {_PARTIES} SELECT count(*) AS pairs_total, count(*) FILTER (WHERE NOT known AND cosine >= 0.7 AND cosine < 0.92) AS pairs_gray,
+  count(*) FILTER (WHERE known OR cosine >= 0.92) AS merges_auto, count(*) FILTER (WHERE NOT known AND cosine >= 0.7 AND cosine < 0.92 AND same) AS merges_llm FROM p""",
+    "party_clusters": f"""WITH RECURSIVE {_PARTIES}, m AS (SELECT x, y FROM p WHERE known OR cosine >= 0.92 OR (cosine >= 0.7 AND same)), e AS (SELECT x, y FROM m UNION ALL SELECT y, x FROM m),
+r(node, label) AS (SELECT k, k FROM k UNION SELECT e.y, least(r.label, e.y) FROM r JOIN e ON e.x = r.node) SELECT node AS seq, min(label) AS cluster FROM r GROUP BY node""",
     "entity_band": f"WITH {_SIGNALS} SELECT entity_id, dead, round(best, 6) AS best, score_pct, band FROM bands",
     "evidence_score": f"WITH {_SIGNALS} SELECT event_id, round(usage_pct, 6) AS usage_pct, round(recency_w, 6) AS recency_w, round(score, 6) AS score, dead FROM v",
     "ecdf_usage": "SELECT event_id, round(cume_dist() OVER (ORDER BY value), 8) AS share FROM events",

@@ -167,6 +167,34 @@ def cluster_entities(spark, d):
     return entity.entities_from_clusters(s, entity.resolve(s).clusters)
 
 
+def _parties(spark, d):
+    """Customers as records: some share identifiers, one of them a ninth of all; many texts are alike but not equal."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    ids = F.array(F.when(k % 4 == 0, text("d", k % 101)), F.when(k % 9 == 0, F.lit("hub")), F.when(k % 12 == 0, text("o", k % 37)), F.when(k % 8 == 0, text("e", k % 101)))
+    return c.select(k.alias("seq"), F.array_compact(ids).alias("ids"), F.concat(F.lit("Team "), F.col("c_nationkey").cast("string"), F.lit(" "), F.col("c_mktsegment")).alias("name"), text("unit ", k % 40).alias("description"), text("u", k % 4).alias("url"))
+
+
+def _same_party(asked):
+    """An adjudicator: the names and URLs that it may see are equal."""
+    a, b = F.col("a_context"), F.col("b_context")
+    return asked.withColumn("same", (a["name"] == b["name"]) & (a["url"] == b["url"]))
+
+
+def _party_resolution(spark, d):
+    return entity.resolve(_parties(spark, d), adjudicator=_same_party, context=("name", "url"))
+
+
+@query
+def party_clusters(spark, d):
+    return _party_resolution(spark, d).clusters
+
+
+@query
+def party_journal(spark, d):
+    return _party_resolution(spark, d).journal
+
+
 @query
 def components(spark, d):
     o = table(spark, d, "orders")
