@@ -95,6 +95,7 @@ SELECT a, b, round(dot / (x.norm * y.norm), 6) AS cosine FROM d JOIN n x ON a =
     "cluster_entities": f"""WITH RECURSIVE {_CLUSTER}, {_REACH},
 c AS (SELECT cluster, arg_min(name, seq) AS name, arg_min(domain, seq) AS entity_id, count(*) AS n FROM s JOIN clusters USING (seq) GROUP BY cluster)
 SELECT entity_id, arg_min(name, cluster) AS name, sum(n)::BIGINT AS n_records FROM c GROUP BY entity_id""",
+    "store_batches": "SELECT k, seq, day FROM (SELECT o_custkey AS k, o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4, o_orderkey) AS n FROM orders) WHERE n = 1",
     "components": """WITH RECURSIVE o AS (SELECT o_custkey AS a, o_custkey + o_orderkey % 7 AS b FROM orders),
 e AS (SELECT a, b FROM o UNION SELECT b, a FROM o), r(node, label) AS (SELECT a, a FROM e UNION SELECT e.b, least(r.label, e.b) FROM r JOIN e ON e.a = r.node)
 SELECT node, min(label) AS component FROM r GROUP BY node""",
@@ -205,3 +206,4 @@ SELECT doc_id, '{"axes":[{"axis":"the speed","classification":"' || a[1] || '"},
     "bow_vectors": """WITH b AS (SELECT k, list_transform(regexp_extract_all(x, '[a-z0-9]+'), lambda t: ('0x' || substr(md5(t), 31, 2))::INT % 64) AS v FROM (SELECT conv_id * 1000 + turn AS k, lower(text) AS x FROM conversations))
 SELECT k, array_to_string(list_transform(range(64), lambda i: len(list_filter(v, lambda c: c = i))), ',') AS vector FROM b""",
 }
+SQL["party_batches"] = f"SELECT * FROM ({SQL['party_clusters']}), ({SQL['party_journal']})"

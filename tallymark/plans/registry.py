@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql.window import Window
 
 from .. import streaming
 from ..functions import expr as x
-from ..operators import capability, entity, evaluate, evidence, graph, models, records, snapshot, text
+from ..operators import capability, entity, evaluate, evidence, graph, incremental, models, records, running, snapshot, text
 from ..sources import artifacts
+from ..sources.store import RecordStore
 
 #: The fixed clock of the event queries.
 NOW = "2024-03-10 00:00:00"
@@ -195,6 +197,21 @@ def party_journal(spark, d):
     return _party_resolution(spark, d).journal
 
 
+def _party_store(spark, d):
+    """Customers in three batches, the second one offered twice."""
+    store = incremental.ResolutionStore(spark, f"{running.shared_folder(spark)}/parties-{uuid.uuid4().hex}", adjudicator=_same_party, context=("name", "url"))
+    for batch in (0, 1, 1, 2):
+        store.add(_parties(spark, d).where(F.col("seq") % 3 == batch), batch)
+    return store
+
+
+@query
+def party_batches(spark, d):
+    """Clusters and journal after all batches."""
+    store = _party_store(spark, d)
+    return store.clusters().crossJoin(F.broadcast(store.journal()))
+
+
 @query
 def components(spark, d):
     o = table(spark, d, "orders")
@@ -345,6 +362,16 @@ def store_antijoin(spark, d):
     return records.accumulate(records.first_wins(o.where("seq % 5 = 0"), ["k"]), o.where("seq % 5 <> 0"), ["k"])
 
 
+@query
+def store_batches(spark, d):
+    """First orders of customers from four batches, one of them offered twice."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), "o_orderdate")
+    store = RecordStore(spark, f"{running.shared_folder(spark)}/orders-{uuid.uuid4().hex}", ["k"])
+    for batch in (0, 1, 1, 2, 3):
+        store.append(o.where(F.col("seq") % 4 == batch), batch)
+    return store.read().select("k", "seq", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
 @query
 def flag_split(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("repo"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import entity
 from tallymark.operators.graph import connected_components
+from tallymark.operators.incremental import ResolutionStore
 
 RECORDS = "seq long, ids array<string>, name string, description string, url string"
 
@@ -95,6 +96,18 @@ def test_resolution_with_a_similarity_put_in(spark):
     assert got(spark, rows, similarity=same_start) == plain(rows, alike)
 
 
+def test_batches_in_turn_equal_one_run(spark, tmp_path):
+    """Keys that don't rise, classes that meet in later batches, a batch offered twice, an empty one; names of untouched clusters stay."""
+    rows = some_rows(90, 6)
+    store = ResolutionStore(spark, f"file://{tmp_path}/r", adjudicator=lambda a: a.withColumn("same", a["a_context"]["url"] == a["b_context"]["url"]), context=("name", "description", "url"))
+    for batch, of in ((0, 2), (1, 0), (1, 0), (2, None), (3, 1)):
+        store.add(spark.createDataFrame([r for r in rows if r[0] % 3 == of], RECORDS), batch)
+    j = store.journal().first()
+    found = {x.seq: x.cluster for x in store.clusters().collect()}, (j.pairs_total, j.pairs_gray, j.merges_auto, j.merges_llm)
+    assert found == plain(rows, same=lambda a, b: a[4] == b[4])
+    assert len(store.log.entries()) == 4
+
+
 def test_hot_identifiers_and_texts_make_no_pairs(spark):
     n = 5000
     rows = [(k, ["hub"] if k % 2 else [], "one name", "", "u") for k in range(n)]
