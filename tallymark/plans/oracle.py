@@ -207,3 +207,20 @@ SELECT doc_id, '{"axes":[{"axis":"the speed","classification":"' || a[1] || '"},
 SELECT k, array_to_string(list_transform(range(64), lambda i: len(list_filter(v, lambda c: c = i))), ',') AS vector FROM b""",
 }
 SQL["party_batches"] = f"SELECT * FROM ({SQL['party_clusters']}), ({SQL['party_journal']})"
+SQL["entity_passes"] = f"""WITH RECURSIVE {_SIGNALS},
+w AS (SELECT user_id, floor((dayofyear(ts) - 1) / 5)::BIGINT AS pass, round(avg(score) * 130 - 15, 6) AS score, count(*) AS n, list_sort(list(DISTINCT event_type)) AS types FROM v JOIN events USING (event_id, user_id, ts) WHERE user_id % 4 <> 1 OR floor((dayofyear(ts) - 1) / 5) IN (0, 4) GROUP BY ALL),
+p AS (SELECT user_id::VARCHAR AS entity_id, pass, DATE '2024-01-01' + ((pass + 1) * 5)::INT AS day, score, user_id % 13 + pass = 9 AS dead, array_to_string(types, ',') || '/' || n % 2 AS hash, n::VARCHAR AS attributes, user_id % 60 <= 30 AS active FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pass) AS rn, coalesce(hash <> lag(hash) OVER (PARTITION BY entity_id ORDER BY pass), true) AS changed,
+  CASE WHEN dead THEN 'dead' WHEN active THEN 'active' ELSE 'stable' END AS tier, day + CASE WHEN dead THEN NULL WHEN active THEN 7 ELSE 60 END AS due, lead(day) OVER (PARTITION BY entity_id ORDER BY pass) AS later FROM p),
+f AS (SELECT entity_id, rn, pass, NULL::VARCHAR AS prev, CASE WHEN dead THEN 'unverified' WHEN score >= 80 THEN 'leader' WHEN score >= 50 THEN 'contender' WHEN score >= 20 THEN 'candidate' ELSE 'unverified' END AS band, attributes FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.entity_id, o.rn, o.pass, f.band, CASE WHEN NOT changed THEN f.band WHEN dead THEN 'unverified'
+    WHEN stands > least THEN coalesce((SELECT arg_max(name, t) FROM {_BANDS} WHERE t > least AND score >= t + 5), f.band)
+    WHEN stands < least THEN coalesce((SELECT arg_max(name, t) FROM {_BANDS} WHERE t < least AND score >= t + 5), f.band) ELSE f.band END,
+    CASE WHEN changed THEN o.attributes ELSE f.attributes END
+  FROM f JOIN (SELECT *, CASE WHEN score >= 80 THEN 80 WHEN score >= 50 THEN 50 WHEN score >= 20 THEN 20 ELSE 0 END AS stands FROM o) o ON o.entity_id = f.entity_id AND o.rn = f.rn + 1,
+  LATERAL (SELECT (SELECT t FROM {_BANDS} WHERE name = f.band) AS least))
+SELECT 'pass' AS kind, entity_id, pass, band, CASE WHEN band <> prev THEN prev END AS flip_from, CASE WHEN band <> prev THEN band END AS flip_to, changed, f.attributes, tier, strftime(due, '%Y-%m-%d') AS due FROM f JOIN o USING (entity_id, rn, pass)
+UNION ALL
+SELECT 'due', entity_id, pass, band, NULL, NULL, NULL, NULL, tier, strftime(due, '%Y-%m-%d') FROM f JOIN o USING (entity_id, rn, pass)
+WHERE (SELECT min(day) FROM p WHERE day >= o.due) IS NOT NULL AND (later IS NULL OR later > (SELECT min(day) FROM p WHERE day >= o.due))"""

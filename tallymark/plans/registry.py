@@ -14,6 +14,7 @@ from ..functions import expr as x
 from ..operators import capability, entity, evaluate, evidence, graph, incremental, models, records, running, snapshot, text
 from ..sources import artifacts
 from ..sources.store import RecordStore
+from ..streaming import passes
 
 #: The fixed clock of the event queries.
 NOW = "2024-03-10 00:00:00"
@@ -449,6 +450,27 @@ def band_passes(spark, d):
     return ev.groupBy("user_id").agg(steps.alias("steps")).select("user_id", fold["band"].alias("band"), fold["flips"].alias("flips"))
 
 
+def _passes(spark, d):
+    """Passes of five days over users: mean score, and a hash that doesn't always change. A quarter of the users is away in most passes."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.floor((F.dayofyear("ts") - 1) / 5).cast("long").alias("pass")).where("user_id % 4 <> 1 or pass in (0, 4)")
+    s = evidence.normalize_evidence(signals(spark, d)).select("event_id", "score").join(e, "event_id").groupBy("user_id", "pass")
+    s = s.agg(F.round(F.avg("score") * 130 - 15, 6).alias("score"), F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("event_type"))).alias("types"))
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + (F.col("pass") + 1) * 5 * 86400)
+    newest = F.timestamp_seconds(F.unix_seconds(at) - F.col("user_id") % 60 * 86400)
+    return s.select(F.col("user_id").cast("string").alias("entity_id"), at.alias("at"), "pass", "score", (F.col("user_id") % 13 + F.col("pass") == 9).alias("dead"), F.concat_ws("/", "types", F.col("n") % 2).alias("hash"), F.col("n").cast("string").alias("attributes"), newest.alias("newest"))
+
+
+@query
+def entity_passes(spark, d):
+    """A refresh for each pass, each one a run of the stream that goes on from its checkpoint."""
+    base = f"{running.shared_folder(spark)}/passes-{uuid.uuid4().hex}"
+    all_ = running.written(_passes(spark, d))
+    for (number,) in sorted(all_.select("pass").distinct().collect()):
+        all_.where(F.col("pass") == number).write.mode("append").parquet(f"{base}/in")
+        passes.refresh(spark, f"{base}/in", all_.schema, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").withColumn("due", F.date_format("due", "yyyy-MM-dd"))
+
+
 @query
 def record_keys(spark, d):
     none = F.lit(None).cast("string")
