@@ -101,6 +101,6 @@ def profile_topic(topics: DataFrame, registry: DataFrame, fallback=None) -> Data
     """topics (topic) with the first registry domain of that name or synonym; misses go to the fallback, a column function."""
     terms = registry.select("ord", "domain", F.explode(F.concat(F.array("domain"), "synonyms")).alias("term"))
     terms = terms.groupBy(F.lower(F.trim("term")).alias("term")).agg(F.min_by("domain", "ord").alias("domain"))
-    out = topics.join(F.broadcast(terms), F.lower(F.trim("topic")) == F.col("term"), "left").drop("term")
+    out = topics.join(terms, F.lower(F.trim("topic")) == F.col("term"), "left").drop("term")
     out = out.withColumn("hit", F.col("domain").isNotNull())
     return out.withColumn("domain", F.coalesce("domain", fallback(F.col("topic")))) if fallback else out

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..config import STOP_WORDS, UNKNOWN_MONTHS
-from .registry import COMMITS, NOW, READMES, REPLIES
+from ..config import CapabilityConfig, DEFAULT_SAMPLE, DOMAIN_SAMPLE, STOP_WORDS, UNKNOWN_MONTHS
+from .registry import COMMITS, DOMAINS, HEADINGS, NOW
 
 
 def _values(rows: list[tuple]) -> str:
@@ -67,14 +67,14 @@ SELECT l_orderkey, l_linenumber, round(least(greatest(l_extendedprice, lo), hi),
     "dead_signals": f"WITH {_SIGNALS} SELECT kind AS signal_type, count(*) AS n, sum(dead::INT)::BIGINT AS dead FROM e GROUP BY kind",
     "decay_weights": """WITH a AS (SELECT o_orderkey, round(greatest(date_diff('microsecond', o_orderdate, TIMESTAMP '2002-01-01') / 86400e6, 0) / 30.44, 2) AS dt FROM orders)
 SELECT o_orderkey, dt, round(power(2.0, -dt / 24.0), 8) AS weight FROM a""",
-    "band_transitions": f"""WITH g AS (SELECT i / 8.0::DOUBLE AS score, prev, dead FROM range(801) r(i), (VALUES (NULL), ('leader'), ('contender'), ('candidate'), ('unverified'), ('odd')) p(prev), (VALUES (true), (false)) d(dead)),
+    "band_transitions": f"""WITH g AS (SELECT event_id, cume_dist() OVER (ORDER BY value) * 100 AS score, CASE user_id % 6 WHEN 1 THEN 'leader' WHEN 2 THEN 'contender' WHEN 3 THEN 'candidate' WHEN 4 THEN 'unverified' WHEN 5 THEN 'odd' END AS prev, event_id % 7 = 0 AS dead FROM events),
 k AS (SELECT *, coalesce((SELECT t FROM {_BANDS} WHERE name = prev), 0) AS least,
   CASE WHEN score >= 80 THEN 'leader' WHEN score >= 50 THEN 'contender' WHEN score >= 20 THEN 'candidate' ELSE 'unverified' END AS plain,
   CASE WHEN score >= 80 THEN 80 WHEN score >= 50 THEN 50 WHEN score >= 20 THEN 20 ELSE 0 END AS stands FROM g),
 m AS (SELECT *, CASE WHEN dead THEN 'unverified' WHEN prev IS NULL THEN plain
   WHEN stands > least THEN coalesce((SELECT arg_max(name, t) FROM {_BANDS} WHERE t > least AND score >= t + 5), prev)
   WHEN stands < least THEN coalesce((SELECT arg_max(name, t) FROM {_BANDS} WHERE t < least AND score >= t + 5), prev) ELSE prev END AS band FROM k)
-SELECT score, prev, dead, band, CASE WHEN prev IS NOT NULL AND band <> prev THEN prev END AS flip_from FROM m""",
+SELECT event_id, round(score, 6) AS score, prev, dead, band, CASE WHEN prev IS NOT NULL AND band <> prev THEN prev END AS flip_from FROM m""",
     "url_canonical": f"WITH {_CANON} SELECT page_id, canon FROM canon",
     "url_dedup": f"WITH {_CANON} SELECT min(page_id) AS page_id, canon FROM canon GROUP BY canon",
     "dedup_first_text": "SELECT min(doc_id) AS doc_id, sha256(text) AS h FROM documents GROUP BY text",
@@ -113,11 +113,19 @@ c AS (SELECT c_custkey AS item, row_number() OVER (ORDER BY c_acctbal DESC, c_cu
 SELECT item, round(sum(1.0 / (60 + rank)), 8)::DOUBLE AS score FROM (SELECT * FROM o UNION ALL SELECT * FROM c) GROUP BY item""",
     "authority_topk": """SELECT l_suppkey, sum(l_quantity)::DOUBLE AS authority FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 20 GROUP BY 1""",
     "cadence_docs_only": f"""WITH c(id, message, files) AS ({_values([(i, *r) for i, r in enumerate(COMMITS)])})
-SELECT id, (regexp_matches(lower(trim(message)), '^(docs?|readme|typo)[\\s:(/\\-_]') OR lower(trim(message)) IN ('typo', 'docs', 'readme', 'doc') OR regexp_matches(lower(trim(message)), '^(docs:|readme:|typo)'))
-  AND (coalesce(len(files), 0) = 0 OR len(list_filter(files, lambda f: NOT regexp_matches(lower(f), '([^/]\\.(md|markdown|rst|txt|adoc)$)|((^|/)(readme|changelog|license|notice)$)'))) = 0) AS docs_only FROM c""",
-    "readme_slice": f"""WITH d(name, markdown) AS ({_values(READMES)}) SELECT name, CASE name WHEN 'a' THEN concat_ws(chr(10), '- fast', 'deep', 'bench line') WHEN 'c' THEN 'kept' ELSE trim(regexp_replace(markdown, '\\s+', ' ', 'g')) END AS sliced FROM d""",
+SELECT o_orderkey, (regexp_matches(lower(trim(message)), '^(docs?|readme|typo)[\\s:(/\\-_]') OR lower(trim(message)) IN ('typo', 'docs', 'readme', 'doc') OR regexp_matches(lower(trim(message)), '^(docs:|readme:|typo)'))
+  AND (coalesce(len(files), 0) = 0 OR len(list_filter(files, lambda f: NOT regexp_matches(lower(f), '([^/]\\.(md|markdown|rst|txt|adoc)$)|((^|/)(readme|changelog|license|notice)$)'))) = 0) AS docs_only FROM orders JOIN c ON id = o_orderkey % {len(COMMITS)}""",
+    "readme_slice": rf"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS line, {list(HEADINGS)}[(doc_id + i) % {len(HEADINGS)} + 1] AS heading FROM documents, LATERAL (SELECT unnest(range(len(string_split(text, chr(10))))) AS i)),
+h AS (SELECT *, CASE WHEN heading <> '' THEN length(regexp_extract(heading, '^#+')) END AS level, trim(regexp_replace(regexp_replace(lower(heading), '^#+', ''), '#+$', '')) AS title FROM l),
+k AS (SELECT *, CASE WHEN title IN {tuple(CapabilityConfig().keep)} THEN 'keep' WHEN title IN {tuple(CapabilityConfig().drop)} THEN 'drop' END AS kind FROM h),
+n AS (SELECT *, max(CASE WHEN kind IS NOT NULL THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS known FROM k),
+b AS (SELECT n.doc_id, n.i, n.line, coalesce(m.kind = 'keep' AND coalesce(min(CASE WHEN n.kind IS NULL THEN n.level END) OVER (PARTITION BY n.doc_id, n.known ORDER BY n.i) > m.level, true), false) AS inside FROM n LEFT JOIN k m ON m.doc_id = n.doc_id AND m.i = n.known),
+s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (inside) AS kept, string_agg(line, ' ' ORDER BY i) AS whole FROM b WHERE trim(line) <> '' GROUP BY doc_id)
+SELECT doc_id, sha256(coalesce(kept, array_to_string(list_filter(regexp_split_to_array(whole, '\s+'), lambda w: w <> '')[1:500], ' '), '')) AS h FROM documents LEFT JOIN s USING (doc_id)""",
     "readme_fallback": r"""SELECT doc_id, sha256(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:500], ' ')) AS h FROM documents""",
-    "parse_replies": f"""WITH r(id, reply) AS ({_values(list(enumerate(REPLIES)))}), j AS (SELECT id, CASE WHEN json_valid(reply) THEN CASE WHEN json_type(reply::JSON) = 'OBJECT' THEN reply::JSON END END AS o FROM r), k AS (SELECT id, o, json_extract(o, '$.axes[*]') AS a FROM j), v AS (SELECT id, o, coalesce(json_keys(o) = ['axes'] AND json_type(o, '$.axes') = 'ARRAY' AND len(list_filter(a, lambda x: NOT (list_sort(json_keys(x)) = ['axis', 'classification'] AND list_contains(['yes', 'no', 'partial', 'unclear', 'supported', 'unsupported', 'unknown'], json_extract_string(x, '$.classification'))))) = 0, false) AS valid FROM k) SELECT id, valid, CASE WHEN valid THEN json_array_length(o, '$.axes')::INT ELSE -1 END AS axes FROM v""",
+    "parse_replies": """WITH d AS (SELECT doc_id AS id, text, left(text, 20) AS x FROM documents), r AS (SELECT id, CASE id % 7 WHEN 0 THEN json_object('axes', [json_object('axis', x, 'classification', 'yes')])::VARCHAR WHEN 1 THEN json_object('axes', [json_object('axis', x, 'classification', 'maybe')])::VARCHAR
+  WHEN 2 THEN json_object('axes', [json_object('axis', x, 'classification', 'no')], 'more', 1)::VARCHAR WHEN 3 THEN json_object('axes', [json_object('axis', x, 'classification', 'partial', 'x', 1)])::VARCHAR WHEN 4 THEN json_array(text)::VARCHAR WHEN 5 THEN text
+  ELSE json_object('axes', [json_object('axis', x, 'classification', 'no'), json_object('axis', x, 'classification', 'unclear'), json_object('axis', x, 'classification', 'yes')])::VARCHAR END AS reply FROM d), j AS (SELECT id, CASE WHEN json_valid(reply) THEN CASE WHEN json_type(reply::JSON) = 'OBJECT' THEN reply::JSON END END AS o FROM r), k AS (SELECT id, o, json_extract(o, '$.axes[*]') AS a FROM j), v AS (SELECT id, o, coalesce(json_keys(o) = ['axes'] AND json_type(o, '$.axes') = 'ARRAY' AND len(list_filter(a, lambda x: NOT (list_sort(json_keys(x)) = ['axis', 'classification'] AND list_contains(['yes', 'no', 'partial', 'unclear', 'supported', 'unsupported', 'unknown'], json_extract_string(x, '$.classification'))))) = 0, false) AS valid FROM k) SELECT id AS doc_id, valid, CASE WHEN valid THEN json_array_length(o, '$.axes')::INT ELSE -1 END AS axes FROM v""",
     "snapshot_changed": """WITH f AS (SELECT source, list_sort(list(sha256(text))) AS h FROM documents GROUP BY source),
 p AS (SELECT CASE WHEN source = 'src9' THEN 'old9' ELSE source END AS source, list_sort(list(sha256(CASE WHEN source <= 'src3' THEN text || ' before' ELSE text END))) AS h FROM documents GROUP BY 1)
 SELECT f.source AS entity_id, p.h IS NULL OR p.h <> f.h AS changed FROM f LEFT JOIN p USING (source)""",
@@ -136,9 +144,12 @@ SELECT n::BIGINT AS n, round((po - (q * x + (1 - q) * (1 - x))) / (1 - (q * x +
     "store_antijoin": "SELECT o_custkey AS k, coalesce(min(o_orderkey) FILTER (o_orderkey % 5 = 0), min(o_orderkey)) AS seq FROM orders GROUP BY 1",
     "flag_split": "SELECT c_custkey AS id, c_mktsegment AS repo, c_mktsegment IN ('BUILDING', 'MACHINERY') AS flagged FROM customer",
     "fan_out": "SELECT n_name, r_name FROM nation, region",
-    "registry_lookup": "WITH t(topic) AS (VALUES ('DB'), (' sql '), ('ai-ml'), ('vector database')), g(ord, domain, terms) AS (VALUES (0, 'databases', ['databases', 'db', 'sql', 'database']), (1, 'ai-ml', ['ai-ml', 'ai', 'ml', 'db'])), m AS (SELECT topic, arg_min(domain, ord) AS domain FROM t JOIN g ON list_contains(terms, lower(trim(topic))) GROUP BY 1) SELECT topic, coalesce(domain, 'new:' || topic) AS domain, domain IS NOT NULL AS hit FROM t LEFT JOIN m USING (topic)",
-    "topic_keys": "SELECT topic, regexp_replace(lower(trim(topic)), '^v[0-9]+(\\.[0-9]+)?[\\s/_:-]+', '') AS text, sha1(regexp_replace(lower(trim(topic)), '^v[0-9]+(\\.[0-9]+)?[\\s/_:-]+', '')) AS key FROM (VALUES ('v2.1/Vector Database '), ('Vector database'), ('V1 - x')) t(topic)",
-    "domain_samples": "SELECT * FROM (VALUES ('Databases ', 40), ('odd', 30), ('ai-ml', 50), (NULL, 30)) t(domain, n)",
+    "registry_lookup": """WITH g AS (SELECT r_regionkey AS ord, lower(r_name) AS domain, lower(r_name) AS term FROM region UNION ALL SELECT r_regionkey, lower(r_name), lower(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey),
+m AS (SELECT term, arg_min(domain, ord) AS domain FROM g GROUP BY term),
+t AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '  ' || lower(n_name) WHEN 1 THEN n_name WHEN 2 THEN r_name || ' ' ELSE c_mktsegment END AS topic FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey, topic, coalesce(domain, 'new:' || topic) AS domain, domain IS NOT NULL AS hit FROM t LEFT JOIN m ON term = lower(trim(topic))""",
+    "topic_keys": r"""WITH t AS (SELECT doc_id, regexp_replace(lower(trim(CASE doc_id % 3 WHEN 0 THEN ' V2.1/' WHEN 1 THEN 'v10 - ' ELSE 'version ' END || left(text, 40), ' ')), '^v[0-9]+(\.[0-9]+)?[\s/_:-]+', '') AS text FROM documents) SELECT doc_id, text, sha1(text) AS key FROM t""",
+    "domain_samples": f"""WITH d(k, domain) AS ({_values(list(enumerate(DOMAINS)))}), s(name, least) AS ({_values(list(DOMAIN_SAMPLE.items()))}) SELECT o_orderkey, coalesce(least, {DEFAULT_SAMPLE})::INT AS n FROM orders JOIN d ON k = o_orderkey % {len(DOMAINS)} LEFT JOIN s ON name = lower(trim(domain))""",
     "coverage_rollup": "SELECT event_type, sum(round(value, 2)::DECIMAL(18, 2))::DOUBLE AS total FROM events GROUP BY 1",
     "complaint_families": r"""WITH t AS (SELECT doc_id, text || CASE WHEN lang = 'fr' THEN ' It CRASHED and is not  working' ELSE '' END AS t FROM documents)
 SELECT doc_id, regexp_matches(t, '(?i)doesn''?t\s+work|not\s+working|fail(ed|s)?') AS doesnt_work, regexp_matches(t, '(?i)broke\s+after|broken\s+by|break(s)?\s+after') AS broke_after,

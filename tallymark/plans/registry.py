@@ -91,12 +91,12 @@ def decay_weights(spark, d):
 
 @query
 def band_transitions(spark, d):
-    """Every band before, each eighth point of score, dead or not."""
-    grid = spark.range(0, 801).select((F.col("id") / 8).alias("score"))
-    prev = spark.createDataFrame([(None,), ("leader",), ("contender",), ("candidate",), ("unverified",), ("odd",)], "prev string")
-    g = grid.crossJoin(F.broadcast(prev)).crossJoin(F.broadcast(spark.createDataFrame([(True,), (False,)], "dead boolean")))
+    """Every band before and after, from the share of each event's value."""
+    e = evidence.ecdf(table(spark, d, "events").select("event_id", "user_id", "value"), "value", "share")
+    prev = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, ("leader", "contender", "candidate", "unverified", "odd"))), (F.col("user_id") % 6 + 1).cast("int"))
+    g = e.select("event_id", (F.col("share") * 100).alias("score"), prev.alias("prev"), (F.col("event_id") % 7 == 0).alias("dead"))
     b = evidence.assign_band(F.col("score"), F.col("prev"), F.col("dead"))
-    return g.select("score", "prev", "dead", b["band"].alias("band"), b["flip_from"].alias("flip_from"))
+    return g.select("event_id", F.round("score", 6).alias("score"), "prev", "dead", b["band"].alias("band"), b["flip_from"].alias("flip_from"))
 
 
 @query
@@ -269,21 +269,23 @@ COMMITS = [("typography refactor", None), ("docs: fix", ["src/a.py"]), ("docs: f
 
 @query
 def cadence_docs_only(spark, d):
-    c = spark.createDataFrame([(i, *r) for i, r in enumerate(COMMITS)], "id int, message string, files array<string>")
-    return c.select("id", x.docs_only(F.col("message"), F.col("files")).alias("docs_only"))
+    """Each order has one of the commits."""
+    kinds = F.array(*[F.struct(F.lit(m).alias("message"), F.lit(f).cast("array<string>").alias("files") if f is None else F.array(*map(F.lit, f)).cast("array<string>").alias("files")) for m, f in COMMITS])
+    c = table(spark, d, "orders").select("o_orderkey", F.get(kinds, (F.col("o_orderkey") % len(COMMITS)).cast("int")).alias("c"))
+    return c.select("o_orderkey", x.docs_only(F.col("c.message"), F.col("c.files")).alias("docs_only"))
 
 
-READMES = [
-    ("a", "# Top\nintro\n## Features ##\n- fast\n### Detail\ndeep\n## Other\nnot here\n## Benchmarks\nbench line\n### License\nno\n#### Sub\nno too"),
-    ("b", "plain words\n\nmore words here"),
-    ("c", "## Installation\nno\n### Limitations\nkept\n# Else\ngone"),
-    ("d", ""),
-]
+#: Headings that come before the lines of a document in turn; none before some.
+HEADINGS = ("# Top", "## Features ##", "### Detail", "", "## Other", "## Benchmarks", "", "### License", "#### Sub", "", "# Limitations", "###### deep", "")
 
 
 @query
 def readme_slice(spark, d):
-    return capability.slice_sections(spark.createDataFrame(READMES, "name string, markdown string"), "name", "markdown")
+    """Documents with a heading before each line, sliced by sections."""
+    heads = F.array(*map(F.lit, HEADINGS))
+    lines = F.transform(F.split("text", "\n"), lambda v, i: F.concat(F.get(heads, ((F.col("doc_id") + i) % len(HEADINGS)).cast("int")), F.lit("\n"), v))
+    marked = table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("markdown"))
+    return capability.slice_sections(marked, "doc_id", "markdown").select("doc_id", F.sha2("sliced", 256).alias("h"))
 
 
 @query
@@ -292,14 +294,18 @@ def readme_fallback(spark, d):
     return s.select("doc_id", F.sha2("sliced", 256).alias("h"))
 
 
-REPLIES = ['{"axes": [{"axis": "a", "classification": "yes"}]}', '{"axes": [{"axis": "a", "classification": "maybe"}]}', '{"axes": [], "more": 1}', "[1]", "nonsense", '{"axes": [{"axis": "a", "classification": "no", "x": 1}]}']
-
-
 @query
 def parse_replies(spark, d):
-    r = spark.createDataFrame([(i, t) for i, t in enumerate(REPLIES)], "id int, reply string")
-    p = capability.parse_report(F.col("reply"))
-    return r.select("id", p["valid"].alias("valid"), F.coalesce(F.size(p["axes"]), F.lit(-1)).alias("axes"))
+    """Replies about documents: two right ones, another label, another key, another field, a list, the text itself."""
+    docs = table(spark, d, "documents")
+    axis = lambda label, **more: F.struct(F.substring("text", 1, 20).alias("axis"), F.lit(label).alias("classification"), *[F.lit(v).alias(k) for k, v in more.items()])
+    report = lambda *axes, **more: F.to_json(F.struct(F.array(*axes).alias("axes"), *[F.lit(v).alias(k) for k, v in more.items()]))
+    replies = [report(axis("yes")), report(axis("maybe")), report(axis("no"), more=1), report(axis("partial", x=1)), F.to_json(F.array("text")), F.col("text"), report(axis("no"), axis("unclear"), axis("yes"))]
+    kind, reply = F.col("doc_id") % len(replies), F.lit(None).cast("string")
+    for k, r in enumerate(replies):
+        reply = F.when(kind == k, r).otherwise(reply)
+    p = capability.parse_report(reply)
+    return docs.select("doc_id", p["valid"].alias("valid"), F.coalesce(F.size(p["axes"]), F.lit(-1)).alias("axes"))
 
 
 @query
@@ -385,24 +391,36 @@ def fan_out(spark, d):
     return text.fan_out(table(spark, d, "nation").select("n_name"), table(spark, d, "region").select("r_name"))
 
 
-REGISTRY = [("databases", ["code", "forum"], ["vector database"], ["db", "sql", "database"]), ("ai-ml", ["code"], ["deep learning"], ["ai", "ml", "db"])]
-
-
 @query
 def registry_lookup(spark, d):
-    topics = spark.createDataFrame([("DB",), (" sql ",), ("ai-ml",), ("vector database",)], "topic string")
-    return text.profile_topic(topics, artifacts.load_registry(spark, REGISTRY), lambda t: F.concat(F.lit("new:"), t))
+    """A registry of regions, whose nations are synonyms, written and loaded; what customers look up."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    names = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.concat("n_name", F.lit(" ")))).alias("synonyms"))
+    r = region.join(names, F.col("r_regionkey") == F.col("n_regionkey"))
+    path = f"{running.shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    r.select(F.col("r_regionkey").cast("int").alias("ord"), F.lower("r_name").alias("domain"), F.array(F.lit("code")).alias("sources"), F.array("r_name").alias("seed_queries"), "synonyms").write.json(path)
+    c, k = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")), F.col("c_custkey") % 4
+    topic = F.when(k == 0, F.concat(F.lit("  "), F.lower("n_name"))).when(k == 1, F.col("n_name")).when(k == 2, F.concat("r_name", F.lit(" "))).otherwise(F.col("c_mktsegment"))
+    found = text.profile_topic(c.select("c_custkey", topic.alias("topic")), artifacts.load_registry(spark, path=path), lambda t: F.concat(F.lit("new:"), t))
+    return found.select("c_custkey", "topic", "domain", "hit")
 
 
 @query
 def topic_keys(spark, d):
-    t, h = x.normalize_topic(F.col("topic"))
-    return spark.createDataFrame([("v2.1/Vector Database ",), ("Vector database",), ("V1 - x",)], "topic string").select("topic", t.alias("text"), h.alias("key"))
+    k = F.col("doc_id") % 3
+    topic = F.concat(F.when(k == 0, " V2.1/").when(k == 1, "v10 - ").otherwise("version "), F.substring("text", 1, 40))
+    t, h = x.normalize_topic(topic)
+    return table(spark, d, "documents").select("doc_id", t.alias("text"), h.alias("key"))
+
+
+#: Domains that orders are of in turn.
+DOMAINS = ("Databases ", "odd", "ai-ml", None, "web-frameworks", "compilers", " DevSecOps", "cloud-native", "DATA-engineering")
 
 
 @query
 def domain_samples(spark, d):
-    return spark.createDataFrame([("Databases ",), ("odd",), ("ai-ml",), (None,)], "domain string").select("domain", x.domain_sample(F.col("domain")).alias("n"))
+    domain = F.get(F.array(*[F.lit(v) for v in DOMAINS]), (F.col("o_orderkey") % len(DOMAINS)).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", x.domain_sample(domain).alias("n"))
 
 
 @query
