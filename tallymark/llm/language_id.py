@@ -33,10 +33,17 @@ BACKOFF = np.log(0.4)
 #: Characters that count as word characters of a pattern but are neither letters nor digits, such as fractions.
 _NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 _LETTERS = re.compile(rf"[^\W\d_{_NUMERIC}]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker remembers before it starts anew.
 REMEMBERED = 400_000
 
 
+def _words(text: str) -> list[str]:
+    """The runs of letters; only runs with other numeric characters in them are looked at twice."""
+    found = _RUNS.findall(text)
+    return found if all(map(str.isalpha, found)) else [w for run in found for w in ([run] if run.isalpha() else _LETTERS.findall(run))]
+
+
 class Model:
     def __init__(self, rows: list[tuple[str, str]]):
         """rows: (text, language)."""
@@ -44,7 +51,7 @@ class Model:
         at = {x: i for i, x in enumerate(self.langs)}
         counts: dict[str, Counter] = defaultdict(Counter)
         for text, lang in rows:
-            counts[lang].update(_LETTERS.findall(text.lower()))
+            counts[lang].update(_words(text.lower()))
         total = Counter()
         for c in counts.values():
             total.update(c)
@@ -114,7 +121,7 @@ def language_id(docs: DataFrame) -> DataFrame:
         for b in batches:
             langs, sure = [], []
             for t in b.column("text"):
-                words = _LETTERS.findall(t.as_py().lower()) if t.is_valid else []
+                words = _words(t.as_py().lower()) if t.is_valid else []
                 if not words or not m.langs:
                     langs.append("und")
                     sure.append(0.0)
