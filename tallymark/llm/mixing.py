@@ -75,24 +75,22 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, cut_digits: int = CUT_DIGITS,
     size counts the words of the text; null and empty texts have 0. A document
     gets as many whole copies as fit the target of its source, and the copy that
     crosses the target is taken in part, so that the words of a source sum to
-    its target rounded down. Documents of equal order key (repeated rows) follow
-    by doc_id. The order key is the MD5 of doc_id; a null doc_id has the MD5 of
-    the empty string. A column named by tie orders rows of equal doc_id, stands in for
-    a null one in the order key, and is kept as tie. An empty table gives no rows; other
+    its target rounded down. The order key is the MD5 of doc_id, or without one that of the text's hash; documents of equal
+    order key (repeated ids and rows) follow by size and then by that hash, so the order of the input doesn't count.
+    tie names a column that stands in for the SHA-256 of the text; it is kept as tie. An empty table gives no rows; other
     columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    ties = [F.col(tie).alias("tie")] if tie else []
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), *ties, F.lit(""))).alias("key"), size.alias("size"), *ties)
-    ties = ["tie"] if tie else []
+    hashed = F.col(tie) if tie else F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), hashed)).alias("key"), size.alias("size"), hashed.alias("tie"))
     d = scratch.save(d.withColumn("cut", F.substring("key", 1, cut_digits)))
     s = scratch.save(source_targets(scratch, d.select("source", "size"), **targets))
     # Running sums over a source of any size: sums of its cuts first, then within each cut.
     w = Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     cuts = d.groupBy("source", "cut").agg(F.sum("size").alias("cut_size")).withColumn("cut_start", F.coalesce(F.sum("cut_size").over(w), F.lit(0)))
     cuts = cuts.select(F.col("source").alias("s"), F.col("cut").alias("c"), "cut_start").join(s.drop("weight", "cap"), F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    inner = Window.partitionBy("source", "cut").orderBy("key", "doc_id", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "cut").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("cut") == F.col("c")))
     begin = F.col("cut_start") + F.col("within")
@@ -109,7 +107,7 @@ def plan_mix(docs: DataFrame, schedules=SCHEDULES, cut_digits: int = CUT_DIGITS,
         return F.struct(start.cast("long").alias("start"), words.alias("words"), at.alias("position"))
 
     copies = F.filter(F.array(*[copy(k) for k in range(most)]), lambda c: c["words"] > 0)
-    d = d.select("doc_id", "source", "size", "source_size", "target", "key", copies.alias("copies"), *ties)
+    d = d.select("doc_id", "source", "size", "source_size", "target", "key", copies.alias("copies"), "tie")
     return d.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"]))
 
 

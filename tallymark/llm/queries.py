@@ -76,7 +76,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
     "op3_mix_sources": r"""
-WITH d AS (SELECT doc_id, source, md5(doc_id::VARCHAR) AS key,
+WITH d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS tie, md5(coalesce(doc_id::VARCHAR, sha256(coalesce(text, '')))) AS key,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS schedule, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s),
@@ -86,7 +86,7 @@ c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWE
              (sum(source_size) OVER ())::DOUBLE * 150 / 100 AS total FROM w),
 l AS (SELECT arg_min((total - held) / open, cap / weight) AS level FROM c WHERE (total - held) / open < cap / weight),
 t AS (SELECT source, source_size, schedule, least(cap, weight * coalesce((SELECT level FROM l), 1e300)) AS target FROM w),
-p AS (SELECT doc_id, size, source_size, target, schedule, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+p AS (SELECT doc_id, size, source_size, target, schedule, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, greatest(least(size, floor(target)::BIGINT - start), 0) AS one, greatest(least(size, floor(target)::BIGINT - start - source_size), 0) AS two FROM p),
 -- The shares of the target at the middle of the copies, and where the integrals of the schedules 1.5 - t, 0.5 + t and 1 reach them.

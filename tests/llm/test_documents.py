@@ -6,9 +6,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
-from tallymark.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_sampling, similar, toxicity
+from tallymark.llm import exact_dedup, jaccard_join, language_id, mixing, queries, sentencepiece_sampling, similar, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, raw string, `key` int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -154,6 +155,27 @@ def test_mixing(docs):
     assert got == again
 
 
+def test_mixing_agrees_on_rows_without_ids_in_any_order(spark):
+    rows = [(None, "one", "a"), (None, "one two three four five", "a"), (None, "x y z", "a"), (3, "a b c d e", "a"), (3, "q", "a"), (3, "q", "a"), (4, None, "b"), (None, None, "b"), (None, "w w", None)]
+    made = lambda r: sorted(map(repr, mixing.mix_digest(spark.createDataFrame(r, "doc_id long, text string, source string").coalesce(1)).collect()))
+    want = made(rows)
+    for seed in range(3):
+        assert made(random.Random(seed).sample(rows, len(rows))) == want
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    names = list(mixing.mix_digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).columns)
+    found = con.sql(queries.ORACLE_SQL["op3_mix_sources"])
+    plain = [tuple(r[found.columns.index(c)] for c in names) for r in found.fetchall()]
+    got = [tuple(r) for r in mixing.mix_digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain))
+
+
+def test_letters_of_words():
+    text = "½ ² ① a½b x²y Straße été_o 12ab IV Ⅳ 漢字 q"
+    assert language_id._words(text) == language_id._LETTERS.findall(text) == ["a", "b", "x", "y", "Straße", "été", "o", "ab", "IV", "漢字", "q"]
+
+
 def test_mixing_positions(docs):
     """Positions follow the schedule: a fading source has more of its words in the first half."""
     m = mixing.plan_mix(docs).collect()
