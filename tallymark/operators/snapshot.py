@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import find_names, joined_blocks
+from .running import written
+
 
 def fingerprint(records: DataFrame, entity: str = "entity_id", content: str = "content") -> DataFrame:
     """(entity_id, hash): SHA-256 over the sorted contents of each entity; rows without an entity are left out."""
@@ -42,8 +45,37 @@ def priority(history: DataFrame, entity: str, at: str, now: Column) -> DataFrame
 def wake_on_spike(frozen: DataFrame, titles: DataFrame, title: str = "title") -> DataFrame:
     """Frozen entities (entity_id, name) that a title names by name or id, keyed by both.
 
-    Each title is looked at for itself, so the titles are never joined into one row.
+    Each title is looked at for itself; mentions() looks at the titles as one text.
+    """
+    t = titles.select(F.lower(title).alias("text")).distinct()
+    t = written(t.select(F.monotonically_increasing_id().alias("id"), "text"))
+    woken = _woken(frozen, find_names(t, _keys(frozen)).select("name").distinct()).where("woken")
+    return woken.select(F.explode(F.array("entity_id", "name")).alias("woken")).distinct()
+
+
+def mentions(frozen: DataFrame, titles: DataFrame, by: list[str], title: str = "title", order: str = "entity_id") -> DataFrame:
+    """(key, woken): for each name and id of frozen entities (order, entity_id, name) whether the titles name the entity.
+
+    The titles are taken as one text in the order of `by`, with a space between them, so a name may begin in one
+    and end in another. A key of several entities has what the last of them by `order` has, of one entity's
+    equal name and id the name. Empty and null keys are left out.
     """
-    f = frozen.select("entity_id", "name", F.explode(F.array_distinct(F.filter(F.array(F.lower("name"), F.lower("entity_id")), lambda v: v != ""))).alias("key"))
-    hit = titles.select(F.lower(title).alias("_t")).distinct().join(F.broadcast(f), F.col("_t").contains(F.col("key")))
-    return hit.select("entity_id", "name").distinct().select(F.explode(F.array("entity_id", "name")).alias("woken")).distinct()
+    keys = written(_keys(frozen))
+    longest = keys.agg(F.max(F.length("name"))).first()[0] or 0
+    blocks = written(joined_blocks(titles.select(*by, F.lower(title).alias("_title")), by, "_title", longest))
+    found = find_names(blocks, keys).select("name").distinct()
+    w = _woken(frozen.select(F.col(order).alias("_o"), "entity_id", "name"), found)
+    w = w.select("_o", "woken", F.posexplode(F.array("entity_id", "name")).alias("kind", "key"))
+    last = F.struct("_o", "kind", "woken")
+    return w.where("key <> ''").groupBy("key").agg(F.max_by("woken", last).alias("woken"))
+
+
+def _keys(frozen: DataFrame) -> DataFrame:
+    return frozen.select(F.explode(F.array(F.lower("name"), F.lower("entity_id"))).alias("name")).where("name <> ''").distinct()
+
+
+def _woken(frozen: DataFrame, found: DataFrame) -> DataFrame:
+    """frozen with whether its name or its id was found."""
+    by_name, by_id = (found.select(F.col("name").alias(c), F.lit(True).alias(f"{c}_found")) for c in ("_name", "_id"))
+    f = frozen.join(by_name, F.lower("name") == F.col("_name"), "left").join(by_id, F.lower("entity_id") == F.col("_id"), "left")
+    return f.select(*frozen.columns, F.coalesce("_name_found", "_id_found", F.lit(False)).alias("woken"))

@@ -235,3 +235,9 @@ SELECT 'pass' AS kind, entity_id, pass, band, CASE WHEN band <> prev THEN prev E
 UNION ALL
 SELECT 'due', entity_id, pass, band, NULL, NULL, NULL, NULL, tier, strftime(due, '%Y-%m-%d') FROM f JOIN o USING (entity_id, rn, pass)
 WHERE (SELECT min(day) FROM p WHERE day >= o.due) IS NOT NULL AND (later IS NULL OR later > (SELECT min(day) FROM p WHERE day >= o.due))"""
+SQL["woken_entities"] = """WITH c AS (SELECT conv_id || '/' || turn AS o, list_filter(string_split(regexp_replace(text, '[.,?!\n]', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM conversations),
+f AS (SELECT o, array_to_string(w[1:3], ' ') AS entity_id, array_to_string(CASE WHEN len(w) > 2 THEN w[-2:] ELSE w END, ' ') AS name FROM c),
+t AS (SELECT lower(string_agg(replace(text, chr(10), ' '), ' ' ORDER BY doc_id)) AS t FROM documents),
+m AS (SELECT f.*, (name <> '' AND contains(t, lower(name))) OR (entity_id <> '' AND contains(t, lower(entity_id))) AS woken FROM f, t),
+k AS (SELECT o, 0 AS kind, entity_id AS key, woken FROM m UNION ALL SELECT o, 1, name, woken FROM m)
+SELECT key, arg_max(woken, (o, kind, woken)) AS woken FROM k WHERE key <> '' GROUP BY key"""

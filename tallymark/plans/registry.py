@@ -343,6 +343,15 @@ def wake_on_spike(spark, d):
     return snapshot.wake_on_spike(frozen, table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("title")))
 
 
+@query
+def woken_entities(spark, d):
+    """An entity for each turn of a conversation: its first words are the id, its last ones the name; the lines of all documents are the titles."""
+    c = table(spark, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("o"), F.filter(F.split(F.regexp_replace("text", "[.,?!\n]", " "), " "), lambda w: w != "").alias("w"))
+    f = c.select("o", F.array_join(F.slice("w", 1, 3), " ").alias("entity_id"), F.array_join(F.when(F.size("w") > 2, F.slice("w", -2, 2)).otherwise(F.col("w")), " ").alias("name"))
+    titles = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "title"))
+    return snapshot.mentions(f, titles, ["doc_id", "pos"], order="o")
+
+
 @query
 def recall_golden(spark, d):
     g = table(spark, d, "labels").select(F.col("doc_id").alias("snippet_id"), (F.col("quality") == 1).alias("is_true"))
