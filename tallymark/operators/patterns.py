@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .running import running_sum, written
 
 #: Characters of a piece, and of a block of joined texts at least.
-PIECE, BLOCK = 3, 4096
+PIECE, BLOCK = 3, 1024
 
 
 def _pieces(text: str, sizes: str) -> str:
-    """SQL of the distinct pieces of a text of some sizes."""
-    one = f"if(length({text}) >= q, transform(sequence(1, length({text}) - q + 1), i -> substring({text}, i, q)), cast(array() as array<string>))"
-    return f"array_distinct(flatten(transform({sizes}, q -> {one})))"
+    """SQL of the distinct pieces of a text of some sizes, from its characters: a place in a long text is not counted out anew for each piece."""
+    one = "if(size(c) >= q, transform(sequence(1, size(c) - q + 1), i -> array_join(slice(c, i, q), '')), cast(array() as array<string>))"
+    return f"array_distinct(flatten(transform(array(regexp_extract_all({text}, '(?s).', 0)), c -> flatten(transform({sizes}, q -> {one})))))"
 
 
 def find_names(texts: DataFrame, names: DataFrame, size: int = PIECE) -> DataFrame:

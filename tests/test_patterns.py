@@ -27,7 +27,7 @@ def test_blocks_of_joined_texts(spark):
     texts, _ = made()
     whole = " ".join(t or "" for t in texts) + " "
     t = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(4)
-    for longest, block in ((7, 10), (50, 16), (1, 4096), (0, 8)):
+    for longest, block in ((7, 10), (50, 16), (1, 1024), (0, 8)):
         b = sorted(map(tuple, joined_blocks(t, ["seq"], "text", longest, block).collect()))
         size = max(longest, block)
         assert b == [(k, whole[k * size : (k + 1) * size + max(longest - 1, 0)]) for k in range(-(-len(whole) // size))]
