@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashtree import content_counts
 from .patterns import find_names, joined_blocks
 from .running import written
 
 
 def fingerprint(records: DataFrame, entity: str = "entity_id", content: str = "content") -> DataFrame:
-    """(entity_id, hash): SHA-256 over the sorted contents of each entity; rows without an entity are left out."""
-    r = records.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity_id"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("h"))
-    return r.groupBy("entity_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("hash"))
+    """(entity_id, hash): SHA-256 over the sorted contents of each entity; rows without an entity are left out.
+
+    The hashes of an entity pass through one digest in order, so no row holds them all; hash trees (hashtree.py)
+    have no such order and say which ranges have changed.
+    """
+    counts = content_counts(records, entity, content)
+    kind = counts.schema["entity_id"].dataType.simpleString()
+    return counts.repartition("entity_id").sortWithinPartitions("entity_id", "h").mapInArrow(_digests, f"entity_id {kind}, hash string")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (entity_id, h, n) in order to (entity_id, hash), an entity when the next one begins."""
+    digest, last, kind = None, None, None
+    for batch in batches:
+        kind, done = batch.schema.field("entity_id").type, []
+        for e, h, n in zip(*(batch.column(c).to_pylist() for c in ("entity_id", "h", "n"))):
+            if digest is not None and e != last:
+                done.append((last, digest.hexdigest()))
+                digest = None
+            if digest is None:
+                digest, last, n = hashlib.sha256(h.encode()), e, n - 1
+            again = f"\n{h}".encode()
+            for k in range(0, n, 4096):
+                digest.update(again * min(4096, n - k))
+        if done:
+            yield _entities(done, kind)
+    if digest is not None:
+        yield _entities([(last, digest.hexdigest())], kind)
+
+
+def _entities(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    ids, hashes = zip(*done)
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(hashes, pa.string())], ["entity_id", "hash"])
 
 
 def last_fingerprint(records: DataFrame, entity: str = "entity_id", content: str = "content", seq: str = "seq") -> DataFrame:

@@ -241,3 +241,13 @@ t AS (SELECT lower(string_agg(replace(text, chr(10), ' '), ' ' ORDER BY doc_id))
 m AS (SELECT f.*, (name <> '' AND contains(t, lower(name))) OR (entity_id <> '' AND contains(t, lower(entity_id))) AS woken FROM f, t),
 k AS (SELECT o, 0 AS kind, entity_id AS key, woken FROM m UNION ALL SELECT o, 1, name, woken FROM m)
 SELECT key, arg_max(woken, (o, kind, woken)) AS woken FROM k WHERE key <> '' GROUP BY key"""
+SQL["snapshot_ranges"] = """WITH a AS (SELECT source AS e, sha256(coalesce(text, '')) AS h, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL),
+b AS (SELECT CASE WHEN source = 'src9' THEN 'old9' ELSE source END AS e, sha256(CASE WHEN source = 'src3' AND doc_id % 7 = 0 THEN coalesce(text || ' before', '') ELSE coalesce(text, '') END) AS h, count(*) AS n
+  FROM documents WHERE source IS NOT NULL AND NOT (source = 'src5' AND doc_id % 5 = 0) GROUP BY ALL),
+x AS (SELECT e, left(h, 6) AS p, list_sort(list(h || ':' || n)) AS l, sum(n) AS n FROM a GROUP BY ALL), y AS (SELECT e, left(h, 6) AS p, list_sort(list(h || ':' || n)) AS l, sum(n) AS n FROM b GROUP BY ALL)
+SELECT e AS entity_id, p AS prefix, coalesce(y.n, 0)::BIGINT AS n_before, coalesce(x.n, 0)::BIGINT AS n_after FROM x FULL JOIN y USING (e, p) WHERE x.l IS DISTINCT FROM y.l"""
+SQL["token_bucket"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+b AS (SELECT user_id, event_id, rn, t, 2.0::DOUBLE AS tokens FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.rn, e.t, least(2.0, b.tokens - (b.tokens + 1e-9 >= 1)::INT + (e.t - b.t) * 2.0 / 60) FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1)
+SELECT user_id, event_id, tokens + 1e-9 >= 1 AS granted FROM b"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import BandConfig
 
@@ -52,23 +54,32 @@ def band_stream(scores: DataFrame, cfg: BandConfig = BandConfig()) -> DataFrame:
 def token_bucket(events: DataFrame, key: str, at: str, order: str, per_minute: float = 30.0) -> DataFrame:
     """events (key, at seconds, order) with `granted` from a bucket per key.
 
-    The state depends on each answer before it, so this is a fold in order of time; a
-    key's state is one number, and rows of a key are read in Arrow batches.
+    The state depends on each answer before it, so this is a fold in order of time. Rows are dealt by key and sorted
+    by Spark, and the state, two numbers, goes on from Arrow batch to Arrow batch: no key's history is held whole.
+    A null key is a key. Events without a time are not granted and leave the bucket as it is.
     """
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        tokens, last, out = per_minute, None, []
-        for t in pdf[at]:
-            tokens = per_minute if last is None else min(per_minute, tokens + (t - last) * per_minute / 60)
-            last = t
-            ok = tokens + 1e-9 >= 1
-            tokens -= ok
-            out.append(bool(ok))
-        return pdf.assign(granted=out)[[key, order, "granted"]]
-
-    return events.select(key, at, order).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, granted boolean")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last_key, tokens, last = False, None, per_minute, None
+        for batch in batches:
+            granted = []
+            for k, t in zip(batch.column("_key").to_pylist(), batch.column("_at").to_pylist()):
+                if not begun or k != last_key:
+                    begun, last_key, tokens, last = True, k, per_minute, None
+                if t is None:
+                    granted.append(False)
+                    continue
+                if last is not None:
+                    tokens = min(per_minute, tokens + (t - last) * per_minute / 60)
+                last = t
+                granted.append(tokens + 1e-9 >= 1)
+                tokens -= granted[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(granted, pa.bool_())], [key, order, "granted"])
+
+    e = events.select(key, order, F.col(at).cast("double").alias("_at"), F.to_json(F.struct(key)).alias("_key"))
+    e = e.repartition("_key").sortWithinPartitions("_key", "_at", order)
+    return e.mapInArrow(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, granted boolean")
 
 
 def accumulate_stream(batch: DataFrame, store_path: str, keys: list[str]) -> None:
