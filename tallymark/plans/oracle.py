@@ -251,3 +251,13 @@ b AS (SELECT user_id, event_id, rn, t, 2.0::DOUBLE AS tokens FROM e WHERE rn = 1
   UNION ALL
   SELECT e.user_id, e.event_id, e.rn, e.t, least(2.0, b.tokens - (b.tokens + 1e-9 >= 1)::INT + (e.t - b.t) * 2.0 / 60) FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1)
 SELECT user_id, event_id, tokens + 1e-9 >= 1 AS granted FROM b"""
+SQL["recorded_hits"] = """WITH r AS (SELECT doc_id % 3 AS k, source AS query, doc_id::VARCHAR AS id, 't' || doc_id AS title, coalesce(n_chars, 0) % 1000 AS count, nullif(text, '') AS text,
+  CASE WHEN doc_id % 4 = 0 AND text IS NOT NULL THEN len(string_split(text, chr(10))) ELSE 0 END AS n FROM documents),
+b AS (SELECT *, CASE WHEN k = 0 THEN text ELSE coalesce(text, title) END AS body FROM r),
+h AS (SELECT CASE k WHEN 0 THEN 'code' WHEN 1 THEN 'forum' ELSE 'citation' END AS connector, query, id, CASE k WHEN 0 THEN 'https://code.test/' || id WHEN 1 THEN 'https://news.ycombinator.com/item?id=' || id ELSE id END AS url, title, count,
+  (coalesce(length(body) > 1500, false)::INT + greatest(n - 10, 0))::INT AS truncated, sha256(left(body, 1500)) AS h, least(n, 10)::INT AS said FROM b)
+SELECT 'all' AS kind, * FROM h UNION ALL SELECT 'some', * FROM h WHERE count > 500 AND query IN ('src1', 'src3')"""
+SQL["published_run"] = f"""WITH r AS ({SQL["report_whole"]})
+SELECT 'report' AS kind, row_number() OVER (ORDER BY section, name, part, pos, line)::VARCHAR AS key, line FROM r
+UNION ALL SELECT 'entity', s_suppkey::VARCHAR, concat_ws('|', s_name, ['Leader', 'candidate', 'odd'][s_suppkey % 3 + 1], CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey || '.0' END, CASE WHEN s_suppkey % 3 = 0 THEN 'alpha|zeta' END) FROM supplier
+UNION ALL SELECT 'finding', r_name, concat_ws('|', '', CASE WHEN r_regionkey % 2 = 0 THEN 'claimed' END, 'said') FROM region"""

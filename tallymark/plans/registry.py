@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 from .. import streaming
 from ..functions import expr as x
 from ..operators import capability, entity, evaluate, evidence, graph, hashtree, incremental, models, records, running, snapshot, text
-from ..sources import artifacts
-from ..sources.store import RecordStore
+from ..sources import artifacts, hits
+from ..sources.store import BatchLog, RecordStore
 from ..streaming import passes
 
 #: The fixed clock of the event queries.
@@ -385,6 +385,27 @@ def kappa_stability(spark, d):
     return evaluate.kappa(table(spark, d, "labels"), "quality", "toxic").withColumn("kappa", F.round("kappa", 8))
 
 
+@query
+def recorded_hits(spark, d):
+    """Documents written as recorded replies of three connectors and read back, whole and by bounds on query and count."""
+    k, doc = F.col("doc_id") % 3, table(spark, d, "documents")
+    id_, title = F.col("doc_id").cast("string"), F.concat(F.lit("t"), "doc_id")
+    said = F.when(F.col("doc_id") % 4 == 0, F.split("text", "\n"))
+    n = F.coalesce("n_chars", F.lit(0)) % 1000
+    shapes = {
+        "code": F.struct(id_.alias("id"), F.concat(F.lit("https://code.test/"), id_).alias("html_url"), title.alias("title"), F.col("text").alias("body"), n.alias("stars"), said.alias("comments")),
+        "forum": F.struct(id_.alias("objectID"), title.alias("title"), F.col("text").alias("comment_text"), n.alias("points"), said.alias("comments")),
+        "citation": F.struct(id_.alias("doi"), title.alias("title"), F.col("text").alias("abstract"), n.alias("cited_by_count"), said.alias("comments")),
+    }
+    path = f"{running.shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    for i, (name, shape) in enumerate(shapes.items()):
+        doc.where(k == i).select(F.to_json(F.struct(F.col("source").alias("query"), F.array(shape).alias("items"))).alias("value")).write.text(f"{path}/connector={name}")
+    h = hits.load(spark, path, split_bytes=1 << 22)
+    row = [F.col(c) for c in ("connector", "query", "id", "url", "title", "count", "truncated")] + [F.sha2("body", 256).alias("h"), F.size("comments").alias("said")]
+    some = h.where("count > 500 and count >= 300 and query in ('src1', 'src2', 'src3') and query <> 'src2'")
+    return h.select(F.lit("all").alias("kind"), *row).unionByName(some.select(F.lit("some").alias("kind"), *row))
+
+
 @query
 def store_antijoin(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"))
@@ -676,8 +697,8 @@ def run_kappa(spark, d):
     return evaluate.kappa_of_runs(run("doc_id % 5 > 0", 4), run("doc_id % 7 > 0", 8)).withColumn("kappa", F.round("kappa", 8))
 
 
-@query
-def report_whole(spark, d):
+def _report(spark, d):
+    """Suppliers as entities, regions as findings, event types as stages; and the report of them."""
     s = table(spark, d, "supplier")
     band = F.element_at(F.array(*map(F.lit, ("Leader", "candidate", "odd"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
     axes = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.struct(F.lit("speed").alias("axis"), F.lit("yes").alias("classification")), F.struct(F.lit("size").alias("axis"), F.lit("no").alias("classification"))))
@@ -685,7 +706,26 @@ def report_whole(spark, d):
     e = e.withColumn("competitors", F.when(F.col("entity_id") % 3 == 0, F.col("competitors")))
     found = table(spark, d, "region").select(F.lit("").alias("tool"), F.col("r_name").alias("entity"), F.when(F.col("r_regionkey") % 2 == 0, "claimed").alias("claim"), F.lit("said").alias("quote"))
     stages = table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).cast("string").alias("tokens_in"), F.lit("0").alias("tokens_out"))
-    return evaluate.report_rows(e, stages, found)
+    return e, found, evaluate.report_rows(e, stages, found)
+
+
+@query
+def report_whole(spark, d):
+    return _report(spark, d)[2]
+
+
+@query
+def published_run(spark, d):
+    """Two runs published, the second one offered twice; report lines, entities and findings of the last."""
+    e, found, report = _report(spark, d)
+    log = BatchLog(spark, f"{running.shared_folder(spark)}/runs-{uuid.uuid4().hex}")
+    artifacts.publish(log, "first", report.where("section > 4"), e.where("entity_id % 2 = 0"), found)
+    for _ in range(2):
+        artifacts.publish(log, "second", report, e, found)
+    lines, people, said = (log.table(n, latest=True) for n in ("report_lines", "entities", "findings"))
+    out = lines.select(F.lit("report").alias("kind"), F.col("place").cast("string").alias("key"), "line")
+    out = out.union(people.select(F.lit("entity"), "entity_id", F.concat_ws("|", "name", "band", "score_pct", F.array_sort(F.map_keys("competitors")))))
+    return out.union(said.select(F.lit("finding"), "entity", F.concat_ws("|", "tool", "claim", "quote")))
 
 
 @query

@@ -41,16 +41,17 @@ class BatchLog:
     def has(self, batch: str) -> bool:
         return any(e["batch"] == str(batch) for e in self.entries())
 
-    def commit(self, batch: str, tables: dict[str, DataFrame], by: dict[str, str] | None = None) -> bool:
-        """Write the tables of a batch, partitioned by a column where `by` names one; False if the log has the batch already."""
+    def commit(self, batch: str, tables: dict[str, DataFrame], by: dict[str, str] | None = None, kinds: dict[str, str] | None = None) -> bool:
+        """Write the tables of a batch, partitioned by a column where `by` names one, as parquet or the format that `kinds` names;
+        False if the log has the batch already."""
         entries, batch = self.entries(), str(batch)
         if any(e["batch"] == batch for e in entries):
             return False
         attempt = uuid.uuid4().hex
         for name, df in tables.items():
-            w = df.write
-            (w.partitionBy(by[name]) if name in (by or {}) else w).parquet(f"{self.path}/data/{attempt}/{name}")
-        entry = {"batch": batch, "order": len(entries), "attempt": attempt, "schemas": {n: df.schema.json() for n, df in tables.items()}}
+            w = df.write.format((kinds or {}).get(name, "parquet"))
+            (w.partitionBy(by[name]) if name in (by or {}) else w).save(f"{self.path}/data/{attempt}/{name}")
+        entry = {"batch": batch, "order": len(entries), "attempt": attempt, "schemas": {n: df.schema.json() for n, df in tables.items()}, "kinds": kinds or {}}
         fs, made = self._at(f"{self.path}/log/_{attempt}")
         out = fs.create(made)
         out.write(bytearray(json.dumps(entry).encode()))
@@ -65,7 +66,8 @@ class BatchLog:
         out = None
         for e in found[-1:] if latest else found:
             schema = StructType.fromJson(json.loads(e["schemas"][name]))
-            df = self.spark.read.schema(schema).parquet(f"{self.path}/data/{e['attempt']}/{name}")
+            kind = e.get("kinds", {}).get(name, "parquet")
+            df = self.spark.read.schema(schema).format(kind).load(f"{self.path}/data/{e['attempt']}/{name}")
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
 
