@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BandConfig
 from ..functions import expr as x
+from ..sources.store import BatchLog
 from .running import running_sum
 
 OSSF = re.compile(r"critic|score_?card|ossf|chaoss", re.I)
@@ -29,6 +30,23 @@ def ecdf(df: DataFrame, value: str, out: str) -> DataFrame:
     return d.join(shares, "_v", "left").withColumn(out, F.coalesce("ecdf", F.lit(0.0))).drop("_v", "ecdf")
 
 
+def ecdf_pass(log: BatchLog, batch_id: int | str, df: DataFrame, value: str, out: str) -> DataFrame:
+    """ecdf() of a batch's rows within all batches that the log has, this one included, without their rows.
+
+    The log keeps the counts of distinct values, those of a new batch added to the last ones; a batch that it has is not
+    counted again. Rows of a batch given again get their shares within all batches up to the last one.
+    """
+    d = df.withColumn("_v", F.col(value).cast("double"))
+    if not log.has(batch_id):
+        counts = d.where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("n"))
+        known = log.table("counts", latest=True)
+        log.commit(batch_id, {"counts": counts if known is None else known.unionByName(counts).groupBy("_v").agg(F.sum("n").alias("n"))})
+    counts = running_sum(log.table("counts", latest=True), ["_v"], "n", "upto")
+    total = counts.agg(F.max("upto").alias("total"))
+    shares = counts.crossJoin(F.broadcast(total)).select("_v", (F.col("upto") / F.col("total")).alias("ecdf"))
+    return d.join(shares, "_v", "left").withColumn(out, F.coalesce("ecdf", F.lit(0.0))).drop("_v", "ecdf")
+
+
 def winsorize(df: DataFrame, value: str, low: float = 1, high: float = 99) -> DataFrame:
     """df with value moved to the interpolated percentiles where it lies beyond them; a null stays null."""
     v = F.col(value).cast("double")

@@ -261,3 +261,13 @@ SQL["published_run"] = f"""WITH r AS ({SQL["report_whole"]})
 SELECT 'report' AS kind, row_number() OVER (ORDER BY section, name, part, pos, line)::VARCHAR AS key, line FROM r
 UNION ALL SELECT 'entity', s_suppkey::VARCHAR, concat_ws('|', s_name, ['Leader', 'candidate', 'odd'][s_suppkey % 3 + 1], CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey || '.0' END, CASE WHEN s_suppkey % 3 = 0 THEN 'alpha|zeta' END) FROM supplier
 UNION ALL SELECT 'finding', r_name, concat_ws('|', '', CASE WHEN r_regionkey % 2 = 0 THEN 'claimed' END, 'said') FROM region"""
+SQL["ecdf_passes"] = """WITH e AS (SELECT event_id, event_id % 3 AS pass, CASE WHEN event_id % 11 > 0 THEN floor(value) END AS v FROM events), p(k) AS (VALUES (0), (1), (2)),
+c AS (SELECT k, v, count(*) AS n FROM e JOIN p ON pass <= k WHERE v IS NOT NULL GROUP BY ALL), u AS (SELECT k, v, sum(n) OVER (PARTITION BY k ORDER BY v) / sum(n) OVER (PARTITION BY k) AS share FROM c)
+SELECT event_id, pass, round(coalesce(share, 0), 8) AS share FROM e LEFT JOIN u ON k = pass AND u.v = e.v"""
+_BOW = "list_transform(range(64), lambda i: len(list_filter(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: ('0x' || substr(md5(t), 31, 2))::INT % 64), lambda c: c = i))::DOUBLE)"
+SQL["axis_shortlists"] = f"""WITH t AS (SELECT source AS entity_id, doc_id, {_STRIP.format("text")} AS s FROM documents),
+s AS (SELECT entity_id, min(doc_id) AS seq, {_BOW.format("s")} AS v FROM t WHERE s <> '' GROUP BY entity_id, s),
+a AS (SELECT axis, {_BOW.format("axis")} AS w FROM (SELECT n_name AS axis FROM nation UNION SELECT p_brand FROM part)),
+c AS (SELECT entity_id, axis, seq, coalesce(list_inner_product(v, w) / nullif(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w)), 0), 0) AS cosine FROM s, a),
+p AS (SELECT entity_id, axis, row_number() OVER (PARTITION BY entity_id, axis ORDER BY cosine DESC, seq)::INT AS place, seq, cosine FROM c WHERE cosine >= 0.35)
+SELECT entity_id, axis, place, seq, round(cosine, 6) AS cosine FROM p WHERE place <= 30"""

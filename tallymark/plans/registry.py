@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from .. import streaming
 from ..functions import expr as x
-from ..operators import capability, entity, evaluate, evidence, graph, hashtree, incremental, models, records, running, snapshot, text
+from ..operators import capability, entity, evaluate, evidence, graph, hashtree, incremental, models, records, running, shortlist, snapshot, text
 from ..sources import artifacts, hits
 from ..sources.store import BatchLog, RecordStore
 from ..streaming import passes
@@ -228,6 +228,28 @@ def cosine_topk(spark, d):
     return text.shortlist(e.crossJoin(F.broadcast(q)), "v", F.col("axis"), "vec_id", text.TextConfig(min_cosine=0.05)).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
+@query
+def axis_shortlists(spark, d):
+    """The best snippets of every source for an axis of each nation and each brand, by counts of hashed words."""
+    names = table(spark, d, "nation").select(F.col("n_name").alias("axis")).union(table(spark, d, "part").select("p_brand")).distinct()
+    axes = {r.axis: r.vector for r in models.embed(names, "axis", "axis").collect()}  # 25 nations and 25 brands at every size
+    docs = table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.col("doc_id").alias("seq"), x.strip_boilerplate(F.col("text")).alias("stripped"))
+    s = records.first_wins(docs.where("stripped <> ''"), ["entity_id", "stripped"], "seq")
+    found = shortlist.shortlists(s.join(models.embed(s, "seq", "stripped"), "seq"), axes)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
+@query
+def ecdf_passes(spark, d):
+    """Events in three passes, the second one offered twice: the share of each value within its pass and those before."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("pass"), F.when(F.col("event_id") % 11 > 0, F.floor("value")).alias("value"))
+    log, out = BatchLog(spark, f"{running.shared_folder(spark)}/shares-{uuid.uuid4().hex}"), None
+    for k in (0, 1, 1, 2):
+        part = evidence.ecdf_pass(log, k, e.where(F.col("pass") == k), "value", "share")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct().select("event_id", "pass", F.round("share", 8).alias("share"))
+
+
 @query
 def hashed_bow(spark, d):
     return text.hashed_bow(table(spark, d, "documents"), "doc_id", "text")
