@@ -271,3 +271,13 @@ a AS (SELECT axis, {_BOW.format("axis")} AS w FROM (SELECT n_name AS axis FROM n
 c AS (SELECT entity_id, axis, seq, coalesce(list_inner_product(v, w) / nullif(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w)), 0), 0) AS cosine FROM s, a),
 p AS (SELECT entity_id, axis, row_number() OVER (PARTITION BY entity_id, axis ORDER BY cosine DESC, seq)::INT AS place, seq, cosine FROM c WHERE cosine >= 0.35)
 SELECT entity_id, axis, place, seq, round(cosine, 6) AS cosine FROM p WHERE place <= 30"""
+SQL["band_passes"] = f"""WITH RECURSIVE {_SIGNALS},
+p AS (SELECT user_id, floor(dayofyear(ts) / 7)::BIGINT AS pass, round(least(greatest(avg(score), 0), 1) * 100, 2) AS score FROM v GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pass) AS rn, CASE WHEN score >= 80 THEN 80 WHEN score >= 50 THEN 50 WHEN score >= 20 THEN 20 ELSE 0 END AS stands FROM p),
+f AS (SELECT user_id, rn, (SELECT name FROM {_BANDS} WHERE t = stands) AS band, 0 AS flip FROM o WHERE rn = 1
+  UNION ALL
+  SELECT user_id, rn, band, (band <> prev)::INT FROM (
+    SELECT o.user_id, o.rn, f.band AS prev, CASE WHEN stands > least THEN coalesce((SELECT arg_max(name, t) FROM {_BANDS} WHERE t > least AND score >= t + 5), f.band)
+      WHEN stands < least THEN coalesce((SELECT arg_max(name, t) FROM {_BANDS} WHERE t < least AND score >= t + 5), f.band) ELSE f.band END AS band
+    FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1, LATERAL (SELECT (SELECT t FROM {_BANDS} WHERE name = f.band) AS least)))
+SELECT user_id, arg_max(band, rn) AS band, sum(flip)::BIGINT AS flips FROM f GROUP BY user_id"""
