@@ -164,7 +164,9 @@ class HitFilterReader(HitReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Take what narrows queries, connectors and the least count, each filter on top of those before; the rest goes back to Spark."""
         for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
+            # Filters of filters, as Not, name no column.
+            attribute = getattr(f, "attribute", ())
+            name = attribute[0] if len(attribute) == 1 else None
             if name in ("query", "connector") and isinstance(f, (EqualTo, In)):
                 values = set(f.value) if isinstance(f, In) else {f.value}
                 kept = self.queries if name == "query" else self.connectors

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan, Not
 
 from tallymark.sources import hits
 
@@ -64,6 +64,14 @@ def test_filters_add_up(tmp_path):
     assert left(less, GreaterThan(count, 5)) == ([less], [r for r in whole if r[7] > 5])
 
 
+def test_filters_of_filters_go_back_to_spark(tmp_path):
+    record(tmp_path, "code.jsonl", replies(8))
+    other = Not(EqualTo(("query",), "q1"))
+    r = reader(tmp_path)
+    assert list(r.pushFilters([other, GreaterThan(("count",), 5)])) == [other]
+    assert {row[7] for row in rows(r)} == {6, 7}
+
+
 def test_filters_through_spark(spark, tmp_path):
     record(tmp_path, "code.jsonl", replies(40))
     want = sorted(r[3] for r in rows(reader(tmp_path)) if 5 < r[7] < 30 and r[1] == "q1")
