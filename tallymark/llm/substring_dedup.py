@@ -13,8 +13,8 @@ context (or whose gram may go on across a boundary) has its windows compared one
 in a second exchange: by 64-bit hashes, and where these are equal by their bytes. Whole
 contexts are told apart by hashes alone, 64 bits of the context and 40 of the gram in it.
 
-Rows are first sorted by doc_id and a hash of the text and written with a number, by which
-they are ordered, marked and cut: a doc_id may be repeated or null.
+Rows are ordered, marked and cut by doc_id. Only where one is repeated or null they are first sorted by doc_id
+and a hash of the text, and get a number for it.
 """
 
 from __future__ import annotations
@@ -300,9 +300,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     spark = docs.sparkSession
     scratch = Scratch(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # The last key deals equal rows over several ranges.
-    d = d.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
-    d = scratch.save(d.withColumn("row", F.monotonically_increasing_id()))
+    plain = scratch.save(d.withColumn("row", F.col("doc_id")))
+    if plain.where("row is null").isEmpty() and plain.groupBy("row").count().where("count > 1").isEmpty():
+        d = plain
+    else:
+        # The last key deals equal rows over several ranges.
+        d = plain.drop("row").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
+        d = scratch.save(d.withColumn("row", F.monotonically_increasing_id()))
+        scratch.drop(plain)
     hot, parts = HOT, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # A sample of a fixed number of documents, whatever the size of the table: those of least hash.
     some = d.join(F.broadcast(d.select("row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_DOCS)), "row")
@@ -322,7 +327,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     grams, of = np.unique(counts[:, 0].view(np.uint64), return_inverse=True)
     frequent = grams[np.bincount(of, weights=counts[:, 1], minlength=len(grams)) > hot]
     marks = marks.where("bucket is not null")
-    by_row = lambda m: m.repartition(parts, "bucket").mapInArrow(_merged, "row long, packed binary").hint("merge")
+    # Marks are hashed, a task's share of them at a time, so that no join sorts the texts.
+    by_row = lambda m: m.repartition(parts, "bucket").mapInArrow(_merged, "row long, packed binary").hint("shuffle_hash")
     dealt = d.join(by_row(marks), "row").mapInArrow(lambda it: _contexts(it, length, parts, frequent), "bucket int, head binary, bytes binary")
     found = scratch.save(dealt.repartition(parts, "bucket").mapInArrow(lambda it: _compare(it, length, parts), shape))
     out = d.join(by_row(marks.union(found)), "row", "left")
