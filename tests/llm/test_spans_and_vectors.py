@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from tallymark.llm import embedding_dedup, paragraph_dedup, substring_dedup
+from tallymark.llm import common, embedding_dedup, paragraph_dedup, substring_dedup
 from tests.llm.test_documents import SCHEMA, corpus, roots
 
 
@@ -103,6 +104,36 @@ def test_multikey_order():
     assert rows == sorted(rows)
 
 
+def test_substring_numbers_rows_only_where_doc_ids_do_not(spark, tmp_path):
+    """With doc_ids of their own texts are not sorted, neither at first nor in the joins; negative ones come first."""
+    part = "".join(chr(97 + k * k % 23) for k in range(120))
+    rows = [(5, part + "x"), (-3, "y" + part), (1 << 40, part)]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {-3: 0, 5: 120, 1 << 40: 120}
+
+
+def test_shuffle_files_of_a_long_step_go(spark, monkeypatch):
+    """What a written step has shuffled is off the disk soon after it, not when the driver happens to collect garbage."""
+    monkeypatch.setattr(common, "LONG_STEP", -1)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    scratch = common.Scratch(spark)
+    before = tracker.shuffleStatuses().size()
+    for _ in range(3):
+        scratch.save(spark.range(1000).repartition(4, "id"))
+    for _ in range(100):
+        if tracker.shuffleStatuses().size() < before + 3:
+            break
+        time.sleep(0.1)
+    assert tracker.shuffleStatuses().size() < before + 3
+
+
 def test_substring_empty(spark):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -187,6 +218,42 @@ def test_minhash_bands_meet_near_the_threshold():
     assert hit >= 0.98 * 400
 
 
+def test_bands_meet_for_every_pair_at_the_threshold():
+    """Other first words, moved stretches, repeated words, few shingles: all pairs at the threshold share a band, few others do."""
+    r = random.Random(8)
+    made = []
+    for k in range(60):
+        w = [f"w{r.randrange(10**9 if k % 3 else 4)}" for _ in range(27)]
+        if k % 5 == 0:
+            w[18:] = w[:9]
+        made += [w[:24], w[1:25], w[2:26], ["x"] + w[1:24], ["x", "y"] + w[2:24], w[:22] + ["x", "y"], ["x"] + w[1:23] + ["y"], w[3:27]]
+    made += [[c] * 24 for c in "ab"] + [list("abcde" * 5)[:24], list("abcdef" * 4), list("fabcde" * 4), list("abcdefg" * 4)[:24]]
+    p = paragraph_dedup.Paragraphs(paragraph_dedup.pa.array([" ".join(w) for w in made]))
+    assert len(p.at) == len(made)
+    own, sig = p.bands(same_anchor=False)
+    have = [set() for _ in made]
+    for k, v in zip(own.tolist(), sig.tolist()):
+        have[k].add(v)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(20)) for w in made]
+    near, other = 0, 0
+    for a in range(len(made)):
+        for b in range(a):
+            if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                near += 1
+                assert have[a] & have[b]
+            elif not sets[a] & sets[b]:
+                other += bool(have[a] & have[b])
+    assert near > 500 and other < 100
+
+
+def test_paragraphs_of_other_anchors_link(spark):
+    """A passage again with other first words at each of its paragraphs."""
+    r = random.Random(5)
+    w = [f"w{r.randrange(10**9)}" for _ in range(24)]
+    d = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(["other", "two", *w[2:]])), (3, " ".join(["much", "more", "else", *w[3:]]))], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in paragraph_dedup.paragraph_dedup(d, same_anchor=False).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_embedding_dedup(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SIZE", 16)
     g = np.random.default_rng(4)
