@@ -142,14 +142,43 @@ def members_of(records: DataFrame, key: str, texts: list[str], context: list[str
     return records.select(F.col(key).alias("k"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), alike.alias("alike"), F.struct(*context).alias("context"))
 
 
-def questions(classes: DataFrame, gray: DataFrame) -> DataFrame:
-    """(a, b, cosine, a_context, b_context, n): pairs of classes (rep, group, ids, context, n) of resembling groups that share no identifier; n counts their records' pairs."""
-    left, right = (classes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("rep", "group", "ids", "context", "n")]) for side in "xy")
-    d = gray.select(F.col("a").alias("x_group"), F.col("b").alias("y_group"), "cosine").join(left, "x_group").join(right, "y_group").where(~F.arrays_overlap("x_ids", "y_ids"))
+def class_key(texts: str = "alike", context: str = "context") -> Column:
+    """A key of records with equal texts and context; their identifiers may differ."""
+    return F.sha2(F.to_json(F.struct(texts, context), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def unlinked_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a_class, b_class, n) of pairs of classes of members (k, ids, class): how many pairs of their records share no identifier, from counts as in pair_counts()."""
+    sizes = written(members.groupBy("class").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("n")))
+    parts = identifier_subsets(shared_identifiers(members)).join(members.select("k", "class"), "k").join(sizes.select("class", "c"), "class")
+    parts = written(parts.groupBy(F.xxhash64("part").alias("h"), "part", "sign", "c").agg(F.count(F.lit(1)).alias("n")))
+    p = pairs.join(sizes.toDF("a_class", "a", "na"), "a_class").join(sizes.toDF("b_class", "b", "nb"), "b_class")
+    p = written(p.select("a_class", "b_class", "a", "b", (F.col("na") * F.col("nb")).alias("n")))
+    own = lambda x: parts.select(F.col("c").alias(x), "h", "part", "sign", F.col("n").alias(f"{x}_n"))
+    both = p.select("a", "b").join(own("a"), "a").join(own("b").drop("sign"), ["b", "h", "part"])
+    both = both.groupBy("a", "b").agg(F.sum(F.col("sign") * F.col("a_n") * F.col("b_n")).alias("linked"))
+    return p.join(both, ["a", "b"], "left").select("a_class", "b_class", (F.col("n") - F.coalesce("linked", F.lit(0))).cast("long").alias("n"))
+
+
+def questions(members: DataFrame, gray: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(a, b, cosine, a_context, b_context, n, a_class, b_class): pairs of classes of members (k, ids, rep, context, class) of resembling groups; n counts their
+    records' pairs that share no identifier, and pairs without any are left out, as those of asked (a_class, b_class).
+
+    If all of two classes' records share identifiers they are one cluster already, and else one link joins them, since records
+    of equal texts hang together: so there is no need to tell records of other identifiers apart, whose lists grow in number with the records.
+    """
+    classes = members.where("rep is not null").groupBy(F.col("rep").alias("group"), "class").agg(F.min("k").alias("rep"), F.first("context").alias("context"))
+    left, right = (classes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("rep", "group", "class", "context")]) for side in "xy")
+    d = gray.select(F.col("a").alias("x_group"), F.col("b").alias("y_group"), "cosine").join(left, "x_group").join(right, "y_group")
     first = F.col("x_rep") < F.col("y_rep")
     pick = lambda c: [F.when(first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(first, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))]
-    (a, b), (ca, cb) = pick("rep"), pick("context")
-    return d.select(a.alias("a"), b.alias("b"), "cosine", ca.alias("a_context"), cb.alias("b_context"), (F.col("x_n") * F.col("y_n")).alias("n"))
+    (a, b), (ka, kb), (ca, cb) = pick("rep"), pick("class"), pick("context")
+    d = d.select(a.alias("a"), b.alias("b"), "cosine", ca.alias("a_context"), cb.alias("b_context"), ka.alias("a_class"), kb.alias("b_class"))
+    if asked is not None:
+        d = d.join(asked.union(asked.select("b_class", "a_class")), ["a_class", "b_class"], "left_anti")
+    d = written(d)
+    n = unlinked_pairs(members.where("rep is not null").select("k", "ids", "class"), d.select("a_class", "b_class")).where("n > 0")
+    return d.join(n, ["a_class", "b_class"]).select("a", "b", "cosine", "a_context", "b_context", "n", "a_class", "b_class")
 
 
 def resolve(records: DataFrame, key: str = "seq", texts: tuple[str, ...] = ("name", "description"), cfg: EntityConfig = EntityConfig(), adjudicator: Callable[[DataFrame], DataFrame] | None = None, similarity: Callable[[DataFrame, str, list[str], float], DataFrame] | None = None, context: tuple[str, ...] | None = None) -> Resolution:
@@ -160,21 +189,21 @@ def resolve(records: DataFrame, key: str = "seq", texts: tuple[str, ...] = ("nam
     the least of them, records of equal texts too, and the journal's counts of pairs come from the sizes of classes.
 
     The adjudicator takes (a, b, cosine, a_context, b_context, n) and adds a column `same`; null is no. It is asked once for
-    two classes of records with the same bag, identifiers and context (structs of the columns in `context`, by default the texts), of which a < b are the
-    least keys and n counts the pairs. similarity stands in for the cosine of tokens: it takes what cosine_pairs takes,
+    two classes of records with the same bag and context (structs of the columns in `context`, by default the texts), of which a < b are the
+    least keys and n counts the pairs that share no identifier. similarity stands in for the cosine of tokens: it takes what cosine_pairs takes,
     records of different texts, and returns (a, b, cosine); equal texts count as 1.
     """
     if not cfg.gray <= cfg.auto <= 1:
         raise ValueError("gray must not exceed auto, nor auto 1")
     m = written(members_of(records, key, list(texts), list(context or texts), similarity))
     groups = m.where("alike is not null").groupBy("alike").agg(F.min("k").alias("rep"))
-    m = written(m.join(groups, "alike", "left"))
+    m = written(m.join(groups, "alike", "left").withColumn("class", class_key()))
     reps = records.join(m.select(F.col("rep").alias(key)).where("rep is not null").distinct(), key, "left_semi")
     near = written((similarity or cosine_pairs)(reps, key, list(texts), cfg.gray).select("a", "b", F.round("cosine", 12).alias("cosine")))
     auto, gray = near.where(F.col("cosine") >= cfg.auto), near.where((F.col("cosine") >= cfg.gray) & (F.col("cosine") < cfg.auto))
-    classes = m.where("rep is not null").groupBy(F.col("rep").alias("group"), "ids", "context").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
-    asked = questions(classes, gray)
-    said = written(adjudicator(asked).where("same").select("a", "b", "n")) if adjudicator else asked.limit(0).select("a", "b", "n")
+    said = near.select("a", "b", F.lit(0).cast("long").alias("n")).limit(0)
+    if adjudicator:
+        said = written(adjudicator(questions(m, gray).drop("a_class", "b_class")).where("same").select("a", "b", "n"))
     stars = m.select("k", F.explode("ids").alias("i"))
     stars = stars.join(stars.groupBy("i").agg(F.min("k").alias("a")), "i").select("a", F.col("k").alias("b"))
     edges = stars.union(m.select("rep", "k")).union(auto.select("a", "b")).union(said.select("a", "b"))

@@ -50,7 +50,7 @@ class ResolutionStore:
         known = self._old("groups", found)
         groups = written(found.join(known.select("alike"), "alike", "left_anti"))
         m = m.drop("bag").join(known.unionByName(groups).select("alike", "rep"), "alike", "left")
-        m = written(m.withColumn("class", F.sha2(F.to_json(F.struct("alike", "ids", "context"), {"ignoreNullFields": "false"}).cast("binary"), 256)))
+        m = written(m.withColumn("class", entity.class_key()))
         vectors = written(entity.token_vectors(groups, "rep", "bag"))
         seen = vectors.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).select("token", F.lit(order).alias("born"), "groups")
         old_tokens = self._old("tokens", seen)
@@ -59,7 +59,8 @@ class ResolutionStore:
         near = written(self._near(rare, self._old("rare", rare), vectors, known))
         all_near = self._old("near", near).unionByName(near)
         old = self._old("members", m.withColumn("cluster", F.col("k")))
-        said = written(self._said(m, old, all_near))
+        answers = self._answers(m, old, all_near)
+        said = answers.where("same").select("a", "b", "a_class", "b_class")
         e = m.select("k", F.explode("ids").alias("i"))
         first = e.groupBy("i").agg(F.min("k").alias("first"))
         old_first = self._old("identifiers", first)
@@ -71,7 +72,7 @@ class ResolutionStore:
         away = merged.where("node <> component").join(m.select(F.col("k").alias("node")), "node", "left_anti").toDF("cluster", "to")
         moved = self._old("moved", away, latest=True)
         moved = moved.join(away.toDF("to", "_to"), "to", "left").select("cluster", F.coalesce("_to", "to").alias("to")).unionByName(away)
-        tables = {"members": members, "groups": groups.select(*found.columns), "tokens": tokens, "rare": rare, "near": near, "said": said, "moved": moved}
+        tables = {"members": members, "groups": groups.select(*found.columns), "tokens": tokens, "rare": rare, "near": near, "said": said, "moved": moved, "asked": answers.select("a_class", "b_class")}
         tables["identifiers"] = first.join(old_first.select("i"), "i", "left_anti")
         return self.log.commit(batch_id, tables)
 
@@ -92,19 +93,19 @@ class ResolutionStore:
         dots = dots.agg(F.round(F.sum(F.col("tf_a") * F.col("tf_b")) / (F.first("norm_a") * F.first("norm_b")), 12).alias("cosine"))
         return dots.where(F.col("cosine") >= self.cfg.gray).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
-    def _said(self, m: DataFrame, old: DataFrame, near: DataFrame) -> DataFrame:
-        """(a, b, a_class, b_class): records of two classes, one of them new, that the adjudicator says are the same."""
+    def _answers(self, m: DataFrame, old: DataFrame, near: DataFrame) -> DataFrame:
+        """(a, b, a_class, b_class, same): records of two classes that the adjudicator was not asked about before, and what it says."""
         gray = near.where(F.col("cosine") < self.cfg.auto)
         here = m.select("rep").where("rep is not null").distinct()
         ends = gray.join(here.toDF("a"), "a", "left_semi").unionByName(gray.join(here.toDF("b"), "b", "left_semi")).distinct()
+        if not self.adjudicator:
+            ends = ends.limit(0)
         concerned = ends.select(F.col("a").alias("rep")).union(ends.select("b")).distinct()
-        old = old.join(concerned, "rep", "left_semi").select("k", "rep", "ids", "context", "class", F.lit(False).alias("new"))
-        both = old.unionByName(m.join(concerned, "rep", "left_semi").select("k", "rep", "ids", "context", "class", F.lit(True).alias("new")))
-        classes = written(both.groupBy("class", F.col("rep").alias("group"), "ids", "context").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"), F.bool_and("new").alias("new")))
-        names = classes.select("rep", "class", "new")
-        asked = entity.questions(classes, ends).join(names.toDF("a", "a_class", "a_new"), "a").join(names.toDF("b", "b_class", "b_new"), "b").where("a_new or b_new")
-        said = self.adjudicator(asked).where("same") if self.adjudicator else asked.limit(0)
-        return said.select("a", "b", "a_class", "b_class")
+        columns = ["k", "rep", "ids", "context", "class"]
+        both = written(old.join(concerned, "rep", "left_semi").select(*columns).unionByName(m.join(concerned, "rep", "left_semi").select(*columns)))
+        asked = entity.questions(both, ends, self.log.table("asked"))
+        answers = self.adjudicator(asked) if self.adjudicator else asked.withColumn("same", F.lit(False))
+        return written(answers.select("a", "b", "a_class", "b_class", "same"))
 
     def _merged(self, edges: DataFrame, m: DataFrame, old: DataFrame) -> DataFrame:
         """(node, component) of new records and of clusters that gain an edge, by the names of clusters."""
@@ -127,6 +128,5 @@ class ResolutionStore:
     def journal(self) -> DataFrame:
         """The counts of pairs over all records so far, from the sizes of classes."""
         members, near, said = (self.log.table(t) for t in ("members", "near", "said"))
-        sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-        n = said.join(sizes.toDF("a_class", "x"), "a_class").join(sizes.toDF("b_class", "y"), "b_class").select("a", "b", (F.col("x") * F.col("y")).alias("n"))
+        n = entity.unlinked_pairs(members.where("rep is not null").select("k", "ids", "class"), said.select("a_class", "b_class"))
         return entity.journal(members.select("k", "ids", "rep"), near, n, self.cfg)

@@ -120,6 +120,27 @@ def test_hot_identifiers_and_texts_make_no_pairs(spark):
     assert shared.count() == n // 2 and entity.identifier_subsets(shared).count() == n // 2
 
 
+def test_questions_do_not_grow_with_identifiers(spark, tmp_path):
+    """Two texts whose records have many lists of identifiers are one question, which counts the pairs that share none."""
+    rows = [(k, [f"p{k % 7}", f"q{k % 5}"], "red blue tea " + ("cup" if k % 2 else "box"), "", "u") for k in range(60)]
+    asked = []
+
+    def adjudicator(a):
+        asked.append(a.select("a", "b", "n").collect())
+        return a.withColumn("same", F.lit(True))
+
+    want = plain(rows, same=lambda a, b: True)
+    assert got(spark, rows, adjudicator=adjudicator) == want
+    assert [[tuple(r) for r in q] for q in asked] == [[(0, 1, want[1][3])]]
+    asked.clear()
+    store = ResolutionStore(spark, f"file://{tmp_path}/r", adjudicator=adjudicator)
+    for batch in range(3):
+        store.add(spark.createDataFrame([r for r in rows if r[0] // 20 == batch], RECORDS), batch)
+    j = store.journal().first()
+    assert (j.pairs_total, j.pairs_gray, j.merges_auto, j.merges_llm) == want[1]
+    assert sum(map(len, asked)) == 1
+
+
 def test_too_many_shared_identifiers(spark):
     rows = [(k, [f"i{j}" for j in range(20) if k == 0 or j == k - 1], "", "", "") for k in range(21)]
     with pytest.raises(Exception, match="shares over 16"):
