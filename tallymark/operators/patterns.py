@@ -1,40 +1,123 @@
-"""Many names looked for in many texts at once, by a rare piece of each name."""
+"""Many names looked for in many texts at once, by hashes of what names begin with and of whole names."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .running import running_sum, written
 
-#: Characters of a piece, and of a block of joined texts at least.
-PIECE, BLOCK = 3, 1024
+#: Characters of a block of joined texts at least.
+BLOCK = 4096
+#: Bytes of the beginning of a name that are looked for everywhere: the most of these that the name has.
+LEADS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+#: Bits of the number of a hash in the tables of hashes, and bytes of texts taken at a time.
+BITS, SLICE = 23, 1 << 20
+BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _layout(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts end to end, their offsets, sums of a hash up to each byte, and the factor that brings a place to the first one."""
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    n = len(raw) + 1
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            p = np.full(max(n, SLICE + 1), base, np.uint64)
+            p[0] = 1
+            _POWERS[name] = np.multiply.accumulate(p)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS["up"][: n - 1], out=sums[1:])
+    return raw, off - off[0], sums, _POWERS["down"]
+
+
+def _number(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _whole(h: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """A hash of a name from that of its bytes and their number."""
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(size).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
 
 
-def _pieces(text: str, sizes: str) -> str:
-    """SQL of the distinct pieces of a text of some sizes, from its characters: a place in a long text is not counted out anew for each piece."""
-    one = "if(size(c) >= q, transform(sequence(1, size(c) - q + 1), i -> array_join(slice(c, i, q), '')), cast(array() as array<string>))"
-    return f"array_distinct(flatten(transform(array(regexp_extract_all({text}, '(?s).', 0)), c -> flatten(transform({sizes}, q -> {one})))))"
+def _name_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, word, bits, size): the numbers of beginnings (kind 0) and of whole names (1) as bits of words; size is the name's."""
+    for b in batches:
+        _, off, sums, down = _layout(b.column("name"))
+        size, at = np.diff(off), off[:-1]
+        lead = np.array(LEADS)[np.searchsorted(LEADS, size, side="right") - 1]
+        for kind, number in ((0, _number((sums[at + lead] - sums[at]) * down[at])), (1, _number(_whole((sums[at + size] - sums[at]) * down[at], size)))):
+            bit = (np.uint64(1) << (number & 63).astype(np.uint64)).view(np.int64)
+            yield pa.record_batch({"kind": pa.array(np.full(len(size), kind, np.int32)), "word": pa.array(number >> 6), "bits": pa.array(bit), "size": pa.array(size)})
 
 
-def find_names(texts: DataFrame, names: DataFrame, size: int = PIECE) -> DataFrame:
-    """(id, name): the names (name) that are somewhere in texts (id, text), letter for letter.
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in b.column("text").cast(pa.large_binary())])
+    at = 0
+    while at < b.num_rows:
+        to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")), at + 1)
+        yield b.slice(at, to - at)
+        at = to
 
-    Of each name's pieces of `size` characters, or all of a shorter one, the piece that is in fewest texts stands for it. Only texts
-    with that piece are tried, so neither all names meet all texts nor is a list of names sent to every task. Empty and null names are nowhere. ids must not repeat.
+
+def _hits(batches: Iterator[pa.RecordBatch], leads: np.ndarray, wholes: np.ndarray, sizes: list[int], ids: bool) -> Iterator[pa.RecordBatch]:
+    """Stretches of texts with the number of a name: each once in a text, or without ids once in a slice."""
+    groups: dict[int, list[int]] = {}
+    for size in sizes:
+        groups.setdefault(max(k for k in LEADS if k <= size), []).append(size)
+    for whole in batches:
+        for b in _slices(whole):
+            raw, off, sums, down = _layout(b.column("text"))
+            for lead, some in groups.items():
+                places = len(raw) - lead + 1
+                if places <= 0:
+                    continue
+                at = np.flatnonzero(leads[_number((sums[lead:] - sums[:places]) * down[:places])])
+                doc = np.searchsorted(off, at, side="right") - 1
+                for size in some:
+                    fits = at + size <= off[doc + 1]
+                    x, d = at[fits], doc[fits]
+                    h = _whole((sums[x + size] - sums[x]) * down[x], size)
+                    found = np.flatnonzero(wholes[_number(h)])
+                    x, d, h = x[found], d[found], h[found]
+                    one = np.unique(np.stack([d if ids else np.zeros_like(d), h.view(np.int64)], 1), axis=0, return_index=True)[1] if len(x) else found
+                    if len(one):
+                        names = pa.array([raw[k : k + size].tobytes() for k in x[one].tolist()], pa.binary())
+                        # Bytes that begin or end within a character are no name.
+                        names = pa.array([v.as_py().decode("utf-8", "replace") for v in names], pa.string())
+                        yield pa.record_batch(({"id": b.column("id").take(pa.array(d[one]))} if ids else {}) | {"name": names})
+
+
+def find_names(texts: DataFrame, names: DataFrame, ids: bool = True) -> DataFrame:
+    """(id, name): the names (name) that are somewhere in texts (id, text), letter for letter; without ids each (name) that is in any text.
+
+    Texts are read once, where they lie. At each place the hash of what may be the beginning of a name is looked up in a table of bits, and where
+    it is there, that of the whole name in another; the stretches found are joined with the names. The tables have 2 ** BITS bits at any number
+    of names, so neither all names meet all texts nor is a list of names sent to every task. Empty and null names are nowhere. ids must not repeat.
     """
-    n = names.select("name").where("name <> ''").distinct()
-    # A name shorter than a piece is a piece of its own length.
-    own = n.select("name", F.expr(f"explode({_pieces('name', f'array(least({size}, length(name)))')}) as piece"))
-    have = own.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("sizes"))  # at most `size` numbers
-    t = texts.where("text <> ''").crossJoin(F.broadcast(have))
-    places = t.select("id", F.expr(f"explode({_pieces('text', 'sizes')}) as piece"))
-    in_texts = places.join(own.select("piece").distinct(), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("texts"))
-    # A name with a piece that is in no text is in none.
-    best = own.join(in_texts, "piece", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("piece"))).alias("b"))
-    keys = written(best.where("b.texts > 0").select(F.col("b.piece").alias("piece"), "name"))
-    tried = places.join(keys, "piece").select("id", "name")
-    return tried.join(texts, "id").where(F.col("text").contains(F.col("name"))).select("id", "name")
+    n = written(names.select("name").where("name <> ''").distinct())
+    numbers = written(n.mapInArrow(_name_numbers, "kind int, word long, bits long, size long"))
+    sizes = sorted(r[0] for r in numbers.select("size").distinct().collect())  # lengths of names
+    table = np.zeros((2, 1 << BITS >> 6), np.int64)
+    for r in numbers.groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).collect():  # 2 ** (BITS - 5) words at most
+        table[r.kind, r.word] = r.bits
+    t = texts.select(*(["id"] if ids else []), "text").where("text <> ''")
+    kind = f"id {t.schema['id'].dataType.simpleString()}, " if ids else ""
+    packed = table.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool).reshape(2, -1)
+        return _hits(batches, bits[0], bits[1], sizes, ids)
+
+    found = t.mapInArrow(run, f"{kind}name string")
+    return (found if ids else found.distinct()).join(n, "name").select(*(["id"] if ids else []), "name")
 
 
 def joined_blocks(texts: DataFrame, by: list[str], text: str, longest: int, block: int = BLOCK) -> DataFrame:

@@ -82,9 +82,7 @@ def wake_on_spike(frozen: DataFrame, titles: DataFrame, title: str = "title") ->
 
     Each title is looked at for itself; mentions() looks at the titles as one text.
     """
-    t = titles.select(F.lower(title).alias("text")).distinct()
-    t = written(t.select(F.monotonically_increasing_id().alias("id"), "text"))
-    woken = _woken(frozen, find_names(t, _keys(frozen)).select("name").distinct()).where("woken")
+    woken = _woken(frozen, find_names(titles.select(F.lower(title).alias("text")), _keys(frozen), ids=False)).where("woken")
     return woken.select(F.explode(F.array("entity_id", "name")).alias("woken")).distinct()
 
 
@@ -98,7 +96,7 @@ def mentions(frozen: DataFrame, titles: DataFrame, by: list[str], title: str = "
     keys = written(_keys(frozen))
     longest = keys.agg(F.max(F.length("name"))).first()[0] or 0
     blocks = written(joined_blocks(titles.select(*by, F.lower(title).alias("_title")), by, "_title", longest))
-    found = find_names(blocks, keys).select("name").distinct()
+    found = written(find_names(blocks, keys, ids=False))
     w = _woken(frozen.select(F.col(order).alias("_o"), "entity_id", "name"), found)
     w = w.select("_o", "woken", F.posexplode(F.array("entity_id", "name")).alias("kind", "key"))
     last = F.struct("_o", "kind", "woken")

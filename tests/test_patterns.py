@@ -39,3 +39,13 @@ def test_mentions_across_titles(spark):
     got = {r.key: r.woken for r in snapshot.mentions(frozen, titles, ["seq"], order="o").collect()}
     assert got == {"e1": False, "ALPHA beta": True, "e2": False, "beta alpha": False, "the": True, "beta  end": True, "Gone": False, "none": False}
     assert snapshot.mentions(frozen.limit(0), titles, ["seq"]).count() == 0
+
+
+def test_texts_are_read_once_for_names(spark):
+    """Names are found where the texts lie: no text is shuffled or joined, though common pieces are everywhere."""
+    t = spark.createDataFrame([(k, "the same common words " + "é" * (k % 9) + f" rare{k}") for k in range(500)], "id long, text string").repartition(3)
+    n = spark.createDataFrame([("common words é",), ("rare77",), ("words   ",), ("e" * 30,), ("rare499",)], "name string")
+    found = find_names(t, n, ids=False)
+    assert sorted(r.name for r in found.collect()) == ["common words é", "rare499", "rare77"]
+    assert "text" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert sorted(r.id for r in find_names(t, n).where("name = 'common words é'").collect()) == [k for k in range(500) if k % 9]
