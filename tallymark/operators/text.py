@@ -11,6 +11,10 @@ from ..functions import expr as x
 from .records import first_wins
 
 
+#: Keys that the titles of one entity are dealt over.
+SALTS = 256
+
+
 def bucket(token: Column, dims: int = 64) -> Column:
     """A stable bucket of a token: the last byte of its MD5."""
     return F.conv(F.substring(F.md5(token), 31, 2), 16, 10).cast("int") % dims
@@ -42,15 +46,19 @@ def branch_a(snippets: DataFrame, seq: str = "seq", text: str = "text") -> DataF
 
 
 def sid_index(snippets: DataFrame) -> DataFrame:
-    """(text, sid): raw and stripped texts to the first snippet that has them."""
-    both = snippets.select(F.col("raw").alias("text"), "sid", "seq").union(snippets.select("stripped", "sid", "seq"))
-    return both.groupBy("text").agg(F.min_by("sid", "seq").alias("sid"))
+    """(key, sid): the SHA-256 of raw and stripped texts to the first snippet that has them."""
+    # Both texts are hashed where a snippet is read, so neither is shuffled nor stripped twice.
+    both = snippets.select(F.explode(F.array(F.sha2("raw", 256), F.sha2("stripped", 256))).alias("key"), "sid", "seq")
+    return both.groupBy("key").agg(F.min_by("sid", "seq").alias("sid"))
 
 
 def lookup_sid(quotes: DataFrame, index: DataFrame) -> DataFrame:
+    """quotes with the snippet of the text of each, as it is or stripped."""
     i = index.toDF("_t", "_sid")
-    q = quotes.join(i, F.col("quote") == F.col("_t"), "left").select(quotes["*"], F.col("_sid").alias("raw_sid"))
-    return q.join(i, x.strip_boilerplate(F.col("quote")) == F.col("_t"), "left").select(*quotes.columns, F.coalesce("raw_sid", "_sid").alias("sid"))
+    keys = F.transform(F.array("quote", x.strip_boilerplate(F.col("quote"))), lambda t: F.sha2(t, 256))
+    q = quotes.select("*", keys.alias("_keys")).select("*", F.col("_keys")[0].alias("_raw"), F.col("_keys")[1].alias("_stripped"))
+    q = q.join(i, F.col("_raw") == F.col("_t"), "left").select(*quotes.columns, "_stripped", F.col("_sid").alias("raw_sid"))
+    return q.join(i, F.col("_stripped") == F.col("_t"), "left").select(*quotes.columns, F.coalesce("raw_sid", "_sid").alias("sid"))
 
 
 def pseudo_relevance(docs: DataFrame, terms: list[str], seq: str, text: str, top_docs: int, top_terms: int) -> DataFrame:
@@ -74,7 +82,9 @@ def rrf_fuse(ranked: DataFrame, k: int = 60) -> DataFrame:
 def competitors(hits: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity_id, competitor, n): words of the titles that name an entity, once per title."""
     e = entities.where(x.in_scope(F.col("scope"), F.col("name"))).select("entity_id", F.lower(F.trim("name")).alias("_name"))
-    h = hits.join(e, "entity_id").where(F.lower("title").contains(F.col("_name")))
+    # Titles of one entity are dealt over SALTS keys, so that no task reads all of them.
+    e = e.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    h = hits.withColumn("_salt", F.pmod(F.xxhash64("title"), F.lit(SALTS)).cast("int")).join(e, ["entity_id", "_salt"]).where(F.lower("title").contains(F.col("_name")))
     words = F.transform(F.regexp_extract_all("title", F.lit(r"[a-zA-Z0-9_\-]+"), F.lit(0)), lambda t: F.lower(F.btrim(t, F.lit("-_"))))
     words = F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 2) & (t != F.col("_name")) & ~t.isin(*STOP_WORDS)))
     return h.select("entity_id", F.explode(words).alias("competitor")).groupBy("entity_id", "competitor").agg(F.count(F.lit(1)).alias("n"))
