@@ -97,12 +97,12 @@ def _log_probs(g: np.ndarray, tables) -> np.ndarray:
 
 
 def perplexities(scratch: Scratch, docs: DataFrame, ps: list[DataFrame], gammas: list[DataFrame], most_rows: int = MOST_ROWS) -> DataFrame:
-    """docs (doc_id, text, lang, trusted) to (doc_id, lang, trusted, n_bytes, perplexity); a text without bytes has none."""
+    """docs (doc_id, text, lang) to (doc_id, lang, n_bytes, perplexity); a text without bytes has none."""
     spark = docs.sparkSession
     order = len(ps)
     rows = sum(t.count() for t in (*ps, *gammas))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, lang string, trusted boolean, n_bytes long, log_p double"
+    shape = f"doc_id {kind}, lang string, n_bytes long, log_p double"
     if rows <= most_rows:
         def table(t: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             a = t.toArrow()
@@ -118,9 +118,9 @@ def perplexities(scratch: Scratch, docs: DataFrame, ps: list[DataFrame], gammas:
                     raw, off = text_bytes(b.column("text"))
                     g, inverse = np.unique(grams(raw, off, len(model.value)), return_inverse=True)
                     run = np.concatenate([[0.0], np.cumsum(_log_probs(g, model.value)[inverse])])
-                    yield pa.record_batch({"doc_id": b.column("doc_id"), "lang": b.column("lang"), "trusted": b.column("trusted"), "n_bytes": pa.array(np.diff(off)), "log_p": pa.array(run[off[1:]] - run[off[:-1]])})
+                    yield pa.record_batch({"doc_id": b.column("doc_id"), "lang": b.column("lang"), "n_bytes": pa.array(np.diff(off)), "log_p": pa.array(run[off[1:]] - run[off[:-1]])})
 
-        s = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(score, shape)
+        s = docs.select("doc_id", "lang", "text").mapInArrow(score, shape)
     else:
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -132,7 +132,7 @@ def perplexities(scratch: Scratch, docs: DataFrame, ps: list[DataFrame], gammas:
                         if len(x):
                             yield pa.record_batch({"key": b.column("key").slice(i, 1).take(pa.array(np.zeros(len(x), np.int64))), "gram": pa.array(x), "n": pa.array(n)})
 
-        keyed = docs.select("doc_id", "lang", "trusted", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("key"))
+        keyed = docs.select("doc_id", "lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("key"))
         r = keyed.select("key", "text").distinct().mapInArrow(split, "key long, gram long, n long").withColumn("log", F.lit(0.0)).withColumn("open", F.lit(True))
         for k in range(len(ps), 0, -1):
             x = F.when(F.col("open"), F.col("gram").bitwiseAND((1 << (8 * k)) - 1))
@@ -140,8 +140,8 @@ def perplexities(scratch: Scratch, docs: DataFrame, ps: list[DataFrame], gammas:
             r = r.join(gammas[k - 1].toDF("h", "gamma"), "h", "left")
             r = r.select("key", "gram", "n", (F.col("log") + F.coalesce(F.log("p"), F.log("gamma"), F.lit(0.0))).alias("log"), (F.col("open") & F.col("p").isNull()).alias("open"))
         sums = r.groupBy("key").agg(F.sum(F.col("n") * (F.col("log") - F.when(F.col("open"), np.log(256.0)).otherwise(0.0))).alias("log_p"))
-        s = keyed.join(sums, "key", "left").select("doc_id", "lang", "trusted", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
-    return s.select("doc_id", "lang", "trusted", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
+        s = keyed.join(sums, "key", "left").select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
+    return s.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
 
 
 def limits(scratch: Scratch, s: DataFrame, quantiles: tuple[float, float]) -> DataFrame:
@@ -171,9 +171,11 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantiles: t
     scratch = Scratch(docs.sparkSession)
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct().withColumn("_t", F.lit(True))
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    d = d.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "lang", F.coalesce("_t", F.lit(False)).alias("trusted"))
-    ps, gammas = train(scratch, d.where("trusted").select("text"), order)
-    s = scratch.save(perplexities(scratch, d, ps, gammas, most_rows))
+    trusted = d.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+    ps, gammas = train(scratch, trusted, order)
+    # Texts are shuffled for the training alone; which documents are trusted is joined to their perplexities.
+    s = perplexities(scratch, d, ps, gammas, most_rows).join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    s = scratch.save(s.select("doc_id", "lang", F.coalesce("_t", F.lit(False)).alias("trusted"), "n_bytes", "perplexity"))
     out = s.join(limits(scratch, s, quantiles), F.col("lang").eqNullSafe(F.col("_l")), "left")
     low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
     keep = F.coalesce((F.col("perplexity") >= low) & (F.col("perplexity") <= high), F.lit(False))

@@ -66,3 +66,15 @@ def test_quality_empty(spark):
     assert quality.quality(e, lab).count() == 0
     got = quality.quality(spark.createDataFrame([(1, "ab", "en")], "doc_id long, text string, lang string"), lab).collect()
     assert got[0].perplexity == pytest.approx(256) and got[0].keep
+
+
+def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Only the training joins texts with their labels: the scores are joined without them."""
+    plans, save = [], quality.Scratch.save
+    monkeypatch.setattr(quality.Scratch, "save", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), save(self, df))[1])
+    spark.createDataFrame([(i, f"some text {i}", "en") for i in range(20)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    got = quality.quality(spark.read.parquet(f"{tmp_path}/d"), lab, order=3)
+    assert sum(r.trusted for r in got.collect()) == 10
+    scored = next(p for p in plans if "MapInArrow" in p and "log_p" in p)
+    assert len(scored.split("MapInArrow")[1].split("SortMergeJoin")) == 1
