@@ -300,14 +300,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, texts: bool = False)
     spark = docs.sparkSession
     scratch = Scratch(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    plain = scratch.save(d.withColumn("row", F.col("doc_id")))
+    # Read again where it lies: a copy of the texts would take the input's size on disk.
+    plain = d.withColumn("row", F.col("doc_id"))
     if plain.where("row is null").isEmpty() and plain.groupBy("row").count().where("count > 1").isEmpty():
         d = plain
     else:
         # The last key deals equal rows over several ranges.
         d = plain.drop("row").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id())
         d = scratch.save(d.withColumn("row", F.monotonically_increasing_id()))
-        scratch.drop(plain)
     hot, parts = HOT, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # A sample of a fixed number of documents, whatever the size of the table: those of least hash.
     some = d.join(F.broadcast(d.select("row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_DOCS)), "row")

@@ -278,3 +278,12 @@ def test_embedding_dedup(spark, monkeypatch):
     same = sum(got[i * 7].component_id == comp[i] * 7 for i in comp)
     assert same >= 0.9 * len(comp)
     assert embedding_dedup.embedding_dedup(d.limit(0)).count() == 0
+
+
+def test_substring_writes_no_copy_of_the_texts(spark, monkeypatch):
+    """Texts are read again where they lie as long as doc_ids name the rows."""
+    saved, save = [], common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df: (saved.append(df.columns), save(self, df))[1])
+    t = noise(random.Random(8), 150)
+    got = removed(spark, [(1, t), (2, "x" + t), (3, "")])
+    assert got and saved and not any("text" in c for c in saved)
