@@ -210,8 +210,8 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, sign=s
     packed = texts.where("doc_id is not null").select("text").mapInArrow(lambda it: _deal(it, n, percent, parts, sign), "bucket int, packed binary")
     found = leader_pairs(scratch, packed, parts)
     # From fingerprints to classes; should several classes share one, all of them.
-    of = lambda x: of_class.select(F.col("fa").alias(x), F.col("node").alias(f"n{x}"))
-    stars = scratch.save(found.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    of = lambda x: of_class.select(F.col("fa").alias(x), F.col("node").alias(f"n{x}"), F.col("n_shingles").alias("n"))
+    stars = scratch.save(found.join(of("a").drop("n"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "n"))
     # Merged at every size: what hangs together grows with the corpus.
     nodes = stars.select("a").union(stars.select("b")).distinct().join(of_class, F.col("a") == F.col("node")).select("node", "rep", "fa", "fb")
     sets = nodes.hint("merge").join(texts, F.col("rep") == F.col("doc_id")).select("node", "fa", "fb", "text")
