@@ -246,6 +246,25 @@ def test_bands_meet_for_every_pair_at_the_threshold():
     assert near > 500 and other < 100
 
 
+def test_paragraphs_of_few_shingles_do_not_meet_in_empty_ranges():
+    """Cycles of few words have few shingles and most ranges empty: those without a shingle in common share no band, similar ones do."""
+    made = [[f"w{k}.{i % n}" for i in range(24)] for n in (1, 2, 3, 4, 5, 6) for k in range(60 * n, 60 * n + 60)]
+    made += [(w[:n] * 5)[:20] + w[:3] + ["x"] for n in (4, 5, 6) for w in made if len(set(w)) == n]
+    p = paragraph_dedup.Paragraphs(paragraph_dedup.pa.array([" ".join(w) for w in made]))
+    own, sig = p.bands(same_anchor=False)
+    have = [set(sig[own == k].tolist()) for k in range(len(made))]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(20)) for w in made]
+    near = 0
+    for a in range(len(made)):
+        for b in range(a):
+            if not sets[a] & sets[b]:
+                assert not have[a] & have[b]
+            elif sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                near += 1
+                assert have[a] & have[b]
+    assert near >= 60
+
+
 def test_paragraphs_of_other_anchors_link(spark):
     """A passage again with other first words at each of its paragraphs."""
     r = random.Random(5)
