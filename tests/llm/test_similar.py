@@ -51,3 +51,26 @@ def test_blocks_give_back_no_more_links_than_join_them():
     assert len(links) > m > len(found)
     assert {(a, b) for a, b in found} <= {(min(x), max(x)) for x in links}
     assert roots(range(m), found) == roots(range(m), links)
+
+
+def test_only_members_that_may_have_a_partner_send_their_sets():
+    """Sets of one leader, all pairs free: members of a similar pair are kept, nearly all others are not, however batches cut the blocks."""
+    r = np.random.default_rng(6)
+    sets = [np.sort(r.integers(0, 1 << 62, n).astype(np.uint64)) for n in r.choice([4, 30, 33, 60, 66, 300, 2500], 400)]
+    for k in range(0, 60, 2):
+        x = sets[k].copy()
+        x[: len(x) // 14] = r.integers(0, 1 << 62, len(x) // 14).astype(np.uint64)
+        sets[k + 1] = np.sort(np.append(x, r.integers(0, 1 << 62, len(x) // 40).astype(np.uint64)))
+    n = np.array([len(x) for x in sets])
+    sketch = similar.parities(np.concatenate(sets), n)
+    assert all(8 * len(s) < 64 * x for s, x in zip(sketch, n) if x > 30)
+    m = len(sets)
+    a = np.repeat([0, 1, 2], [60, 3, m - 63])
+    no = pa.array([False] * m)
+    t = pa.record_batch({"a": pa.array(a), "b": pa.array(range(m)), "near": no, "mid": no, "label": pa.array(range(m)), "own": pa.array([0] * m, pa.int32()), "i": pa.array([0] * m, pa.int32()), "j": pa.array([0] * m, pa.int32()), "nb": pa.array(n), "sketch": pa.array(sketch, pa.binary())})
+    for step in (7, 60, m):
+        got = [x for b in similar._may_link((t.slice(k, step) for k in range(0, m, step)), 85) for x in b.column("b").to_pylist()]
+        assert len(got) == len(set(got)) and set(range(60)) <= set(got) and len(got) < 75
+    two = pa.array([k % 2 for k in range(m)], pa.int32())
+    t = t.set_column(5, "own", two).set_column(7, "j", pa.array([1] * m, pa.int32()))
+    assert set(range(60)) <= {x for b in similar._may_link(iter([t]), 85) for x in b.column("b").to_pylist()}
