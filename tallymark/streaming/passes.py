@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -16,19 +15,23 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 DAY_MS = 86_400_000
 _OUT = "kind string, entity_id string, pass long, band string, flip_from string, flip_to string, changed boolean, attributes string, tier string, due_ms long"
 _COLUMNS = [c.split(" ")[0] for c in _OUT.split(", ")]
+_Out = Row(*_COLUMNS)
+
+
+def _order(r: Row) -> tuple:
+    """By pass, time, hash and attributes, nulls last."""
+    return (r["number"], *((True, 0) if r[c] is None else (False, r[c]) for c in ("at_ms", "hash", "attributes")))
 
 
 class _Passes(StatefulProcessor):
-    """Band, content and progress of one entity, and a timer for its next crawl."""
+    """Band, content and progress of one entity in one value, so that a pass asks the state store once, and a timer for its next crawl."""
 
     def __init__(self, cfg: BandConfig, snapshot: SnapshotConfig):
         self.cfg, self.snapshot = cfg, snapshot
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.band = handle.getValueState("band", "band string")
-        self.content = handle.getValueState("content", "hash string, attributes string")
-        self.progress = handle.getValueState("progress", "pass long, tier string")
+        self.last = handle.getValueState("last", "pass long, band string, tier string, hash string, attributes string, due_ms long")
 
     def _tier(self, dead: bool, at_ms: int, newest_ms) -> tuple[str, int | None]:
         s = self.snapshot
@@ -38,49 +41,40 @@ class _Passes(StatefulProcessor):
             return "active", s.active_days
         return "stable", s.stable_days
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        band = self.band.get()[0] if self.band.exists() else None
-        old_hash, old_attributes = self.content.get() if self.content.exists() else (None, None)
-        seen = self.progress.get()[0] if self.progress.exists() else None
-        known = self.content.exists()
-        taken = pd.concat(list(rows)).sort_values(["number", "at_ms", "hash", "attributes"], kind="stable")
-        taken = taken.astype(object).where(taken.notna(), None)
-        out, last = [], None
-        for r in taken.itertuples(index=False):
-            number = int(r.number)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = self.last.get()
+        known = state is not None
+        seen, band, tier, old_hash, old_attributes, timer = state if known else (None,) * 6
+        due, begun = timer, False
+        for r in sorted(rows, key=_order):
+            number = int(r["number"])
             if seen is not None and number <= seen:
                 continue
-            changed = not known or r.hash != old_hash
-            before, dead = band, bool(r.dead)
+            changed = not known or r["hash"] != old_hash
+            before, dead, score = band, bool(r["dead"]), r["score"]
             if changed:
-                band = next_band(float(r.score or 0.0), band, dead, self.cfg)
-            attributes = r.attributes if changed else old_attributes if old_attributes is not None else r.attributes
-            newest = None if r.newest_ms is None else int(r.newest_ms)
-            tier, days = self._tier(dead, int(r.at_ms), newest)
+                band = next_band(score if score is not None and score == score else 0.0, band, dead, self.cfg)
+            attributes = r["attributes"] if changed else old_attributes if old_attributes is not None else r["attributes"]
+            tier, days = self._tier(dead, r["at_ms"], r["newest_ms"])
             flip = before is not None and band != before
-            due = None if days is None else int(r.at_ms) + days * DAY_MS
-            out.append(("pass", key[0], number, band, before if flip else None, band if flip else None, changed, attributes, tier, due))
-            seen, old_hash, old_attributes, known, last = number, r.hash, attributes, True, (tier, due)
-        if last is not None:
-            self.band.update((band,))
-            self.content.update((old_hash, old_attributes))
-            self.progress.update((seen, last[0]))
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if last[1] is not None:
-                self.handle.registerTimer(last[1])
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        number, tier = self.progress.get()
-        yield pd.DataFrame([("due", key[0], number, self.band.get()[0], None, None, None, None, tier, expiredTimerInfo.getExpiryTimeInMs())], columns=_COLUMNS)
+            due = None if days is None else r["at_ms"] + days * DAY_MS
+            yield _Out("pass", key[0], number, band, before if flip else None, band if flip else None, changed, attributes, tier, due)
+            seen, old_hash, old_attributes, known, begun = number, r["hash"], attributes, True, True
+        if begun:
+            self.last.update((seen, band, tier, old_hash, old_attributes, due))
+            if timer is not None and timer != due:
+                self.handle.deleteTimer(timer)
+            if due is not None and timer != due:
+                self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        seen, band, tier, old_hash, old_attributes, _ = self.last.get()
+        self.last.update((seen, band, tier, old_hash, old_attributes, None))
+        yield _Out("due", key[0], seen, band, None, None, None, None, tier, expiredTimerInfo.getExpiryTimeInMs())
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        rows = initialState if isinstance(initialState, pd.DataFrame) else pd.DataFrame([initialState.asDict()])
-        r = rows.astype(object).where(rows.notna(), None).iloc[0]
-        self.band.update((r["band"],))
-        self.content.update((r["hash"], r["attributes"]))
-        self.progress.update((int(r["number"]), r["tier"]))
+        r = initialState
+        self.last.update((int(r["number"]), r["band"], r["tier"], r["hash"], r["attributes"], None))
 
     def close(self) -> None:
         pass
@@ -100,7 +94,7 @@ def entity_passes(passes: DataFrame, cfg: BandConfig = BandConfig(), snapshot: S
     p = passes.withWatermark("at", "0 seconds").where("entity_id is not null")
     p = p.select("entity_id", "at", F.col("pass").cast("long").alias("number"), F.col("score").cast("double").alias("score"), F.coalesce("dead", F.lit(False)).alias("dead"), "hash", "attributes", ms("at").alias("at_ms"), ms("newest").alias("newest_ms"))
     state = None if initial is None else initial.select("entity_id", F.col("pass").cast("long").alias("number"), "band", "hash", "attributes", "tier").groupBy("entity_id")
-    out = p.groupBy("entity_id").transformWithStateInPandas(_Passes(cfg, snapshot), _OUT, "append", "EventTime", state)
+    out = p.groupBy("entity_id").transformWithState(_Passes(cfg, snapshot), _OUT, "append", "EventTime", state)
     return out.select(*_COLUMNS[:-1], F.timestamp_millis("due_ms").alias("due"))
 
 

@@ -68,3 +68,44 @@ def test_no_entities(spark, tmp_path, rows):
     frame(spark, rows).write.parquet(src)
     passes.refresh(spark, src, SCHEMA, out, check)
     assert spark.read.schema("kind string").parquet(out).count() == 0
+
+
+def test_a_pass_asks_the_state_store_few_times():
+    """One value is read and written for each entity and micro-batch, and timers are not listed."""
+    from pyspark.sql import Row
+
+    from tallymark.config import BandConfig, SnapshotConfig
+
+    calls, kept = [], {}
+
+    class Store:
+        def getValueState(self, name, schema):
+            self.name = name
+            return self
+
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+        def deleteTimer(self, t):
+            calls.append(("delete", t))
+
+        def registerTimer(self, t):
+            calls.append(("register", t))
+
+    p = passes._Passes(BandConfig(), SnapshotConfig())
+    p.init(Store())
+    r = Row("number", "score", "dead", "hash", "attributes", "at_ms", "newest_ms")
+    got = list(p.handleInputRows(("e",), iter([r(2, float("nan"), False, "y", None, 20, None), r(1, 90.0, False, "x", "o", 10, 10)]), None))
+    assert [(x["pass"], x["band"], x["flip_to"]) for x in got] == [(1, "leader", None), (2, "leader", None)]
+    stable = SnapshotConfig().stable_days * passes.DAY_MS
+    assert calls == ["get", "update", ("register", 20 + stable)]
+    calls.clear()
+    assert [x["changed"] for x in p.handleInputRows(("e",), iter([r(3, 1.0, False, "y", "n", 30, None)]), None)] == [False]
+    assert calls == ["get", "update", ("delete", 20 + stable), ("register", 30 + stable)]
+    calls.clear()
+    assert list(p.handleInputRows(("e",), iter([r(3, 1.0, False, "z", "n", 40, None)]), None)) == [] and calls == ["get"]
