@@ -3,6 +3,8 @@
 A known word scores its log frequency in every language. A word outside the
 vocabulary is read character by character with the longest known n-gram that ends
 there, from LONGEST characters down to one, each step down at a fixed discount.
+Texts are cut at white space and common marks first; a token's words are found and scored once, and
+many texts and words are added up at a time.
 
 The model is fitted on a bounded sample of rows with a language (about SAMPLE_ROWS shared
 equally among the languages, by hash of doc_id) outside the held-out fold, and keeps at
@@ -15,6 +17,7 @@ import re
 import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +31,20 @@ SAMPLE_ROWS, VOCABULARY, NGRAMS, LONGEST = 6000, 50_000, 20_000, 4
 #: Rows of each language at least, if it has them, however many languages share SAMPLE_ROWS.
 LEAST_ROWS = 200
 FOLDS, HELD_OUT = 4, 2
+#: What a word is padded with, so that its first window has LONGEST characters and ends with its first letter.
+BEFORE = "\0" * (LONGEST - 2)
 #: log of the factor for each step to a shorter n-gram.
 BACKOFF = np.log(0.4)
 #: Characters that count as word characters of a pattern but are neither letters nor digits, such as fractions.
 _NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 _LETTERS = re.compile(rf"[^\W\d_{_NUMERIC}]+")
 _RUNS = re.compile(r"[^\W\d_]+")
-#: Words whose scores a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Common marks that are no letters: they part tokens as white space does, so that fewer of them differ.
+MARKS = ".,;:!?\"'()-\u3001\u3002\uff0c"
+#: Tokens, and windows of LONGEST characters, that a worker remembers before it starts anew; characters and scores of those tokens.
+REMEMBERED, CHARACTERS, SCORES = 400_000, 16_000_000, 20_000_000
+#: Tokens of texts that are added up at once, but for those of one text.
+AT_ONCE = 1 << 15
 
 
 def _words(text: str) -> list[str]:
@@ -44,6 +53,36 @@ def _words(text: str) -> list[str]:
     return found if all(map(str.isalpha, found)) else [w for run in found for w in ([run] if run.isalpha() else _LETTERS.findall(run))]
 
 
+def _sums(table: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row of table, its values at the places, added up by consecutive groups of the given sizes; a column per group."""
+    out = np.zeros((len(table), len(sizes)))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = (np.cumsum(sizes) - sizes)[some]
+        for i, row in enumerate(table):
+            out[i, some] = np.add.reduceat(row[at], starts, dtype=np.float64)
+    return out
+
+
+def _tokens(text: str) -> list[str]:
+    """Pieces of a text in small letters; no run of letters goes beyond one."""
+    text = text.lower()
+    for mark in MARKS:
+        text = text.replace(mark, " ")
+    return text.split()
+
+
+class Windows(dict):
+    """Rows of the longest known n-grams that windows of at most LONGEST characters end with."""
+
+    def __init__(self, grams: dict[str, int]):
+        self.grams = grams
+
+    def __missing__(self, window: str) -> int:
+        i = self[window] = next((self.grams[g] for k in range(len(window)) if (g := window[k:]) in self.grams), len(self.grams))
+        return i
+
+
 class Model:
     def __init__(self, rows: list[tuple[str, str]]):
         """rows: (text, language)."""
@@ -57,7 +96,9 @@ class Model:
             total.update(c)
         known = sorted((w for w, n in total.items() if n > 1), key=lambda w: (-total[w], w))[:VOCABULARY]
         self.words = self._table(known, [counts[x] for x in self.langs])
-        self.grams = []
+        self.grams: dict[str, int] = {}
+        #: Scores and steps down of the n-grams, a column each; the last is for characters that no n-gram ends with.
+        tables, steps = [], []
         for n in range(1, LONGEST + 1):
             by = [Counter() for _ in self.langs]
             for lang, c in counts.items():
@@ -67,29 +108,70 @@ class Model:
                         by[at[lang]][p[i : i + n]] += k
             all_n = sum(by, Counter())
             top = sorted(all_n, key=lambda g: (-all_n[g], g))[:NGRAMS]
-            self.grams.append(self._table(top, by))
-        self.floor = np.full(len(self.langs), -12.0, np.float32)
+            ids, scores = self._table(top, by)
+            self.grams |= {g: len(self.grams) + i for g, i in ids.items()}
+            tables.append(scores)
+            steps += [LONGEST - n] * len(top)
+        tables.append(np.full((len(self.langs), 1), -12.0, np.float32))
+        self.scores, self.steps = np.hstack(tables), np.array([[*steps, 0]], np.int8)
 
     def _table(self, keys: list[str], by: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
         sums = np.array([sum(c.values()) for c in by], float)
         n = np.array([[c[k] for c in by] for k in keys], float).reshape(len(keys), len(by))
-        return {k: i for i, k in enumerate(keys)}, np.log((n + 0.1) / (sums + 0.1 * (len(keys) + 1))).astype(np.float32)
+        return {k: i for i, k in enumerate(keys)}, np.ascontiguousarray(np.log((n + 0.1) / (sums + 0.1 * (len(keys) + 1))).astype(np.float32).T)
 
-    def word(self, w: str) -> np.ndarray:
+    def read(self, words: list[str], windows: Windows) -> np.ndarray:
+        """Scores of the words, a column each."""
         ids, scores = self.words
-        if (i := ids.get(w)) is not None:
-            return scores[i]
-        p, out, steps = f" {w} ", np.zeros(len(self.langs), np.float32), 0
-        for end in range(2, len(p) + 1):
-            for n in range(min(LONGEST, end), 0, -1):
-                ids, scores = self.grams[n - 1]
-                if (i := ids.get(p[end - n : end])) is not None:
-                    out = out + scores[i] + (LONGEST - n) * BACKOFF
-                    break
-            else:
-                out = out + self.floor
-            steps += 1
-        return out / max(steps, 1)
+        at = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
+        out, other = np.zeros((len(self.langs), len(words)), np.float32), np.flatnonzero(at < 0)
+        out[:, at >= 0] = scores[:, at[at >= 0]]
+        # No n-gram has a zero character: windows that begin with some end with shorter ones.
+        padded = [f"{BEFORE} {words[i]} " for i in other]
+        ends = np.fromiter(map(len, padded), np.int64, len(padded)) - LONGEST + 1
+        grams = np.fromiter(map(windows.__getitem__, (p[i : i + LONGEST] for p in padded for i in range(len(p) - LONGEST + 1))), np.int64, ends.sum())
+        out[:, other] = (_sums(self.scores, grams, ends) + BACKOFF * _sums(self.steps, grams, ends)) / ends
+        return out
+
+
+class Tokens(dict):
+    """Numbers of the tokens met so far. Each has a column with the sum of its words' scores in every language, and the count of its words last."""
+
+    def __init__(self, model: Model):
+        self.model, self.windows = model, Windows(model.grams)
+        self.columns = np.zeros((len(model.langs) + 1, 1024))
+        self.new: list[str] = []
+        self.characters = 0
+
+    def __missing__(self, token: str) -> int:
+        i = self[token] = len(self)
+        self.new.append(token)
+        return i
+
+    def sums(self, texts: list[list[int]]) -> np.ndarray:
+        """Columns of the texts, given as numbers of their tokens. These numbers may be void afterwards."""
+        self._learn()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = _sums(self.columns, np.fromiter(chain.from_iterable(texts), np.int64, sizes.sum()), sizes)
+        if len(self) > REMEMBERED or self.characters > CHARACTERS or len(self) * len(self.columns) > SCORES:
+            self.clear()
+            self.characters = 0
+        if len(self.windows) > REMEMBERED:
+            self.windows.clear()
+        return out
+
+    def _learn(self) -> None:
+        """Fill the columns of the new tokens."""
+        found = [_words(t) for t in self.new]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        words = self.model.read(list(chain.from_iterable(found)), self.windows)
+        if len(self) > self.columns.shape[1]:
+            self.columns = np.hstack([self.columns, np.zeros((len(self.columns), len(self)))])
+        first = len(self) - len(found)
+        self.columns[:-1, first : len(self)] = _sums(words, np.arange(words.shape[1]), sizes)
+        self.columns[-1, first : len(self)] = sizes
+        self.characters += sum(map(len, self.new))
+        self.new = []
 
 
 def sample_rows(docs: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
@@ -116,27 +198,22 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        place: dict[str, int] = {}
-        scores = np.zeros((1024, len(m.langs)), np.float32)
+        tokens = Tokens(m)
+        number = tokens.__getitem__
         for b in batches:
-            langs, sure = [], []
-            for t in b.column("text"):
-                words = _words(t.as_py().lower()) if t.is_valid else []
-                if not words or not m.langs:
-                    langs.append("und")
-                    sure.append(0.0)
+            langs, sure, waiting, n = [], [], [], 0
+            for k, t in enumerate(b.column("text"), 1):
+                waiting.append(list(map(number, _tokens(t.as_py()))) if t.is_valid and m.langs else [])
+                n += len(waiting[-1])
+                if n < AT_ONCE and k < len(b):
                     continue
-                if len(place) > REMEMBERED:
-                    place.clear()
-                for w in set(words).difference(place):
-                    if len(place) == len(scores):
-                        scores = np.vstack([scores, np.zeros_like(scores)])
-                    scores[len(place)] = m.word(w)
-                    place[w] = len(place)
-                z = scores[[place[w] for w in words]].sum(0, dtype=np.float64) / np.sqrt(len(words))
-                best = int(z.argmax())
-                langs.append(m.langs[best])
-                sure.append(round(float(1 / np.exp(z - z[best]).sum()), 6))
+                sums = tokens.sums(waiting)
+                for x, count in zip(sums[:-1].T, sums[-1]):
+                    x = x / np.sqrt(max(count, 1))
+                    best = int(x.argmax()) if count else 0
+                    langs.append(m.langs[best] if count else "und")
+                    sure.append(round(float(1 / np.exp(x - x[best]).sum()), 6) if count else 0.0)
+                waiting, n = [], 0
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

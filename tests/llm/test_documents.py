@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from tallymark.llm import exact_dedup, jaccard_join, language_id, mixing, queries, sentencepiece_sampling, similar, toxicity
@@ -230,6 +232,51 @@ def test_language_id(spark, empty):
     assert {x.lang_pred for x in none} == {"und"}
 
 
+def _plain_word(m, w):
+    """Scores of a word, read one window at a time."""
+    ids, scores = m.words
+    if w in ids:
+        return scores[:, ids[w]]
+    p, out = f" {w} ", 0.0
+    for end in range(2, len(p) + 1):
+        i = next((m.grams[g] for n in range(min(language_id.LONGEST, end), 0, -1) if (g := p[end - n : end]) in m.grams), len(m.grams))
+        out = out + m.scores[:, i] + m.steps[0, i] * language_id.BACKOFF
+    return (out / (len(p) - 1)).astype(np.float32)
+
+
+def _language_model(r):
+    syll = {"en": ["the", "ing", "wh", "ed"], "de": ["sch", "ung", "über", "ein"], "el": ["ος", "και", "漢", "字"]}
+    return language_id.Model([(" ".join("".join(r.choice(syll[x]) for _ in range(r.randint(1, 4))) for _ in range(30)), x) for x in sorted(syll) for _ in range(50)])
+
+
+def test_language_of_texts_at_once_is_that_of_single_words(monkeypatch):
+    r = random.Random(3)
+    m = _language_model(r)
+    texts = ["", " \n", "12 34 !!", "a", "Über,schung-ing 12ab½c²d x_y ΟΔΟΣ.ΟΣ", "漢字。字、かな漢字" * 50, "whed\u2028thing\x1cein\x85ung\u200bing", "\0a\0the", "the" * 5000, "Ⅳ İstanbul ﬁne"]
+    texts += ["".join(r.choice("thewhinguübersc漢ος.,;½1 \t_'\u00a0\0") for _ in range(r.randint(1, 300))) for _ in range(300)]
+    monkeypatch.setattr(language_id, "REMEMBERED", 150)
+    tokens = language_id.Tokens(m)
+    for k in range(0, len(texts), 7):
+        some = texts[k : k + 7]
+        got = tokens.sums([list(map(tokens.__getitem__, language_id._tokens(t))) for t in some])
+        words = [language_id._LETTERS.findall(t.lower()) for t in some]
+        assert got[-1].tolist() == list(map(len, words))
+        want = [sum((_plain_word(m, w).astype(float) for w in ws), np.zeros(len(m.langs))) for ws in words]
+        assert np.allclose(got[:-1].T, want, rtol=1e-6, atol=1e-6)
+
+
+def test_unseen_words_are_not_read_one_gram_at_a_time():
+    r = random.Random(4)
+    m = _language_model(r)
+    words = ["".join(r.choice(["the", "ing", "sch", "über", "ος", "qu", "x"]) for _ in range(4)) + str(k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(20_000)]
+    began = time.process_time()
+    want = np.array([_plain_word(m, w) for w in words]).T
+    between = time.process_time()
+    got = m.read(words, language_id.Windows(m.grams))
+    assert time.process_time() - between < (between - began) / 3
+    assert np.allclose(got, want, rtol=1e-6)
+
+
 def test_language_sample_keeps_rare_languages(spark):
     rows = [(i, "t", "en" if i % 400 else "xx") for i in range(8000)]
     n = Counter(x for _, x in language_id.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=40))
