@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashtree import content_counts
-from .patterns import find_names, joined_blocks
+from .patterns import find_in_joined, find_names
 from .running import written
 
 
@@ -93,11 +93,9 @@ def mentions(frozen: DataFrame, titles: DataFrame, by: list[str], title: str = "
     and end in another. A key of several entities has what the last of them by `order` has, of one entity's
     equal name and id the name. Empty and null keys are left out.
     """
-    keys = written(_keys(frozen))
-    longest = keys.agg(F.max(F.length("name"))).first()[0] or 0
-    blocks = written(joined_blocks(titles.select(*by, F.lower(title).alias("_title")), by, "_title", longest))
-    found = written(find_names(blocks, keys, ids=False))
-    w = _woken(frozen.select(F.col(order).alias("_o"), "entity_id", "name"), found)
+    frozen = written(frozen.select(F.col(order).alias("_o"), "entity_id", "name"))
+    found = written(find_in_joined(titles.select(*by, F.lower(title).alias("_title")), by, "_title", _keys(frozen)))
+    w = _woken(frozen, found)
     w = w.select("_o", "woken", F.posexplode(F.array("entity_id", "name")).alias("kind", "key"))
     last = F.struct("_o", "kind", "woken")
     return w.where("key <> ''").groupBy("key").agg(F.max_by("woken", last).alias("woken"))

@@ -380,11 +380,15 @@ def wake_on_spike(spark, d):
 
 @query
 def woken_entities(spark, d):
-    """An entity for each turn of a conversation: its first words are the id, its last ones the name; the lines of all documents are the titles."""
-    c = table(spark, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("o"), F.filter(F.split(F.regexp_replace("text", "[.,?!\n]", " "), " "), lambda w: w != "").alias("w"))
-    f = c.select("o", F.array_join(F.slice("w", 1, 3), " ").alias("entity_id"), F.array_join(F.when(F.size("w") > 2, F.slice("w", -2, 2)).otherwise(F.col("w")), " ").alias("name"))
-    titles = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "title"))
-    return snapshot.mentions(f, titles, ["doc_id", "pos"], order="o")
+    """An entity for each turn of a conversation: its first words are the id, its last ones the name; all documents are the titles."""
+    o = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("o")
+    words = F.filter(F.split("text", "[.,?!\n ]+"), lambda w: w != "")
+    # Passed through a lambda and inline, the words are split once; columns of one projection would each split them again.
+    named = lambda w: F.struct(F.array_join(F.slice(w, 1, 3), " ").alias("entity_id"), F.array_join(F.when(F.size(w) > 2, F.slice(w, -2, 2)).otherwise(w), " ").alias("name"))
+    f = table(spark, d, "conversations").select(o, F.inline(F.transform(F.array(words), named)))
+    # A document is one title: a space is between its lines as it is between titles.
+    titles = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("title"))
+    return snapshot.mentions(f, titles, ["doc_id"], order="o")
 
 
 @query
