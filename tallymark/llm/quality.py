@@ -35,7 +35,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarra
     out = np.zeros(len(raw), np.int64)
     for k in range(order):
         b = np.zeros(len(raw), np.int64)
-        b[k:] = raw[: len(raw) - k] if k else raw
+        b[k:] = raw[: max(len(raw) - k, 0)]
         out |= np.where(inner >= k, b, 0) << (8 * k)
     return out
 

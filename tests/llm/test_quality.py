@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tallymark.llm import quality
@@ -78,3 +79,11 @@ def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert sum(r.trusted for r in got.collect()) == 10
     scored = next(p for p in plans if "MapInArrow" in p and "log_p" in p)
     assert len(scored.split("MapInArrow")[1].split("SortMergeJoin")) == 1
+
+
+def test_grams_of_fewer_bytes_than_the_order():
+    for text in (b"", b"a", b"abc", b"abcde"):
+        raw = np.frombuffer(text, np.uint8)
+        got = quality.grams(raw, np.array([0, len(raw)]), 5).tolist()
+        assert got == [int.from_bytes(text[: k + 1].rjust(5, b"\0")[-5:]) for k in range(len(text))]
+    assert quality.grams(np.frombuffer(b"abc", np.uint8), np.array([0, 1, 1, 3]), 5).tolist() == [97, 98, 98 << 8 | 99]
