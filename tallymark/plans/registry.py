@@ -428,7 +428,7 @@ def recorded_hits(spark, d):
         doc.where(k == i).select(F.to_json(F.struct(F.col("source").alias("query"), F.array(shape).alias("items"))).alias("value")).write.text(f"{path}/connector={name}")
     h = hits.load(spark, path, split_bytes=1 << 22)
     row = [F.col(c) for c in ("connector", "query", "id", "url", "title", "count", "truncated")] + [F.sha2("body", 256).alias("h"), F.size("comments").alias("said")]
-    some = h.where("count > 500 and count >= 300 and query in ('src1', 'src2', 'src3') and query <> 'src2'")
+    some = hits.load(spark, path, split_bytes=1 << 22, pushdown=True).where("count > 500 and count >= 300 and query in ('src1', 'src2', 'src3') and query <> 'src2'")
     return h.select(F.lit("all").alias("kind"), *row).unionByName(some.select(F.lit("some").alias("kind"), *row))
 
 

@@ -7,7 +7,8 @@ A recording is a file of JSON lines, each a query and its items, for one connect
 connector's (code.jsonl, code-2.jsonl) or that lies in a folder connector=code. Files are found and read through
 pyarrow's file systems, so path may be a URI of any of them, and are split by bytes: a line belongs to the split that it
 begins in. Filters on query, connector and the least count are taken over by the reader, in any number, where the
-session has spark.sql.python.filterPushdown.enabled; else Spark applies them (option pushdown=false). A stream reads the whole lines that
+session has spark.sql.python.filterPushdown.enabled and the option pushdown=true asks for it; else Spark applies them. Ask only for a table that is
+read under one set of filters: all that is made of one load() shares one reader, so the filters of one part would hold for the others. A stream reads the whole lines that
 files have gained since its last offset, which has a number for each file.
 """
 
@@ -220,14 +221,14 @@ class HitSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> HitReader:
-        return (HitFilterReader if self.options.get("pushdown", "true") == "true" else HitReader)(self.options)
+        return (HitFilterReader if self.options.get("pushdown", "false") == "true" else HitReader)(self.options)
 
     def streamReader(self, schema) -> HitStream:
         return HitStream(self.options)
 
 
-def load(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The recordings below a path; filters are pushed where the session lets Python sources have them."""
+def load(spark: SparkSession, path: str, pushdown: bool = False, **options) -> DataFrame:
+    """The recordings below a path; with pushdown, filters are pushed where the session lets Python sources have them: for one set of filters alone."""
     spark.dataSource.register(HitSource)
-    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") if pushdown else "false"
     return spark.read.format("tally_hits").options(path=path, pushdown=pushed, **options).load()

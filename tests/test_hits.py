@@ -87,6 +87,21 @@ def test_filters_through_spark(spark, tmp_path):
         spark.conf.set("spark.sql.python.filterPushdown.enabled", old)
 
 
+def test_filters_of_one_part_do_not_hold_for_another(spark, tmp_path):
+    record(tmp_path, "code.jsonl", replies(40))
+    want = {r[3]: r for r in rows(reader(tmp_path))}
+    old = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    try:
+        for on in ("true", "false"):
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", on)
+            d = hits.load(spark, str(tmp_path))
+            assert sorted(r.id for r in d.unionByName(d.where("count > 5 and query = 'q1'")).collect()) == sorted([*want, *(i for i, r in want.items() if r[7] > 5 and r[1] == "q1")])
+            asked = hits.load(spark, str(tmp_path), pushdown=True).where("count > 5 and query = 'q1'")
+            assert sorted(r.id for r in asked.collect()) == sorted(i for i, r in want.items() if r[7] > 5 and r[1] == "q1")
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", old)
+
+
 def test_stream_goes_on_from_its_offsets(spark, tmp_path):
     folder, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     spark.dataSource.register(hits.HitSource)
